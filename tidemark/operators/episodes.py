@@ -179,9 +179,9 @@ def final_states(rewards: DataFrame) -> DataFrame:
                 "cumulative_reward",
             ),
             "step",
-        ).alias("s")
+        ).alias("__state")
     )
-    return last.select("episode_id", "task_id", "s.*").withColumn(
+    return last.select("episode_id", "task_id", "__state.*").withColumn(
         "availability", 1 - ratio(F.col("queries_failed"), F.col("queries_total"))
     )
 

@@ -435,7 +435,11 @@ def _renamed(value: Column, old: Column, new: Column) -> Column:
 
 
 def _apply_change(state: Column, change: Column) -> Column:
-    """The schema after one change. Statements of other kinds never get here."""
+    """The schema after one change.
+
+    Statements of other kinds never get here. Creating a table that exists, or changing one that
+    does not, leaves the schema as it is.
+    """
     op, table, a, b = change["op"], change["table_name"], change["a"], change["b"]
 
     def is_table(name: Column) -> Column:
@@ -460,6 +464,7 @@ def _apply_change(state: Column, change: Column) -> Column:
 
     liked_columns = moved(of_source(columns), column_fields, table_name=lambda _: table)
     liked_fks = moved(of_source(fks), fk_fields, table_name=lambda _: table)
+    known = F.exists(columns, lambda c: is_table(c["table_name"]))
     held = F.transform(columns, lambda c: F.concat_ws(".", F.lower(c["table_name"]), F.lower(c["col_name"])))
     added = F.filter(
         change["columns"],
@@ -467,8 +472,11 @@ def _apply_change(state: Column, change: Column) -> Column:
     )
 
     new_columns = (
-        F.when(op.isin("create", "add_columns"), F.concat(columns, added.cast(_COLUMN_STATE)))
-        .when(op == "create_like", F.concat(columns, liked_columns.cast(_COLUMN_STATE)))
+        F.when(
+            ((op == "create") & ~known) | ((op == "add_columns") & known),
+            F.concat(columns, added.cast(_COLUMN_STATE)),
+        )
+        .when((op == "create_like") & ~known, F.concat(columns, liked_columns.cast(_COLUMN_STATE)))
         .when(
             op == "rename_column",
             moved(
@@ -482,8 +490,11 @@ def _apply_change(state: Column, change: Column) -> Column:
         .otherwise(columns)
     )
     new_fks = (
-        F.when(op.isin("create", "add_constraint"), F.concat(fks, change["fks"].cast(_FK_STATE)))
-        .when(op == "create_like", F.concat(fks, liked_fks.cast(_FK_STATE)))
+        F.when(
+            ((op == "create") & ~known) | ((op == "add_constraint") & known),
+            F.concat(fks, change["fks"].cast(_FK_STATE)),
+        )
+        .when((op == "create_like") & ~known, F.concat(fks, liked_fks.cast(_FK_STATE)))
         .when(
             op == "rename_column",
             moved(
@@ -509,7 +520,7 @@ def _apply_change(state: Column, change: Column) -> Column:
         .otherwise(fks)
     )
     new_modes = (
-        F.when(op.isin("create", "create_like"), F.concat(modes, own_mode))
+        F.when(op.isin("create", "create_like") & ~known, F.concat(modes, own_mode))
         .when(op == "rename_table", moved(modes, "table_name mode columns", table_name=lambda r: _renamed(r["table_name"], table, a)))
         .when(op == "drop_table", F.filter(modes, lambda r: ~is_table(r["table_name"])))
         .otherwise(modes)

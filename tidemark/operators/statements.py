@@ -93,9 +93,8 @@ def copy_cost(sql: Column) -> Column:
     lo = F.regexp_extract(text, between, 1).try_cast("decimal(38,0)")
     hi = F.regexp_extract(text, between, 2).try_cast("decimal(38,0)")
     limit = F.regexp_extract(text, r"LIMIT\s+(\d+)", 1).try_cast("decimal(38,0)")
-    rows = F.coalesce(
-        F.greatest(F.lit(1), hi - lo + 1), F.greatest(F.lit(1), limit), F.lit(COPY_DEFAULT_ROWS)
-    )
+    announced = F.coalesce(hi - lo + 1, limit, F.lit(COPY_DEFAULT_ROWS))
+    rows = F.greatest(F.lit(1), announced)
     ticks = F.greatest(F.lit(1), F.ceil(rows / COPY_ROWS_PER_UNIT) * COPY_TICKS_PER_UNIT)
     bounded = text.contains("BETWEEN") | text.contains("LIMIT") | text.contains("WHERE")
     return F.struct(

@@ -42,7 +42,7 @@ def _steps(spark: SparkSession, d: str) -> DataFrame:
 _RUN_LINES = f"""
 SELECT event_id * 10 + k AS line_no, cast(floor(event_id / 9) AS bigint) AS run_id,
   CASE k WHEN 0 THEN '[START] task=' || task_id || ' env=warehouse model=planner-1'
-    WHEN 1 THEN '[STEP] step=' || cast(event_id % 9 + 1 AS string) || ' action={{"commands":[{{"action_type":"execute_sql","sql":"SELECT done=true FROM t' || cast(event_id AS string) || ';"}}]}} reward=0.' ||
+    WHEN 1 THEN '[STEP] step=' || cast(event_id % 9 + 1 AS string) || ' action={{{{"commands":[{{{{"action_type":"execute_sql","sql":"SELECT done=true FROM t' || cast(event_id AS string) || ';"}}}}]}}}} reward=0.' ||
       lpad(cast(event_id % 998 + 1 AS string), 3, '0') || ' done=' || CASE WHEN event_id % 9 = 8 THEN 'true' ELSE 'false' END ||
       ' error=' || CASE WHEN event_type = 'error' THEN 'relation t' || cast(event_id AS string) || ' does not exist reward=9' ELSE 'null' END
     ELSE '[END] task=' || task_id || ' success=' || CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'false' END || ' steps=9 score=0.' ||
@@ -52,11 +52,6 @@ JOIN (VALUES (0, 0), (1, 1), (2, 2)) AS v(k, unused) ON (k = 1) OR (k = 0 AND ev
 """
 
 
-def _plain(text: str) -> str:
-    """Undo the doubled braces that Spark's named frames need."""
-    return cte(text).replace("{{", "{").replace("}}", "}")
-
-
 @query(
     "s6_parse_run_log",
     f"""WITH e AS (SELECT *, {TASK_OF_EPISODE} AS task_id, cast(floor(event_id / 9) AS bigint) AS run_id,
@@ -123,7 +118,7 @@ FROM {{events}}
     {TASK_OF_EPISODE} AS task_id, event_id % 10 < 8 AS valid FROM events""",
 )
 def s8_decode_actions(spark: SparkSession, d: str) -> DataFrame:
-    return logs.decode_actions(derive(spark, d, _ACTIONS.replace("{{{{", "{{").replace("}}}}", "}}")))
+    return logs.decode_actions(derive(spark, d, _ACTIONS))
 
 
 _OBSERVED = """
@@ -138,7 +133,7 @@ FROM {events}
 
 @query(
     "s9_decode_steps",
-    """SELECT event_id, NULL AS current_schema_ddl, NULL AS target_schema_ddl,
+    """SELECT event_id, cast(NULL AS varchar) AS current_schema_ddl, cast(NULL AS varchar) AS target_schema_ddl,
       CASE event_id % 3 WHEN 0 THEN 'SUCCESS' WHEN 1 THEN 'RESET' END AS last_sql_result, CASE WHEN event_id % 3 = 1 THEN 0.001::double END AS downtime_pct,
       cast(CASE event_id % 3 WHEN 0 THEN event_id % 9 WHEN 1 THEN 0 ELSE 2 END AS int) AS step_count, NULL::double AS cumulative_downtime_pct,
       CASE WHEN event_id % 3 = 2 THEN 'easy_add_column' END AS task_id, CASE WHEN event_id % 3 = 0 THEN 0.5::double END AS schema_match_pct,
@@ -232,12 +227,12 @@ def l4_classify_locks(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "l5_script_profile",
     f"""WITH {_S}, p AS {_PROFILES},
-    x AS (SELECT stmt_id, 0 AS at, lock_type, lock_ticks, failure_rate, destroys_data FROM p
+    x AS (SELECT stmt_id, 0 AS pos, lock_type, lock_ticks, failure_rate, destroys_data FROM p
       UNION ALL SELECT stmt_id, 1, 'NONE', 0, 0.0::double, false FROM p WHERE stmt_id % 4 = 1
       UNION ALL SELECT stmt_id, 1, 'ACCESS_EXCLUSIVE', 5, 0.25::double, false FROM p WHERE stmt_id % 4 = 0
       UNION ALL SELECT stmt_id, 1, 'ACCESS_EXCLUSIVE', 20, 1.0::double, true FROM p WHERE stmt_id % 4 = 2
       UNION ALL SELECT stmt_id, 1, 'ROW_EXCLUSIVE', 1, 0.02::double, false FROM p WHERE stmt_id % 4 = 3),
-    r AS (SELECT *, row_number() OVER (PARTITION BY stmt_id ORDER BY destroys_data DESC, lock_ticks DESC, failure_rate DESC, at) AS rn,
+    r AS (SELECT *, row_number() OVER (PARTITION BY stmt_id ORDER BY destroys_data DESC, lock_ticks DESC, failure_rate DESC, pos) AS rn,
       bool_or(lock_type = 'UNKNOWN') OVER (PARTITION BY stmt_id) AS unknown FROM x)
     SELECT stmt_id, CASE WHEN unknown THEN 'UNKNOWN' WHEN lock_ticks = 0 AND failure_rate = 0 AND NOT destroys_data THEN 'NONE' ELSE lock_type END AS lock_type,
       CASE WHEN unknown THEN 1 ELSE lock_ticks END AS lock_ticks, CASE WHEN unknown THEN 0.5::double ELSE failure_rate END AS failure_rate,
@@ -675,8 +670,8 @@ def e15_next_by_schema(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "e16_leaderboard",
-    f"""WITH {_FINAL}, b AS (SELECT task_id, count(*) AS runs, round(avg(score), 6) AS mean_score, max(score) AS best_score, round(avg(CASE WHEN score >= 0.9 THEN 1.0 ELSE 0.0 END), 6) AS success_rate FROM g GROUP BY 1)
-    SELECT task_id, runs, mean_score, best_score, success_rate, cast(rank() OVER (ORDER BY mean_score DESC) AS int) AS place FROM b
+    f"""WITH {_FINAL}, board AS (SELECT task_id, count(*) AS runs, round(avg(score), 6) AS mean_score, max(score) AS best_score, round(avg(CASE WHEN score >= 0.9 THEN 1.0 ELSE 0.0 END), 6) AS success_rate FROM g GROUP BY 1)
+    SELECT task_id, runs, mean_score, best_score, success_rate, cast(rank() OVER (ORDER BY mean_score DESC) AS int) AS place FROM board
     UNION ALL SELECT '*', count(*), round(avg(score), 6), max(score), round(avg(CASE WHEN score >= 0.9 THEN 1.0 ELSE 0.0 END), 6), NULL FROM g""",
 )
 def e16_leaderboard(spark: SparkSession, d: str) -> DataFrame:
@@ -699,8 +694,11 @@ def e17_tasks_dim(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
-    """A stream over the files of one table."""
-    return spark.readStream.schema(load_table(spark, d, name).schema).parquet(f"{d.rstrip('/')}/{name}.parquet")
+    """A stream over the files of one table, stored as one file or as a folder of files.
+
+    A stream source takes a pattern for either; a plain path must be a folder.
+    """
+    return spark.readStream.schema(load_table(spark, d, name).schema).parquet(f"{d.rstrip('/')}/{name}.parque[t]")
 
 
 @query(
@@ -742,9 +740,9 @@ def t2_live_episodes(spark: SparkSession, d: str) -> DataFrame:
     sink = states.writeStream.outputMode("update").foreachBatch(store).option("checkpointLocation", checkpoint)
     sink.trigger(availableNow=True).start().awaitTermination()
     latest = spark.read.parquet(path).groupBy("episode_id", "task_id").agg(
-        F.max_by(F.struct("step", "schema_match", "queries_total", "queries_failed", "cumulative_reward", "done"), "batch").alias("s")
+        F.max_by(F.struct("step", "schema_match", "queries_total", "queries_failed", "cumulative_reward", "done"), "batch").alias("__state")
     )
-    rounded = latest.select("episode_id", "task_id", "s.*")
+    rounded = latest.select("episode_id", "task_id", "__state.*")
     return rounded.withColumns({c: F.round(c, 6) for c in ("schema_match", "cumulative_reward")})
 
 
