@@ -5,12 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The ending of a partition child's name.
+CHILD_SUFFIX = r"_p(\d+)$"
+
 _SEPARATOR = "\u0001"
 
 
+_BLANKS = " \t\n\u000b\f\r"
+
+
 def strip(col: Column) -> Column:
     """Remove white space of any kind from both ends."""
-    return F.regexp_replace(col, r"^\s+|\s+$", "")
+    return F.btrim(col, F.lit(_BLANKS))
+
+
+def strip_right(col: Column) -> Column:
+    """Remove white space of any kind from the right end."""
+    return F.rtrim(col, F.lit(_BLANKS))
+
+
+def cut(col: Column, pattern: str, groups: int) -> Column:
+    """All groups of a pattern that covers the whole text, as an array, from one pass."""
+    marks = _SEPARATOR.join(f"${n}" for n in range(1, groups + 1))
+    return F.split(F.regexp_replace(col, pattern, marks), _SEPARATOR)
 
 
 def collapse(col: Column) -> Column:
@@ -37,7 +54,8 @@ def split_quoted(col: Column) -> Column:
         F.split(col, "'"),
         lambda piece, at: F.when(at % 2 == 0, F.replace(piece, F.lit(";"), F.lit(_SEPARATOR))).otherwise(piece),
     )
-    return _clean(F.split(F.array_join(pieces, "'"), _SEPARATOR))
+    quoted = F.split(F.array_join(pieces, "'"), _SEPARATOR)
+    return _clean(F.when(col.contains("'"), quoted).otherwise(F.split(col, ";")))
 
 
 def without_literals(col: Column) -> Column:
@@ -52,9 +70,25 @@ def without_parens(col: Column, depth: int = 8) -> Column:
     return col
 
 
+# a part between commas, with brackets up to three deep; possessive, so it never backtracks
+_PART = r"(?:[^,()]++|\((?:[^()]++|\((?:[^()]++|\([^()]*+\))*+\))*+\))++"
+
+
 def split_commas(col: Column) -> Column:
-    """Parts between commas that stand outside every bracket, trimmed, blanks dropped."""
+    """Parts between commas that stand outside every bracket, trimmed, blanks dropped.
 
+    One pattern does for texts with brackets up to three deep. Where the parts that it finds do
+    not make up the text again, because brackets are deeper or unbalanced, the text is folded
+    piece by piece with a count of open brackets.
+    """
+    found = F.regexp_extract_all(col, F.lit(_PART), F.lit(0))
+    parts = F.transform(
+        F.array(found), lambda these: F.when(F.array_join(these, ",") == col, these).otherwise(_fold_commas(col))
+    )
+    return _clean(F.get(parts, 0))
+
+
+def _fold_commas(col: Column) -> Column:
     def count(piece: Column, sign: str) -> Column:
         return F.length(piece) - F.length(F.replace(piece, F.lit(sign), F.lit("")))
 
@@ -74,8 +108,12 @@ def split_commas(col: Column) -> Column:
             depth,
         )
 
-    folded = F.aggregate(F.split(col, ","), state(F.array(), F.lit(""), F.lit(0)), take)
-    return _clean(F.concat(folded["parts"], F.array(folded["held"])))
+    return F.aggregate(
+        F.split(col, ","),
+        state(F.array(), F.lit(""), F.lit(0)),
+        take,
+        lambda acc: F.concat(acc["parts"], F.array(acc["held"])),
+    )
 
 
 def normalize_sql(col: Column) -> Column:
@@ -84,12 +122,12 @@ def normalize_sql(col: Column) -> Column:
     unfenced = strip(F.regexp_replace(text, r"^`+|`+$", ""))
     unfenced = F.when(F.lower(unfenced).startswith("sql"), strip(F.substring(unfenced, 4, 1 << 30))).otherwise(unfenced)
     text = F.when(text.startswith("```"), unfenced).otherwise(text)
-    lines = F.transform(F.split(text, r"\r\n|\r|\n"), lambda line: F.regexp_replace(line, r"\s+$", ""))
+    lines = F.transform(F.split(text, r"\r\n|\r|\n"), strip_right)
     text = F.array_join(F.filter(lines, lambda line: line != ""), "\n")
     return F.when((text == "") | text.endswith(";"), text).otherwise(F.concat(text, F.lit(";")))
 
 
 def child_name(col: Column) -> Column:
     """Partition child name without its table prefix: ``orders_p7`` becomes ``p7``."""
-    number = F.regexp_extract(F.lower(col), r"_p(\d+)$", 1)
+    number = F.regexp_extract(F.lower(col), CHILD_SUFFIX, 1)
     return F.when(number != "", F.concat(F.lit("p"), number)).otherwise(F.lower(col))

@@ -17,7 +17,7 @@ from tidemark.functions.scores import DONE_TOLERANCE, FAILURE_COST, PASS_SCORE,
 from tidemark.functions.text import normalize_sql
 from tidemark.functions.windows import previous_rows
 from tidemark.sources.logs import NO_OP_SQL
-from tidemark.sources.tables import broadcast_if_small
+from tidemark.sources.tables import broadcast_if_small, is_small
 
 # Fixed values: (task, difficulty, load per tick, steps allowed) and step results that are no errors.
 TASKS = [
@@ -253,13 +253,13 @@ def step_info(rewards: DataFrame) -> DataFrame:
     )
 
 
-def latest_episode(resets: DataFrame, order: str = "reset_ts") -> DataFrame:
-    """The episode of each task that was reset last; the greater id on ties.
+def latest_episode(resets: DataFrame, order: str = "reset_ts", carry: Sequence[str] = ()) -> DataFrame:
+    """The episode of each task that was reset last (the greater id on ties), with columns to carry along.
 
     One aggregate with map-side combine: each task sends one row per input partition.
     """
-    last = resets.groupBy("task_id").agg(F.max(F.struct(order, "episode_id")).alias("__last"))
-    return last.select("task_id", "__last.episode_id", f"__last.{order}")
+    last = resets.groupBy("task_id").agg(F.max(F.struct(order, "episode_id", *carry)).alias("__last"))
+    return last.select("task_id", "__last.episode_id", f"__last.{order}", *[f"__last.{c}" for c in carry])
 
 
 def resolve_grades(requests: DataFrame, current: DataFrame) -> DataFrame:
@@ -318,9 +318,12 @@ def next_pending(plan: DataFrame, history: DataFrame) -> DataFrame:
     """The first planned statement that an episode has not yet executed, or a no-op.
 
     Executed statements become their ordinals in the plan, which are combined per episode into a
-    set no longer than the plan. The plan is a short fixed list; the history is shuffled once.
+    set no longer than the plan. The plan is broadcast when it is measured to be small; the history
+    is shuffled once.
     """
+    fits = is_small(plan)
     keyed = plan.select("task_id", "ordinal", normalize_sql(F.col("sql")).alias("__sql"))
+    keyed = F.broadcast(keyed) if fits else keyed
     done = history.withColumn("__sql", F.when(F.col("result") == "SUCCESS", normalize_sql(F.col("sql")))).join(
         keyed, ["task_id", "__sql"], "left"
     )
@@ -328,7 +331,7 @@ def next_pending(plan: DataFrame, history: DataFrame) -> DataFrame:
     whole = plan.groupBy("task_id").agg(
         F.collect_list("ordinal").alias("__all"), F.map_from_entries(F.collect_list(F.struct("ordinal", "sql"))).alias("__map")
     )
-    pending = sets.join(whole, "task_id").withColumn(
+    pending = sets.join(F.broadcast(whole) if fits else whole, "task_id").withColumn(
         "next_ordinal", F.array_min(F.array_except("__all", "__done"))
     )
     return pending.select(

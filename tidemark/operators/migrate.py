@@ -19,6 +19,8 @@ from tidemark.operators.integrity import fingerprint, fk_orphans, partition_repo
 from tidemark.sources.workspace import fresh_path, shared_dir
 
 BUCKET = "bucket"
+# Message of a refused rename (table, column, referencing constraints).
+RENAME_BLOCKED = "foreign key constraint still references %s(%s); drop referencing constraint(s) first: %s"
 
 
 class MigrationError(ValueError):
@@ -69,9 +71,7 @@ def rename_column(
     blockers = [fk for fk in fks if _same(fk.ref_table, table) and _same(fk.ref_column, old)]
     if blockers:
         names = ", ".join(f"{fk.table}.{fk.name}" for fk in blockers)
-        raise MigrationError(
-            f"foreign key constraint still references {table}({old}); drop referencing constraint(s) first: {names}"
-        )
+        raise MigrationError(RENAME_BLOCKED % (table, old, names))
     if not _same(old, new) and _find(df, new) is not None:
         raise MigrationError(f"column {new} already exists")
     return df.withColumnRenamed(found, new)

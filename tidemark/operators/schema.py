@@ -3,22 +3,24 @@
 A schema is a set of frames with one row per table, column, foreign key, partition spec or
 partition child. Frames of current schemas are keyed by (snapshot_id, target_id), frames of target
 schemas by target_id. Scores are sums of points per snapshot over one union of small parts, so
-each snapshot costs one partially aggregated shuffle. Targets join without hints: Catalyst
-broadcasts them as long as they are below the session's threshold.
+each snapshot costs one partially aggregated shuffle. All snapshots share a few targets and column
+names, so a shuffle by those would put most rows into a few tasks: targets are measured once and
+broadcast when small, and only larger ones are joined by shuffle.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.scores import unit
-from tidemark.functions.text import child_name, split_commas, split_quoted, strip
+from tidemark.functions.text import child_name, cut, split_commas, split_quoted, strip
 from tidemark.functions.windows import running
+from tidemark.sources.tables import broadcast_if_small, is_small
 
 # Points in hundredths for target features found in a schema.
 TABLE_POINTS = 100
@@ -47,7 +49,11 @@ _COLUMN = (
     r"(?:\s*\([^)]*\))?)(.*)$"
 )
 _DEFAULT = r"(?is)\bDEFAULT\s+('[^']*'|[^\s(]+(?:\([^)]*\))?)"
-_FK = r"(?is)(?:CONSTRAINT\s+(\w+)\s+)?FOREIGN\s+KEY\s*\(\s*(\w+)[^)]*\)\s*REFERENCES\s+(\w+)\s*\(\s*(\w+)"
+_IS_FK = r"(?is)^(?:CONSTRAINT\s+\w+\s+)?FOREIGN\s+KEY\b"
+_FK = (
+    r"(?is)^(?:CONSTRAINT\s+(\w+)\s+)?FOREIGN\s+KEY\s*\(\s*(\w+)[^)]*\)\s*"
+    r"REFERENCES\s+(\w+)\s*\(\s*(\w+).*$"
+)
 
 
 @dataclass(frozen=True)
@@ -59,6 +65,13 @@ class Schema:
     fks: DataFrame  # key, table_name, fk_name, col_name, ref_table, ref_column
     partitions: DataFrame  # key, table_name, mode, columns
     children: DataFrame  # key, parent, child, bounds
+    small: bool | None = None  # whether all frames together were measured to be small
+
+
+def _measured(tgt: Schema) -> Schema:
+    if tgt.small is not None:
+        return tgt
+    return replace(tgt, small=is_small(tgt.tables, tgt.columns, tgt.fks, tgt.partitions, tgt.children))
 
 
 def type_text(raw: Column) -> Column:
@@ -67,36 +80,40 @@ def type_text(raw: Column) -> Column:
     return F.regexp_replace(squeezed, r"\s*([(),])\s*", "$1")
 
 
+def _column_clauses(body: Column) -> Column:
+    return F.filter(split_commas(body), lambda clause: ~clause.rlike(_NOT_A_COLUMN))
+
+
+def _fk_clauses(body: Column) -> Column:
+    return F.filter(split_commas(body), lambda clause: clause.rlike(_IS_FK))
+
+
+def _column_fields(parts: Column) -> list[Column]:
+    """Name, type and constraints from a clause cut by the column pattern."""
+    rest = F.coalesce(F.get(parts, 2), F.lit(""))
+    return [
+        F.get(parts, 0).alias("col_name"),
+        type_text(F.coalesce(F.get(parts, 1), F.lit(""))).alias("col_type"),
+        F.lower(F.regexp_extract(rest, _DEFAULT, 1)).alias("col_default"),
+        rest.rlike(r"(?i)\bNOT\s+NULL\b").alias("not_null"),
+        rest.rlike(r"(?i)\bPRIMARY\s+KEY\b").alias("is_primary"),
+    ]
+
+
+def _fk_fields(parts: Column) -> list[Column]:
+    return [F.get(parts, at).alias(name) for at, name in enumerate(("fk_name", "col_name", "ref_table", "ref_column"))]
+
+
 def column_defs(body: Column) -> Column:
     """Column definitions of a table body as an array of structs."""
-    clauses = F.filter(split_commas(body), lambda clause: ~clause.rlike(_NOT_A_COLUMN))
-
-    def parse(clause: Column, at: Column) -> Column:
-        rest = F.regexp_extract(clause, _COLUMN, 3)
-        return F.struct(
-            (at + 1).alias("ordinal"),
-            F.regexp_extract(clause, _COLUMN, 1).alias("col_name"),
-            type_text(F.regexp_extract(clause, _COLUMN, 2)).alias("col_type"),
-            F.lower(F.regexp_extract(rest, _DEFAULT, 1)).alias("col_default"),
-            rest.rlike(r"(?i)\bNOT\s+NULL\b").alias("not_null"),
-            rest.rlike(r"(?i)\bPRIMARY\s+KEY\b").alias("is_primary"),
-        )
-
-    return F.transform(clauses, parse)
+    parts = F.transform(_column_clauses(body), lambda clause: cut(clause, _COLUMN, 3))
+    return F.transform(parts, lambda p: F.struct(*_column_fields(p)))
 
 
 def fk_defs(body: Column) -> Column:
     """Foreign keys of a table body as an array of structs; the first column of each counts."""
-    clauses = F.filter(split_commas(body), lambda clause: clause.rlike(_FK))
-    return F.transform(
-        clauses,
-        lambda clause: F.struct(
-            F.regexp_extract(clause, _FK, 1).alias("fk_name"),
-            F.regexp_extract(clause, _FK, 2).alias("col_name"),
-            F.regexp_extract(clause, _FK, 3).alias("ref_table"),
-            F.regexp_extract(clause, _FK, 4).alias("ref_column"),
-        ),
-    )
+    parts = F.transform(_fk_clauses(body), lambda clause: cut(clause, _FK, 4))
+    return F.transform(parts, lambda p: F.struct(*_fk_fields(p)))
 
 
 def names_list(text: Column) -> Column:
@@ -128,13 +145,19 @@ def ddl_to_tables(ddl: DataFrame, text: str = "ddl") -> DataFrame:
 def ddl_to_columns(ddl: DataFrame, text: str = "ddl") -> DataFrame:
     """Columns of the tables created by each DDL text."""
     keys = [c for c in ddl.columns if c != text]
-    return _creates(ddl, text).select(*keys, "table_name", F.inline(column_defs(F.col("body"))))
+    clauses = _creates(ddl, text).select(
+        *keys, "table_name", F.posexplode(_column_clauses(F.col("body"))).alias("__at", "__clause")
+    )
+    cells = clauses.withColumn("__parts", cut(F.col("__clause"), _COLUMN, 3))
+    return cells.select(*keys, "table_name", (F.col("__at") + 1).alias("ordinal"), *_column_fields(F.col("__parts")))
 
 
 def ddl_to_fks(ddl: DataFrame, text: str = "ddl") -> DataFrame:
     """Foreign keys of the tables created by each DDL text."""
     keys = [c for c in ddl.columns if c != text]
-    return _creates(ddl, text).select(*keys, "table_name", F.inline(fk_defs(F.col("body"))))
+    clauses = _creates(ddl, text).select(*keys, "table_name", F.explode(_fk_clauses(F.col("body"))).alias("__clause"))
+    cells = clauses.withColumn("__parts", cut(F.col("__clause"), _FK, 4))
+    return cells.select(*keys, "table_name", *_fk_fields(F.col("__parts")))
 
 
 def ddl_to_partitions(ddl: DataFrame, text: str = "ddl") -> tuple[DataFrame, DataFrame]:
@@ -167,17 +190,21 @@ def _part(df: DataFrame, keys: Sequence[str], **values: Column) -> DataFrame:
 
 def _parts(cur: Schema, tgt: Schema) -> list[DataFrame]:
     """Points and unexpected features of each row of the current schemas."""
+
+    def side(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if tgt.small else df
+
     has_table = tgt.tables.select("target_id", "table_name").distinct()
     child_tables = tgt.children.select("target_id", F.col("child").alias("table_name"))
     scored_tables = has_table.join(child_tables, ["target_id", "table_name"], "left_anti")
 
-    tables = cur.tables.select(*_KEY, "table_name").join(scored_tables, ["target_id", "table_name"])
+    tables = cur.tables.select(*_KEY, "table_name").join(side(scored_tables), ["target_id", "table_name"])
 
     wanted = tgt.columns.select(
         "target_id", "table_name", "col_name", *[F.col(a).alias(f"t_{a}") for a in ATTRIBUTES], F.lit(True).alias("__in")
     )
-    columns = cur.columns.join(has_table, ["target_id", "table_name"]).join(
-        wanted, ["target_id", "table_name", "col_name"], "left"
+    columns = cur.columns.join(side(has_table), ["target_id", "table_name"]).join(
+        side(wanted), ["target_id", "table_name", "col_name"], "left"
     )
     points = F.lit(COLUMN_POINTS["present"])
     for a in ATTRIBUTES:
@@ -189,14 +216,14 @@ def _parts(cur: Schema, tgt: Schema) -> list[DataFrame]:
     fks = (
         cur.fks.select(*_KEY, *fk)
         .distinct()
-        .join(has_table, ["target_id", "table_name"])
-        .join(wanted_fks, ["target_id", *fk], "left")
+        .join(side(has_table), ["target_id", "table_name"])
+        .join(side(wanted_fks), ["target_id", *fk], "left")
     )
 
     wanted_modes = tgt.partitions.select(
         "target_id", "table_name", F.col("mode").alias("t_mode"), F.col("columns").alias("t_columns")
     )
-    modes = cur.partitions.join(wanted_modes, ["target_id", "table_name"])
+    modes = cur.partitions.join(side(wanted_modes), ["target_id", "table_name"])
     same_mode = F.col("mode").eqNullSafe(F.col("t_mode"))
     same_columns = F.col("columns").eqNullSafe(F.col("t_columns"))
 
@@ -217,7 +244,7 @@ def _parts(cur: Schema, tgt: Schema) -> list[DataFrame]:
     exact = (F.col("child") == F.col("t_child")) & F.col("bounds").eqNullSafe(F.col("t_bounds"))
     children = (
         cur.children.withColumn("__name", child_name(F.col("child")))
-        .join(wanted_children, ["target_id", "parent", "__name"], "left")
+        .join(side(wanted_children), ["target_id", "parent", "__name"], "left")
         .groupBy(*_KEY, "parent", "__name", "t_child")
         .agg(
             F.max(
@@ -286,7 +313,7 @@ def _totals(snapshots: DataFrame, cur: Schema, tgt: Schema) -> DataFrame:
 
 def schema_extras(snapshots: DataFrame, cur: Schema, tgt: Schema) -> DataFrame:
     """Unexpected features of each snapshot and their capped penalty."""
-    return _totals(snapshots, cur, tgt).select(*_KEY, *_EXTRAS, _penalty().alias("penalty"))
+    return _totals(snapshots, cur, _measured(tgt)).select(*_KEY, *_EXTRAS, _penalty().alias("penalty"))
 
 
 def schema_match(snapshots: DataFrame, cur: Schema, tgt: Schema, ddl: str | None = None, target_ddl: DataFrame | None = None) -> DataFrame:
@@ -296,14 +323,16 @@ def schema_match(snapshots: DataFrame, cur: Schema, tgt: Schema, ddl: str | None
     ``target_ddl`` gives (target_id, target_ddl), equal texts match fully. So does any schema when
     its target has no tables.
     """
-    totals = _totals(snapshots, cur, tgt).join(target_points(tgt), "target_id", "left")
+    tgt = _measured(tgt)
+    whole = target_points(tgt)
+    totals = _totals(snapshots, cur, tgt).join(F.broadcast(whole) if tgt.small else whole, "target_id", "left")
     base = F.least(F.lit(1.0), F.col("points") / F.col("target_points"))
     score = F.when(F.col("target_points").isNull(), F.lit(1.0)).otherwise(unit(base - _penalty()))
     scored = totals.select(*_KEY, score.alias("schema_match"))
     if ddl is None or target_ddl is None:
         return scored
     equal = (
-        snapshots.join(target_ddl, "target_id")
+        snapshots.join(broadcast_if_small(target_ddl), "target_id")
         .filter(strip(F.col(ddl)) == strip(F.col("target_ddl")))
         .select(*_KEY, F.lit(1.0).alias("__equal"))
     )
@@ -314,12 +343,15 @@ def schema_match(snapshots: DataFrame, cur: Schema, tgt: Schema, ddl: str | None
 
 def schema_diff(snapshots: DataFrame, cur: Schema, tgt: Schema) -> DataFrame:
     """Columns that are missing, extra (in tables the target knows) or changed, and in which attributes."""
+    tgt = _measured(tgt)
     name = ["table_name", "col_name"]
-    expected = snapshots.select(*_KEY).join(
-        tgt.columns.select("target_id", *name, *[F.col(a).alias(f"t_{a}") for a in ATTRIBUTES], F.lit(True).alias("__t")),
-        "target_id",
+    wanted = tgt.columns.select(
+        "target_id", *name, *[F.col(a).alias(f"t_{a}") for a in ATTRIBUTES], F.lit(True).alias("__t")
     )
     has_table = tgt.tables.select("target_id", "table_name").distinct()
+    if tgt.small:
+        wanted, has_table = F.broadcast(wanted), F.broadcast(has_table)
+    expected = snapshots.select(*_KEY).join(wanted, "target_id")
     present = cur.columns.select(*_KEY, *name, *ATTRIBUTES, F.lit(True).alias("__c")).join(
         has_table, ["target_id", "table_name"], "left_semi"
     )

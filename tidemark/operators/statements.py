@@ -48,6 +48,19 @@ COPY_ROWS_PER_UNIT = 1000
 COPY_TICKS_PER_UNIT = 15
 COPY_RATE_BOUNDED = 0.15
 COPY_RATE_UNBOUNDED = 0.6
+COPY_RANGE = r"BETWEEN\s+(\d+)\s+AND\s+(\d+)"
+COPY_LIMIT = r"LIMIT\s+(\d+)"
+# Forms of the statements that a preflight looks at, and its messages.
+RENAME_FORM = r"(?is)^ALTER\s+TABLE\s+(\w+)\s+RENAME\s+COLUMN\s+(\w+)\s+TO\s+(\w+)"
+DROP_FORM = r"(?is)^ALTER\s+TABLE\s+(\w+)\s+DROP\s+CONSTRAINT\s+(IF\s+EXISTS\s+)?(\w+)"
+ADD_FORM = (
+    r"(?is)^ALTER\s+TABLE\s+(\w+)\s+ADD\s+CONSTRAINT\s+(\w+)\s+FOREIGN\s+KEY\s*\(\s*(\w+)\s*\)\s*"
+    r"REFERENCES\s+(\w+)\s*\(\s*(\w+)\s*\)"
+)
+MISSING_CONSTRAINT = "constraint %s does not exist on %s"
+DUPLICATE_CONSTRAINT = "constraint %s already exists on %s"
+MISSING_COLUMN = "column %s.%s does not exist for foreign key"
+MISSING_REFERENCE = "referenced column %s.%s does not exist"
 
 
 def _profile(values: tuple[str, int, float, bool]) -> Column:
@@ -89,10 +102,9 @@ def expand_add_columns(df: DataFrame, statement: str = "statement") -> DataFrame
 def copy_cost(sql: Column) -> Column:
     """Lock profile of ``INSERT … SELECT`` from the number of rows that its text announces."""
     text = F.upper(sql)
-    between = r"BETWEEN\s+(\d+)\s+AND\s+(\d+)"
-    lo = F.regexp_extract(text, between, 1).try_cast("decimal(38,0)")
-    hi = F.regexp_extract(text, between, 2).try_cast("decimal(38,0)")
-    limit = F.regexp_extract(text, r"LIMIT\s+(\d+)", 1).try_cast("decimal(38,0)")
+    lo = F.regexp_extract(text, COPY_RANGE, 1).try_cast("decimal(38,0)")
+    hi = F.regexp_extract(text, COPY_RANGE, 2).try_cast("decimal(38,0)")
+    limit = F.regexp_extract(text, COPY_LIMIT, 1).try_cast("decimal(38,0)")
     announced = F.coalesce(hi - lo + 1, limit, F.lit(COPY_DEFAULT_ROWS))
     rows = F.greatest(F.lit(1), announced)
     ticks = F.greatest(F.lit(1), F.ceil(rows / COPY_ROWS_PER_UNIT) * COPY_TICKS_PER_UNIT)
@@ -105,63 +117,70 @@ def copy_cost(sql: Column) -> Column:
     )
 
 
-def _texts(statement: Column) -> Column:
-    """The forms of a statement that the rules look at, worked out once."""
-    text = collapse(statement)
-    bare = without_literals(text)
-    return F.struct(text.alias("text"), bare.alias("bare"), without_parens(bare).alias("top"))
-
+def _lock_rules(text: Column, bare: Column) -> Column:
+    """Lock profile from a collapsed statement and the same without the contents of literals.
 
-def _lock_rules(forms: Column) -> Column:
-    text, bare, top = forms["text"], forms["bare"], forms["top"]
-    dropped = F.regexp_extract(bare, r'^DROP TABLE (?:IF EXISTS )?(?:"?\w+"?\.)*"?(\w+)', 1)
-    is_insert = bare.rlike(r"^(?:WITH .*\) )?INSERT ")
-    is_delete = bare.rlike(r"^(?:WITH .*\) )?DELETE ")
-    is_select = (
-        bare.rlike(r"^(?:WITH|SELECT)\b")
-        & ~top.rlike(r"\b(?:UNION|EXCEPT|INTERSECT)\b")
-        & ~top.rlike(r"^WITH .*\b(?:UPDATE|DELETE|INSERT)\b")
-    )
-    alters = bare.rlike("^ALTER TABLE ")
+    The first word picks the rules, and bracketed parts are removed only where they matter.
+    """
+    verb = F.substring_index(F.substring_index(bare, " ", 1), ";", 1)
+    main = F.when(verb == "WITH", F.regexp_extract(without_parens(bare), r"\b(SELECT|INSERT|UPDATE|DELETE)\b", 1)).otherwise(verb)
 
-    def altering(*words: str) -> Column:
-        found = alters
+    def says(*words: str) -> Column:
+        found = F.lit(True)
         for word in words:
             found = found & text.contains(word)
         return found
 
-    return (
-        F.when((dropped != "") & dropped.endswith("_OLD"), _profile(DROP_OLD))
-        .when(bare.rlike(r"^DROP TABLE\b"), _profile(DESTROY))
-        .when(bare.rlike(r"^TRUNCATE\b"), _profile(DESTROY))
-        .when(is_delete & ~top.rlike(r"\bWHERE\b"), _profile(DESTROY))
-        .when(bare.rlike(r"^CREATE (?:UNIQUE )?INDEX CONCURRENTLY\b"), _profile(INDEX_CONCURRENT))
+    dropped = F.regexp_extract(bare, r'^DROP TABLE (?:IF EXISTS )?(?:"?\w+"?\.)*"?(\w+)', 1)
+    drop = F.when(dropped.endswith("_OLD"), _profile(DROP_OLD)).when(bare.rlike(r"^DROP TABLE\b"), _profile(DESTROY))
+    delete = F.when(~without_parens(bare).rlike(r"\bWHERE\b"), _profile(DESTROY))
+    create = (
+        F.when(bare.rlike(r"^CREATE (?:UNIQUE )?INDEX CONCURRENTLY\b"), _profile(INDEX_CONCURRENT))
         .when(bare.rlike(r"^CREATE (?:UNIQUE )?INDEX\b"), _profile(INDEX_PLAIN))
-        .when(bare.rlike(r"^CREATE (?:(?:GLOBAL |LOCAL )?TEMP(?:ORARY)? |UNLOGGED )?TABLE\b"), _profile(CREATE_TABLE))
-        .when(is_insert & text.contains("SELECT"), copy_cost(text))
-        .when(is_insert, _profile(INSERT_VALUES))
-        .when(altering("ALTER COLUMN", "TYPE"), _profile(ALTER_TYPE))
-        .when(altering("RENAME COLUMN"), _profile(RENAME_COLUMN))
-        .when(altering("RENAME TO"), _profile(RENAME_TABLE))
-        .when(altering("DROP COLUMN"), _profile(DROP_COLUMN))
-        .when(altering("DROP CONSTRAINT"), _profile(DROP_CONSTRAINT))
-        .when(altering("ADD CONSTRAINT", "FOREIGN KEY"), _profile(ADD_FOREIGN_KEY))
-        .when(altering("ADD COLUMN", "DEFAULT"), _profile(ADD_DEFAULTED))
-        .when(altering("ADD COLUMN"), _profile(ADD_PLAIN))
-        .when(is_select, _profile(READ_ONLY))
-        .otherwise(_profile(UNKNOWN))
+        .when(
+            bare.rlike(r"^CREATE (?:(?:GLOBAL |LOCAL )?TEMP(?:ORARY)? |UNLOGGED )?TABLE\b"), _profile(CREATE_TABLE)
+        )
+    )
+    insert = F.when(says("SELECT"), copy_cost(text)).otherwise(_profile(INSERT_VALUES))
+    alter = F.when(
+        bare.startswith("ALTER TABLE "),
+        F.when(says("ALTER COLUMN", "TYPE"), _profile(ALTER_TYPE))
+        .when(says("RENAME COLUMN"), _profile(RENAME_COLUMN))
+        .when(says("RENAME TO"), _profile(RENAME_TABLE))
+        .when(says("DROP COLUMN"), _profile(DROP_COLUMN))
+        .when(says("DROP CONSTRAINT"), _profile(DROP_CONSTRAINT))
+        .when(says("ADD CONSTRAINT", "FOREIGN KEY"), _profile(ADD_FOREIGN_KEY))
+        .when(says("ADD COLUMN", "DEFAULT"), _profile(ADD_DEFAULTED))
+        .when(says("ADD COLUMN"), _profile(ADD_PLAIN)),
     )
+    select = F.when(~without_parens(bare).rlike(r"\b(?:UNION|EXCEPT|INTERSECT)\b"), _profile(READ_ONLY))
+    known = (
+        F.when(main == "ALTER", alter)
+        .when(main == "INSERT", insert)
+        .when(main == "SELECT", select)
+        .when(main == "CREATE", create)
+        .when(main == "DROP", drop)
+        .when(main == "DELETE", delete)
+        .when(main == "TRUNCATE", _profile(DESTROY))
+    )
+    return F.coalesce(known, _profile(UNKNOWN))
 
 
 def classify_locks(df: DataFrame, statement: str = "statement") -> DataFrame:
     """Add the lock profile of each statement as four columns."""
-    forms = df.withColumn("__t", _texts(F.col(statement)))
-    return forms.withColumn("__p", _lock_rules(F.col("__t"))).select(*df.columns, "__p.*")
+    texts = df.withColumn("__text", collapse(F.col(statement)))
+    texts = texts.withColumn("__bare", without_literals(F.col("__text")))
+    ruled = texts.withColumn("__p", _lock_rules(F.col("__text"), F.col("__bare")))
+    return ruled.select(*df.columns, "__p.*")
 
 
 def script_locks(sql: Column) -> Column:
     """Lock profiles of the statements of a script, in order."""
-    return F.transform(F.transform(split_quoted(sql), _texts), _lock_rules)
+    texts = F.transform(
+        F.transform(split_quoted(sql), collapse),
+        lambda text: F.struct(text.alias("text"), without_literals(text).alias("bare")),
+    )
+    return F.transform(texts, lambda forms: _lock_rules(forms["text"], forms["bare"]))
 
 
 def worst_lock(each: Column) -> Column:
@@ -228,34 +247,26 @@ def flag_repeats(
     return seen.select(*df.columns, F.coalesce(repeats, F.lit(False)).alias("repeats_failed"))
 
 
-_NAME = r"(\w+)"
-_RENAME = rf"(?is)^ALTER TABLE\s+{_NAME}\s+RENAME COLUMN\s+{_NAME}\s+TO\s+{_NAME}"
-_DROP = rf"(?is)^ALTER TABLE\s+{_NAME}\s+DROP CONSTRAINT(\s+IF EXISTS)?\s+{_NAME}"
-_ADD = (
-    rf"(?is)^ALTER TABLE\s+{_NAME}\s+ADD CONSTRAINT\s+{_NAME}\s+FOREIGN KEY\s*"
-    rf"\(\s*{_NAME}\s*\)\s+REFERENCES\s+{_NAME}\s*\(\s*{_NAME}\s*\)"
-)
-
-
 def preflight_rename(stmts: DataFrame, fks: DataFrame, by: Sequence[str] = (), statement: str = "statement") -> DataFrame:
     """Column renames with the foreign keys that block them.
 
     ``fks`` holds (table_name, fk_name, ref_table, ref_column) and the columns in ``by``, such as
     the schema a statement ran against. The blockers of a column are listed once, before the
-    join, so the join adds no rows.
+    join, so the join adds no rows. Without ``by`` there is one schema for all statements, which is
+    broadcast when it is measured to be small.
     """
     text = strip(F.col(statement))
-    renames = stmts.filter(text.rlike(_RENAME)).select(
+    renames = stmts.filter(text.rlike(RENAME_FORM)).select(
         "*",
-        F.regexp_extract(text, _RENAME, 1).alias("table_name"),
-        F.regexp_extract(text, _RENAME, 2).alias("old_name"),
-        F.regexp_extract(text, _RENAME, 3).alias("new_name"),
+        F.regexp_extract(text, RENAME_FORM, 1).alias("table_name"),
+        F.regexp_extract(text, RENAME_FORM, 2).alias("old_name"),
+        F.regexp_extract(text, RENAME_FORM, 3).alias("new_name"),
     )
     blockers = fks.groupBy(*by, F.lower("ref_table").alias("__t"), F.lower("ref_column").alias("__c")).agg(
         F.concat_ws(", ", F.array_sort(F.collect_set(F.concat_ws(".", "table_name", "fk_name")))).alias("blockers")
     )
     keyed = renames.withColumn("__t", F.lower("table_name")).withColumn("__c", F.lower("old_name"))
-    joined = keyed.join(broadcast_if_small(blockers), [*by, "__t", "__c"], "left")
+    joined = keyed.join(blockers if by else broadcast_if_small(blockers), [*by, "__t", "__c"], "left")
     return joined.select(
         *stmts.columns,
         "table_name",
@@ -276,17 +287,17 @@ def preflight_constraints(
     its column is missing, the referenced column is missing. Lookups go by distinct names.
     """
     text = strip(F.col(statement))
-    adds, drops = text.rlike(_ADD), text.rlike(_DROP)
+    adds, drops = text.rlike(ADD_FORM), text.rlike(DROP_FORM)
 
     def of_add(group: int) -> Column:
-        return F.when(adds, F.regexp_extract(text, _ADD, group))
+        return F.when(adds, F.regexp_extract(text, ADD_FORM, group))
 
     changes = stmts.filter(adds | drops).select(
         "*",
         F.when(adds, "ADD").otherwise("DROP").alias("action"),
-        F.when(adds, of_add(1)).otherwise(F.regexp_extract(text, _DROP, 1)).alias("table_name"),
-        F.when(adds, of_add(2)).otherwise(F.regexp_extract(text, _DROP, 3)).alias("constraint_name"),
-        (~adds & (F.regexp_extract(text, _DROP, 2) != "")).alias("if_exists"),
+        F.when(adds, of_add(1)).otherwise(F.regexp_extract(text, DROP_FORM, 1)).alias("table_name"),
+        F.when(adds, of_add(2)).otherwise(F.regexp_extract(text, DROP_FORM, 3)).alias("constraint_name"),
+        (~adds & (F.regexp_extract(text, DROP_FORM, 2) != "")).alias("if_exists"),
         of_add(3).alias("local_column"),
         of_add(4).alias("ref_table"),
         of_add(5).alias("ref_column"),
@@ -294,7 +305,7 @@ def preflight_constraints(
 
     def lookup(frame: DataFrame, names: DataFrame, name: str, table: str, col: str, flag: str) -> DataFrame:
         held = names.select(*by, F.lower("table_name").alias("__t"), F.lower(name).alias("__c")).distinct()
-        held = broadcast_if_small(held).withColumn(flag, F.lit(True))
+        held = (held if by else broadcast_if_small(held)).withColumn(flag, F.lit(True))
         keyed = frame.withColumn("__t", F.lower(table)).withColumn("__c", F.lower(col))
         return keyed.join(held, [*by, "__t", "__c"], "left").drop("__t", "__c")
 
@@ -305,19 +316,19 @@ def preflight_constraints(
     problem = (
         F.when(
             ~add & ~F.col("if_exists") & F.col("__has").isNull(),
-            F.format_string("constraint %s does not exist on %s", "constraint_name", "table_name"),
+            F.format_string(MISSING_CONSTRAINT, "constraint_name", "table_name"),
         )
         .when(
             add & F.col("__has").isNotNull(),
-            F.format_string("constraint %s already exists on %s", "constraint_name", "table_name"),
+            F.format_string(DUPLICATE_CONSTRAINT, "constraint_name", "table_name"),
         )
         .when(
             add & F.col("__local").isNull(),
-            F.format_string("column %s.%s does not exist for foreign key", "table_name", "local_column"),
+            F.format_string(MISSING_COLUMN, "table_name", "local_column"),
         )
         .when(
             add & F.col("__ref").isNull(),
-            F.format_string("referenced column %s.%s does not exist", "ref_table", "ref_column"),
+            F.format_string(MISSING_REFERENCE, "ref_table", "ref_column"),
         )
     )
     return seen.select(*stmts.columns, "action", "table_name", "constraint_name", problem.alias("problem"))

@@ -579,9 +579,8 @@ _LAST = """SELECT task_id, max(episode_id) AS episode_id FROM g GROUP BY 1"""
       CASE WHEN cur.episode_id IS NULL THEN '{E.NO_EPISODE}' WHEN q.episode_id <> cur.episode_id THEN '{E.OTHER_EPISODE}' ELSE label END AS feedback FROM q LEFT JOIN cur ON q.task_id = cur.task_id""",
 )
 def e10_resolve_grades(spark: SparkSession, d: str) -> DataFrame:
-    scored = _scored(spark, d)
-    resets = scored.select("task_id", "episode_id", F.col("episode_id").alias("reset_ts"))
-    current = scored.join(E.latest_episode(resets).select("task_id", "episode_id"), ["task_id", "episode_id"], "left_semi")
+    scored = _scored(spark, d).withColumn("reset_ts", F.col("episode_id"))
+    current = E.latest_episode(scored, carry=["score", "feedback"])
     requests = load_table(spark, d, "customer").selectExpr(
         "c_custkey AS request_id",
         "CASE c_custkey % 4 WHEN 0 THEN 'easy_add_column' WHEN 1 THEN 'medium_rename_fk' WHEN 2 THEN 'hard_repartition' ELSE 'unknown_task' END AS task_id",

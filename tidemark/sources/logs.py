@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.scores import bounded
-from tidemark.functions.text import strip
+from tidemark.functions.text import cut, strip
 
 # Statements and modes that stand in for missing ones.
 NO_OP_SQL = "SELECT 1;"
@@ -21,6 +21,10 @@ MODES = ("transaction", "autocommit")
 TASK_IDS = ("easy_add_column", "medium_rename_fk", "hard_repartition")
 
 
+# The format of a step line.
+_STEP_LINE = r"^\[STEP\] step=(\d+) action=(.*) reward=(\S+) done=(true|false) error=(.*)$"
+
+
 def _field(line: Column, name: str, value: str = r"\S+") -> Column:
     found = F.regexp_extract(line, rf"(?:^|\s){name}=({value})", 1)
     return F.when(found != "", found)
@@ -34,27 +38,31 @@ def parse_run_log(lines: DataFrame, line: str = "line") -> DataFrame:
     that is anchored at both ends.
     """
     text = strip(F.col(line))
-    kind = F.regexp_extract(text, r"^\[(START|STEP|END)\]", 1)
-    step = r"^\[STEP\] step=(\d+) action=(.*) reward=(\S+) done=(true|false) error=(.*)$"
+    tagged = lines.withColumn("__text", text).withColumn(
+        "kind", F.regexp_extract("__text", r"^\[(START|STEP|END)\]", 1)
+    )
+    parts = tagged.filter(F.col("kind") != "").withColumn(
+        "__step", F.when(F.col("kind") == "STEP", cut(F.col("__text"), _STEP_LINE, 5))
+    )
 
-    def of_step(group: int) -> Column:
-        return F.when(kind == "STEP", F.regexp_extract(text, step, group))
+    def of_step(at: int) -> Column:
+        return F.get("__step", at)
 
     def of_other(name: str) -> Column:
-        return F.when(kind != "STEP", _field(text, name))
+        return F.when(F.col("kind") != "STEP", _field(F.col("__text"), name))
 
-    action = of_step(2)
-    error = of_step(5)
+    # a step line that does not fit the pattern stays one part
+    action, error = of_step(1), of_step(4)
     rewards = F.transform(F.split(of_other("rewards"), ","), lambda part: part.try_cast("double"))
-    return lines.filter(kind != "").select(
+    return parts.select(
         *[c for c in lines.columns if c != line],
-        kind.alias("kind"),
+        "kind",
         of_other("task").alias("task_id"),
         of_other("model").alias("model"),
-        of_step(1).try_cast("int").alias("step"),
+        F.when(F.size("__step") == 5, of_step(0)).try_cast("int").alias("step"),
         F.when(action != "", action).alias("action"),
-        of_step(3).try_cast("double").alias("reward"),
-        of_step(4).try_cast("boolean").alias("done"),
+        of_step(2).try_cast("double").alias("reward"),
+        of_step(3).try_cast("boolean").alias("done"),
         F.when((error != "") & (error != "null"), error).alias("error"),
         of_other("success").try_cast("boolean").alias("success"),
         of_other("steps").try_cast("int").alias("steps"),

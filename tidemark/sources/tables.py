@@ -35,15 +35,29 @@ def write_batched(df: DataFrame, path: str, max_rows: int, mode: str = "errorife
     df.write.mode(mode).option("maxRecordsPerFile", max_rows).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, max_bytes: int = 32 << 20) -> DataFrame:
+_BROADCAST_BYTES = 32 << 20
+
+
+def is_small(*frames: DataFrame, max_bytes: int = _BROADCAST_BYTES) -> bool:
+    """Whether the frames' content is measured to be at most ``max_bytes`` in all.
+
+    The measure is one job of partial aggregates; nothing is collected but the sum.
+    """
+    sizes = [
+        df.agg(F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0)).cast("bigint").alias("bytes"))
+        for df in frames
+    ]
+    total = reduce(DataFrame.unionByName, sizes).agg(F.sum("bytes").alias("bytes")).first()["bytes"]
+    return total <= max_bytes
+
+
+def broadcast_if_small(df: DataFrame, max_bytes: int = _BROADCAST_BYTES) -> DataFrame:
     """Mark ``df`` for broadcast when its content is measured to be at most ``max_bytes``.
 
-    The measure is one partial aggregate over the table. Beyond the limit the frame is returned
-    unmarked, and the join runs as a shuffle join that adaptive execution may split on skew.
+    Beyond the limit the frame is returned unmarked, and the join runs as a shuffle join that
+    adaptive execution may split on skew.
     """
-    size = F.sum(F.octet_length(F.to_json(F.struct("*")))) if df.columns else F.lit(0)
-    measured = df.agg(F.coalesce(size, F.lit(0)).alias("bytes")).first()["bytes"]
-    return F.broadcast(df) if measured <= max_bytes else df
+    return F.broadcast(df) if is_small(df, max_bytes=max_bytes) else df
 
 
 def read_bucketed(spark: SparkSession, path: str, key: str, value: object, modulus: int, bucket: str) -> DataFrame:

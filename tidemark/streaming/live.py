@@ -46,6 +46,9 @@ _OUTPUT = (
     "queries_failed long, cumulative_reward double, done boolean"
 )
 
+_INPUT = ["step", "max_steps", "result", "schema_match", "queries_total", "queries_failed", "data_integrity", "valid"]
+_RESULT = [part.split()[0] for part in _OUTPUT.split(", ")]
+
 
 def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Fold the new steps of one episode into its state.
@@ -53,30 +56,26 @@ def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
     A step that is not newer than the last one applied is a replay and is ignored.
     """
     at, match, total, failed, reward, done = state.get if state.exists else (-1, 0.0, 0, 0, 0.0, False)
-    steps = pd.concat(list(batches)).sort_values("step")
-    for row in steps.itertuples(index=False):
-        if done or row.step <= at:
+    steps = sorted(row for batch in batches for row in zip(*[batch[name].tolist() for name in _INPUT]))
+    for step, limit, result, new_match, queries, lost, kept, valid in steps:
+        if done or step <= at:
             continue
-        at = int(row.step)
+        at = step
         if at == 0:
-            match = float(row.schema_match)
-        elif not row.valid:
+            match = new_match
+        elif not valid:
             reward -= FAILURE_COST
-            done = at >= row.max_steps
+            done = at >= limit
         else:
-            gain = max(0.0, row.schema_match - match)
-            served = 1 - (row.queries_failed / row.queries_total if row.queries_total else 0.0)
-            reward += gain * served * row.data_integrity - (0.0 if row.result == "SUCCESS" else FAILURE_COST)
-            match = float(row.schema_match)
-            total += int(row.queries_total)
-            failed += int(row.queries_failed)
-            done = at >= row.max_steps or match >= 1 - DONE_TOLERANCE
-    state.update((at, match, total, failed, reward, bool(done)))
-    yield pd.DataFrame([(key[0], key[1], at, match, total, failed, reward, bool(done))], columns=_columns())
-
-
-def _columns() -> list[str]:
-    return [part.split()[0] for part in _OUTPUT.split(", ")]
+            served = 1 - (lost / queries if queries else 0.0)
+            reward += max(0.0, new_match - match) * served * kept - (0.0 if result == "SUCCESS" else FAILURE_COST)
+            match = new_match
+            total += queries
+            failed += lost
+            done = at >= limit or match >= 1 - DONE_TOLERANCE
+    state.update((at, match, total, failed, reward, done))
+    values = (key[0], key[1], at, match, total, failed, reward, done)
+    yield pd.DataFrame({name: [value] for name, value in zip(_RESULT, values)})
 
 
 def live_episodes(steps: DataFrame, tasks: DataFrame) -> DataFrame:
