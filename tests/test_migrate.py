@@ -145,3 +145,11 @@ def test_publish_swap_replaces_the_live_table(spark):
     assert fingerprint(published, ["id", "user_id"]).first() == fingerprint(events).first()
     assert not spark.catalog.tableExists(f"{table}_old")
     assert not spark.catalog.tableExists(f"{table}_new")
+
+
+def test_copies_of_one_row_are_spread(spark):
+    same = spark.range(0, 16000, 1, 16).selectExpr("7 AS k", "'x' AS v")
+    moved = M.hash_repartition(same, "k", 2, spread=8)
+    sizes = [r["n"] for r in moved.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert max(sizes) <= 16000 * 0.5
+    assert sum(sizes) == 16000

@@ -52,17 +52,21 @@ def lock_impact(
 
     Instead of pairing queries with windows, the bounds of the windows are placed on the shard's
     time line and read off running counts: inside = count before end - count before start. The
-    cost is that of one scan whatever the overlap, and a hot shard is spread over its time spans.
+    cost does not depend on the overlap. Queries at the same instant are counted together on the
+    map side, and a hot shard is spread over its time spans.
     """
 
     def point(ts: str):
         return F.unix_micros(F.col(ts).cast("timestamp"))
 
-    queries = workload.select(
+    counted = workload.groupBy(on, point("ts").alias("at")).agg(
+        F.count(F.lit(1)).alias("q"), F.count_if("failed").alias("f")
+    )
+    queries = counted.select(
         on,
-        point("ts").alias("at"),
-        F.lit(1).cast("bigint").alias("q"),
-        F.col("failed").cast("bigint").alias("f"),
+        "at",
+        "q",
+        "f",
         F.lit(None).cast("bigint").alias("lock_id"),
         F.lit(0).alias("sign"),
         F.lit(1).alias("rank"),

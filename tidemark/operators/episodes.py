@@ -99,16 +99,16 @@ def step_rewards(steps: DataFrame, tasks: DataFrame, start_match: float = 0.0) -
     """
     valid = _valid(steps)
     destroys = F.coalesce(F.col("destroys_data"), F.lit(False)) if "destroys_data" in steps.columns else F.lit(False)
-    window = Window.partitionBy("episode_id", "__span").orderBy("step")
+    window = Window.partitionBy("episode_id").orderBy("step")
     before = window.rowsBetween(Window.unboundedPreceding, -1)
     upto = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
     spread = _spread(steps, tasks).withColumns(
         {"__valid": valid, "__ends": _ends(valid), "__match": F.when(valid, F.col("schema_match"))}
     )
-    seen = spread.select(
+    seen = spread.filter(F.col("__span") == 0).select(
         "*",
-        (F.coalesce(F.max("__ends").over(before), F.lit(False)) | (F.col("__span") > 0)).alias("masked"),
+        F.coalesce(F.max("__ends").over(before), F.lit(False)).alias("masked"),
         F.coalesce(F.last("__match", ignorenulls=True).over(before), F.lit(start_match)).alias("previous_match"),
     )
     counted = F.col("__valid") & ~F.col("masked") & (F.col("step") > 0)
@@ -142,15 +142,18 @@ def step_rewards(steps: DataFrame, tasks: DataFrame, start_match: float = 0.0) -
     result = F.when(F.col("masked"), F.lit("EPISODE_DONE")).otherwise(F.col("result")).alias("result")
     own = [c if c != "result" else result for c in steps.columns]
     done = (F.col("__ends") | F.col("masked")).alias("done")
-    allowed = rewarded.filter(F.col("__span") == 0).select(*own, done, "masked", "downtime_pct", "reward", *live)
+    allowed = rewarded.select(*own, done, "masked", "downtime_pct", "reward", *live)
+    beyond = spread.filter(F.col("__span") > 0)
+    if beyond.isEmpty():
+        return allowed
     final = allowed.groupBy("episode_id").agg(F.max_by(F.struct(*totals), "step").alias("__final"))
-    beyond = (
-        rewarded.filter(F.col("__span") > 0)
-        .select(*own, done, "masked", "downtime_pct", "reward")
+    ended = [c if c != "result" else F.lit("EPISODE_DONE").alias("result") for c in steps.columns]
+    nothing = [F.lit(0.0).alias("downtime_pct"), F.lit(0.0).alias("reward")]
+    return allowed.unionByName(
+        beyond.select(*ended, F.lit(True).alias("done"), F.lit(True).alias("masked"), *nothing)
         .join(final, "episode_id", "left")
         .select(*steps.columns, "done", "masked", "downtime_pct", "reward", "__final.*")
     )
-    return allowed.unionByName(beyond)
 
 
 def cumulative_reward(rewards: DataFrame) -> DataFrame:

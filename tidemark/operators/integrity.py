@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.digest import bucket_of, column_text, digest_sum, hash60, row_text
+from tidemark.sources.workspace import settle
 
 MISSING_TABLE = "__MISSING__"
 HEAD_ROWS = 128
@@ -170,36 +171,36 @@ def row_diff(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys whose rows differ between ``a`` and ``b``: added, removed or changed, and in which columns.
 
     First both sides are reduced to (key, row digest) with a signed count, which cancels equal rows
-    however often a key or a row is repeated. Only rows that did not cancel are read again in full.
-    Their cells are then counted with sign as well, so no row is ever paired with another.
+    however often a key or a row is repeated. What is left is written to the shared folder; with
+    its size known, it filters a second scan by broadcast when it is small, so full rows are
+    shuffled only if much has changed. The cells of those rows are counted with sign as well, so
+    no row is ever paired with another.
     """
     cols = [c for c in a.columns if c not in keys]
-    by_key = [F.col(k) for k in keys]
 
     def digested(df: DataFrame, sign: int) -> DataFrame:
         text = row_text(df.select(*a.columns))
         return df.select(*a.columns, F.unhex(F.md5(text)).alias("__d"), F.lit(sign).alias("__s"))
 
     old, new = digested(a, -1), digested(b, 1)
-    unequal = (
+    unequal = settle(
         old.select(*keys, "__d", "__s")
         .unionByName(new.select(*keys, "__d", "__s"))
         .groupBy(*keys, "__d")
         .agg(F.sum("__s").alias("__m"))
-        .filter(F.col("__m") != 0)
+        .filter(F.col("__m") != 0),
+        "unequal-rows",
     )
     counts = unequal.groupBy(*keys).agg(
         F.sum(F.greatest(F.col("__m"), F.lit(0))).alias("rows_added"),
         F.sum(F.greatest(-F.col("__m"), F.lit(0))).alias("rows_removed"),
     )
-    on = reduce(Column.__and__, [F.col(f"r.{k}").eqNullSafe(F.col(f"u.{k}")) for k in keys])
-    on = on & (F.col("r.__d") == F.col("u.__d"))
     cells = F.array(
         *[F.struct(F.lit(c).alias("col"), column_text(a.schema[c]).alias("val")) for c in cols]
     )
-    signed = old.unionByName(new).alias("r").join(unequal.alias("u"), on, "left_semi")
+    signed = old.unionByName(new).join(unequal.select("__d"), "__d", "left_semi")  # the digest covers the key
     changed = (
-        signed.select(*by_key, "__s", F.inline(cells))
+        signed.select(*keys, "__s", F.inline(cells))
         .groupBy(*keys, "col", "val")
         .agg(F.sum("__s").alias("__m"))
         .filter(F.col("__m") != 0)

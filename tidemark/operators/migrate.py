@@ -155,14 +155,15 @@ def hash_repartition(df: DataFrame, col: str, modulus: int, spread: int | None =
     """Add the hash bucket of ``col`` and shuffle rows by it, ready for ``write_buckets``.
 
     With few buckets, or one hot key, a shuffle by bucket alone would give most rows to a few
-    tasks. Each bucket is therefore split into ``spread`` parts by a hash of the whole row. The
-    split follows from the row itself, so a task that is run again yields the same rows.
+    tasks. Each bucket is therefore split into ``spread`` parts by a hash of the row and of the
+    input partition it comes from, so that even copies of one row are spread. Neither changes when
+    a task is run again, so a lost executor cannot alter the result.
     """
     wanted = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = spread or max(1, -(-wanted // modulus))
-    bucketed = df.withColumn(BUCKET, bucket_of(F.col(f"`{_require(df, col)}`"), modulus))
-    salt = F.pmod(F.xxhash64(*[f"`{c}`" for c in df.columns]), F.lit(parts))
-    return bucketed.repartition(modulus * parts, F.col(BUCKET), salt)
+    salt = F.pmod(F.xxhash64(*[f"`{c}`" for c in df.columns], F.spark_partition_id()), F.lit(parts))
+    salted = df.withColumns({BUCKET: bucket_of(F.col(f"`{_require(df, col)}`"), modulus), "__salt": salt})
+    return salted.repartition(modulus * parts, BUCKET, "__salt").drop("__salt")
 
 
 def write_buckets(df: DataFrame, path: str, mode: str = "errorifexists") -> None:

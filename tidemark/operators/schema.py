@@ -586,15 +586,16 @@ def replay_schema(changes: DataFrame, tasks: DataFrame, episode: str = "episode_
 
     ``changes`` comes from ``schema_changes`` with (episode_id, task_id, step, pos, …) for statements
     that succeeded; the starting schema is step 0. A task allows at most ``max_steps`` steps and
-    nothing is executed after them, so steps beyond that change nothing: leaving them out is exact
-    and bounds what one episode can bring into the fold.
+    nothing is executed after them, so steps beyond that change nothing: leaving them out is exact.
+    Copies of a log row collapse on the map side, so what one episode can bring into the fold is
+    bounded however often it was logged.
     """
     limit = tasks.select("task_id", "max_steps")
     live = changes.join(F.broadcast(limit), "task_id").filter(F.col("step") <= F.col("max_steps"))
     if as_of is not None:
         live = live.filter(F.col("step") <= as_of)
     entry = F.struct("step", "pos", "op", "table_name", "a", "b", "mode", "mode_columns", "columns", "fks")
-    listed = live.groupBy(episode).agg(F.array_sort(F.collect_list(entry)).alias("changes"))
+    listed = live.groupBy(episode).agg(F.array_sort(F.collect_set(entry)).alias("changes"))
     empty = F.struct(
         F.array().cast(_COLUMN_STATE).alias("columns"),
         F.array().cast(_FK_STATE).alias("fks"),

@@ -38,17 +38,20 @@ def _steps(spark: SparkSession, d: str) -> DataFrame:
 
 # ---------------------------------------------------------------- ingestion
 
-# three lines per ninth event, one per other event: start, steps and end of a run
+# one step line per event, a start line with every first and an end line with every last step of a run;
+# all lines of an event come out of its own row
 _RUN_LINES = f"""
-SELECT event_id * 10 + k AS line_no, cast(floor(event_id / 9) AS bigint) AS run_id,
-  CASE k WHEN 0 THEN '[START] task=' || task_id || ' env=warehouse model=planner-1'
-    WHEN 1 THEN '[STEP] step=' || cast(event_id % 9 + 1 AS string) || ' action={{{{"commands":[{{{{"action_type":"execute_sql","sql":"SELECT done=true FROM t' || cast(event_id AS string) || ';"}}}}]}}}} reward=0.' ||
+SELECT event_id * 10 + k AS line_no, run_id, line
+FROM (SELECT event_id, run_id, posexplode(array(
+    CASE WHEN event_id % 9 = 0 THEN '[START] task=' || task_id || ' env=warehouse model=planner-1' END,
+    '[STEP] step=' || cast(event_id % 9 + 1 AS string) || ' action={{{{"commands":[{{{{"action_type":"execute_sql","sql":"SELECT done=true FROM t' || cast(event_id AS string) || ';"}}}}]}}}} reward=0.' ||
       lpad(cast(event_id % 998 + 1 AS string), 3, '0') || ' done=' || CASE WHEN event_id % 9 = 8 THEN 'true' ELSE 'false' END ||
-      ' error=' || CASE WHEN event_type = 'error' THEN 'relation t' || cast(event_id AS string) || ' does not exist reward=9' ELSE 'null' END
-    ELSE '[END] task=' || task_id || ' success=' || CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'false' END || ' steps=9 score=0.' ||
-      lpad(cast(event_id % 998 + 1 AS string), 3, '0') || ' rewards=0.001,0.25,0.' || lpad(cast(event_id % 998 + 1 AS string), 3, '0') END AS line
-FROM (SELECT *, {TASK_OF_EPISODE} AS task_id FROM {{events}}) e
-JOIN (VALUES (0, 0), (1, 1), (2, 2)) AS v(k, unused) ON (k = 1) OR (k = 0 AND event_id % 9 = 0) OR (k = 2 AND event_id % 9 = 8)
+      ' error=' || CASE WHEN event_type = 'error' THEN 'relation t' || cast(event_id AS string) || ' does not exist reward=9' ELSE 'null' END,
+    CASE WHEN event_id % 9 = 8 THEN '[END] task=' || task_id || ' success=' || CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'false' END || ' steps=9 score=0.' ||
+      lpad(cast(event_id % 998 + 1 AS string), 3, '0') || ' rewards=0.001,0.25,0.' || lpad(cast(event_id % 998 + 1 AS string), 3, '0') END
+  )) AS (k, line)
+  FROM (SELECT *, {TASK_OF_EPISODE} AS task_id, cast(floor(event_id / 9) AS bigint) AS run_id FROM {{events}}) e) x
+WHERE line IS NOT NULL
 """
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.text import child_name
 from tidemark.operators import schema as D
 from tidemark.operators.episodes import tasks_dim
-from tidemark.plans.derived import DDL, SNAPSHOT_COLUMNS, START_OF_TASK, STMTS, cte, derive, targets
+from tidemark.plans.derived import DDL, SNAPSHOT_COLUMNS, SNAPSHOT_COLUMNS_TWIN, START_OF_TASK, STMTS, cte, derive, targets
 from tidemark.plans.registry import query
 
 _K = "k AS (SELECT o_orderkey AS k FROM orders)"
@@ -103,7 +103,7 @@ _TARGET = """tgt AS (SELECT * FROM (VALUES ('id','serial','',false,true), ('user
 
 @query(
     "d4_schema_match_columns",
-    f"""WITH c AS ({cte(SNAPSHOT_COLUMNS)}), {_TARGET}, j AS (SELECT snapshot_id, t_type IS NULL AS extra,
+    f"""WITH c AS ({SNAPSHOT_COLUMNS_TWIN}), {_TARGET}, j AS (SELECT snapshot_id, t_type IS NULL AS extra,
       CASE WHEN t_type IS NULL THEN 0 ELSE 50 + CASE WHEN col_type = t_type THEN 20 ELSE 0 END + CASE WHEN col_default = t_default THEN 10 ELSE 0 END
         + CASE WHEN not_null = t_nn THEN 10 ELSE 0 END + CASE WHEN is_primary = t_pk THEN 10 ELSE 0 END END AS p FROM c LEFT JOIN tgt USING (col_name))
     SELECT snapshot_id, 'easy_add_column' AS target_id, round(greatest(0, least(1, (100 + sum(p)) / 600.0::double) - least(0.2, 0.03 * count(*) FILTER (extra))), 6)::double AS schema_match FROM j GROUP BY 1""",
@@ -123,7 +123,7 @@ def d5_schema_extras(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "d6_schema_diff",
-    f"""WITH c AS ({cte(SNAPSHOT_COLUMNS)}), {_TARGET}, e AS (SELECT o_orderkey AS snapshot_id, tgt.* FROM orders, tgt),
+    f"""WITH c AS ({SNAPSHOT_COLUMNS_TWIN}), {_TARGET}, e AS (SELECT o_orderkey AS snapshot_id, tgt.* FROM orders, tgt),
     j AS (SELECT coalesce(c.snapshot_id, e.snapshot_id) AS snapshot_id, coalesce(c.col_name, e.col_name) AS col_name, c.col_name IS NULL AS missing, e.col_name IS NULL AS extra,
       concat_ws(',', CASE WHEN col_type <> t_type THEN 'col_type' END, CASE WHEN col_default <> t_default THEN 'col_default' END, CASE WHEN not_null <> t_nn THEN 'not_null' END,
         CASE WHEN is_primary <> t_pk THEN 'is_primary' END) AS a FROM c FULL JOIN e ON c.snapshot_id = e.snapshot_id AND c.col_name = e.col_name)
