@@ -69,9 +69,18 @@ class Schema:
 
 
 def _measured(tgt: Schema) -> Schema:
+    """The target, worked out once when it was measured to be small.
+
+    A small target is needed at a dozen joins. Its few rows are fetched, as a broadcast would do
+    each time, and serve as local rows from then on.
+    """
     if tgt.small is not None:
         return tgt
-    return replace(tgt, small=is_small(tgt.tables, tgt.columns, tgt.fks, tgt.partitions, tgt.children))
+    frames = {name: getattr(tgt, name) for name in ("tables", "columns", "fks", "partitions", "children")}
+    if not is_small(*frames.values()):
+        return replace(tgt, small=False)
+    local = {name: df.sparkSession.createDataFrame(df.toArrow(), df.schema) for name, df in frames.items()}
+    return Schema(**local, small=True)
 
 
 def type_text(raw: Column) -> Column:

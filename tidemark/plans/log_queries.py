@@ -29,7 +29,7 @@ def _bounded(text: str) -> str:
 
 
 def _stmts(spark: SparkSession, d: str) -> DataFrame:
-    return derive(spark, d, STMTS)
+    return derive(spark, d, STMTS, heavy=True)
 
 
 def _steps(spark: SparkSession, d: str) -> DataFrame:
@@ -68,7 +68,7 @@ WHERE line IS NOT NULL
       '0.001,0.25,' || cast(cast('0.' || r AS double) AS varchar) FROM e WHERE event_id % 9 = 8""",
 )
 def s6_parse_run_log(spark: SparkSession, d: str) -> DataFrame:
-    parsed = logs.parse_run_log(derive(spark, d, _RUN_LINES))
+    parsed = logs.parse_run_log(derive(spark, d, _RUN_LINES, heavy=True))
     return parsed.withColumn("rewards", F.concat_ws(",", F.col("rewards").cast("array<string>")))
 
 
@@ -94,7 +94,7 @@ FROM {events}
       CASE WHEN valid THEN 0.5::double END AS medium_rename_fk, CASE WHEN valid THEN 0.998::double END AS hard_repartition FROM l""",
 )
 def s7_last_score_payload(spark: SparkSession, d: str) -> DataFrame:
-    return logs.last_score_payload(derive(spark, d, _SCORE_LINES), "run_id", "line_no")
+    return logs.last_score_payload(derive(spark, d, _SCORE_LINES, heavy=True), "run_id", "line_no")
 
 
 _ACTIONS = f"""
@@ -121,7 +121,7 @@ FROM {{events}}
     {TASK_OF_EPISODE} AS task_id, event_id % 10 < 8 AS valid FROM events""",
 )
 def s8_decode_actions(spark: SparkSession, d: str) -> DataFrame:
-    return logs.decode_actions(derive(spark, d, _ACTIONS))
+    return logs.decode_actions(derive(spark, d, _ACTIONS, heavy=True))
 
 
 _OBSERVED = """
@@ -144,7 +144,7 @@ FROM {events}
       event_id % 3 = 0 AS done, CASE WHEN event_id % 3 = 0 THEN '{"score":0.5}' ELSE '{}' END AS metadata FROM events""",
 )
 def s9_decode_steps(spark: SparkSession, d: str) -> DataFrame:
-    return logs.decode_steps(derive(spark, d, _OBSERVED))
+    return logs.decode_steps(derive(spark, d, _OBSERVED, heavy=True))
 
 
 # ---------------------------------------------------------------- statements
@@ -162,7 +162,7 @@ SELECT stmt_id, sql || ' ; ' || CASE stmt_id % 4 WHEN 0 THEN 'DROP TABLE events_
     SELECT stmt_id, sql, unnest(kept) AS statement, cast(unnest(range(1, len(kept) + 1)) AS int) AS pos FROM f""",
 )
 def l1_split_statements(spark: SparkSession, d: str) -> DataFrame:
-    return L.split_statements(derive(spark, d, _SCRIPTS))
+    return L.split_statements(derive(spark, d, _SCRIPTS, heavy=True))
 
 
 @query(
@@ -195,7 +195,7 @@ FROM ({STMTS}) s
       ELSE CASE WHEN stmt_id % 8 = 3 THEN '' ELSE sql END END AS normalized FROM s""",
 )
 def l3_normalize_sql(spark: SparkSession, d: str) -> DataFrame:
-    fenced = derive(spark, d, _FENCED.replace("rtrim(sql, ';')", "rtrim(';', sql)"))
+    fenced = derive(spark, d, _FENCED.replace("rtrim(sql, ';')", "rtrim(';', sql)"), heavy=True)
     return fenced.select("stmt_id", L.normalize_sql(F.col("raw")).alias("normalized"))
 
 
@@ -242,7 +242,7 @@ def l4_classify_locks(spark: SparkSession, d: str) -> DataFrame:
       NOT unknown AND destroys_data AS destroys_data FROM r WHERE rn = 1""",
 )
 def l5_script_profile(spark: SparkSession, d: str) -> DataFrame:
-    return L.script_profile(derive(spark, d, _SCRIPTS)).drop("sql")
+    return L.script_profile(derive(spark, d, _SCRIPTS, heavy=True)).drop("sql")
 
 
 _COPIES = f"""
@@ -260,7 +260,7 @@ SELECT stmt_id, 'INSERT INTO events_new SELECT * FROM events' || CASE stmt_id %
       CASE WHEN stmt_id % 4 = 3 THEN 0.6::double ELSE 0.15::double END AS failure_rate, false AS destroys_data FROM s""",
 )
 def l6_copy_cost(spark: SparkSession, d: str) -> DataFrame:
-    return derive(spark, d, _COPIES).select("stmt_id", L.copy_cost(F.col("sql")).alias("p")).select("stmt_id", "p.*")
+    return derive(spark, d, _COPIES, heavy=True).select("stmt_id", L.copy_cost(F.col("sql")).alias("p")).select("stmt_id", "p.*")
 
 
 _RISKY = f"""
@@ -274,7 +274,7 @@ SELECT stmt_id, CASE stmt_id % 5 WHEN 0 THEN sql WHEN 1 THEN 'drop table if  exi
     f"WITH {_S} SELECT stmt_id, CASE stmt_id % 5 WHEN 0 THEN stmt_id % 16 = 11 WHEN 1 THEN false ELSE true END AS unsafe FROM s",
 )
 def l7_flag_unsafe(spark: SparkSession, d: str) -> DataFrame:
-    return derive(spark, d, _RISKY).select("stmt_id", L.flag_unsafe(F.col("sql"), ["events_old"]).alias("unsafe"))
+    return derive(spark, d, _RISKY, heavy=True).select("stmt_id", L.flag_unsafe(F.col("sql"), ["events_old"]).alias("unsafe"))
 
 
 _RETRIES = f"""
@@ -542,7 +542,7 @@ FROM {events}
     SELECT *, {_bounded('CASE WHEN complete AND data_hash_before = data_hash_after THEN schema_match * availability_pct ELSE 0 END')} AS score FROM c""",
 )
 def e7_coerce_inputs(spark: SparkSession, d: str) -> DataFrame:
-    return E.grade_inputs(E.coerce_inputs(derive(spark, d, _GRADES)))
+    return E.grade_inputs(E.coerce_inputs(derive(spark, d, _GRADES, heavy=True)))
 
 
 @query("e8_feedback", f"WITH {_FINAL} SELECT episode_id, label AS feedback FROM g")
@@ -641,8 +641,7 @@ SELECT episode_id, 'hard_repartition' AS task_id, step, result, cast((step + epi
 )
 def e14_next_pending(spark: SparkSession, d: str) -> DataFrame:
     plan = E.playbook(spark, "hard_repartition", E.SWAP_PLAYBOOK)
-    done = F.element_at(F.array(*map(F.lit, E.SWAP_PLAYBOOK)), F.col("at"))
-    log = derive(spark, d, _SWAP_LOG)
+    log = derive(spark, d, _SWAP_LOG, heavy=True)
     history = log.withColumn("sql", F.when(F.col("at") > 0, F.try_element_at(F.array(*map(F.lit, E.SWAP_PLAYBOOK)), F.col("at"))))
     return E.next_pending(plan, history.drop("at", "step"))
 

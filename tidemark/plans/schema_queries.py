@@ -15,7 +15,7 @@ _K = "k AS (SELECT o_orderkey AS k FROM orders)"
 
 
 def _ddl(spark: SparkSession, d: str) -> DataFrame:
-    return derive(spark, d, DDL)
+    return derive(spark, d, DDL, heavy=True)
 
 
 def _corpus(spark: SparkSession, d: str) -> tuple[DataFrame, D.Schema, D.Schema]:
@@ -148,7 +148,7 @@ def d7_child_name(spark: SparkSession, d: str) -> DataFrame:
 
 def _change_log(spark: SparkSession, d: str) -> DataFrame:
     """Starting schemas as step 0, and the statements that succeeded."""
-    stmts = derive(spark, d, STMTS)
+    stmts = derive(spark, d, STMTS, heavy=True)
     start = F.lit(None).cast("string")
     for task, ddl in START_OF_TASK.items():
         start = F.when(F.col("task_id") == task, F.lit(ddl)).otherwise(start)

@@ -16,6 +16,15 @@ def load_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory.rstrip('/')}/{name}.parquet")
 
 
+def spread_scan(df: DataFrame, key: str) -> DataFrame:
+    """Give heavy work on each row all cores, when the table is stored in fewer files than that.
+
+    A table of many files is returned as it is: its scan is parallel without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores, key)
+
+
 def table_inventory(tables: Mapping[str, DataFrame]) -> DataFrame:
     """Name, number of rows and number of columns of each table.
 
