@@ -18,7 +18,7 @@ def _random_steps(seed=3):
     rng, rows = random.Random(seed), []
     for episode in range(60):
         task = rng.choice(list(_LIMITS))
-        rows.append((episode, task, 0, "RESET", 0.5, 0, 0, 1.0, True))
+        rows.append((episode, task, 0, "RESET", rng.choice([0.5, 1.0]), 0, 0, 1.0, True))
         for step in range(1, rng.randint(1, 15)):
             result = rng.choice(["SUCCESS", "SUCCESS", "error"])
             match = rng.choice([0.4, 0.6, 0.8, 0.9, 1.0])

@@ -65,7 +65,7 @@ def _spread(steps: DataFrame, tasks: DataFrame) -> DataFrame:
 
 
 def _ends(valid: Column) -> Column:
-    complete = valid & (F.col("schema_match") >= 1 - DONE_TOLERANCE)
+    complete = valid & (F.col("step") > 0) & (F.col("schema_match") >= 1 - DONE_TOLERANCE)
     return (F.col("step") >= F.col("max_steps")) | F.coalesce(complete, F.lit(False))
 
 

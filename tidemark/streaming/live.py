@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.functions.digest import bucket_of
 from tidemark.functions.scores import DONE_TOLERANCE, FAILURE_COST, ratio
@@ -40,67 +36,68 @@ def live_availability(
     )
 
 
-_STATE = "last_step int, match double, queries_total long, queries_failed long, reward double, done boolean"
-_OUTPUT = (
-    "episode_id long, task_id string, step int, schema_match double, queries_total long, "
-    "queries_failed long, cumulative_reward double, done boolean"
-)
-
-_INPUT = ["step", "max_steps", "result", "schema_match", "queries_total", "queries_failed", "data_integrity", "valid"]
-_RESULT = [part.split()[0] for part in _OUTPUT.split(", ")]
-
+def _state(step: Column, match: Column, total: Column, failed: Column, reward: Column, done: Column) -> Column:
+    return F.struct(
+        step.cast("int").alias("step"),
+        match.cast("double").alias("schema_match"),
+        total.cast("bigint").alias("queries_total"),
+        failed.cast("bigint").alias("queries_failed"),
+        reward.cast("double").alias("cumulative_reward"),
+        done.cast("boolean").alias("done"),
+    )
 
-def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Fold the new steps of one episode into its state.
 
-    A step that is not newer than the last one applied is a replay and is ignored.
-    """
-    at, match, total, failed, reward, done = state.get if state.exists else (-1, 0.0, 0, 0, 0.0, False)
-    steps = sorted(row for batch in batches for row in zip(*[batch[name].tolist() for name in _INPUT]))
-    for step, limit, result, new_match, queries, lost, kept, valid in steps:
-        if done or step <= at:
-            continue
-        at = step
-        if at == 0:
-            match = new_match
-        elif not valid:
-            reward -= FAILURE_COST
-            done = at >= limit
-        else:
-            served = 1 - (lost / queries if queries else 0.0)
-            reward += max(0.0, new_match - match) * served * kept - (0.0 if result == "SUCCESS" else FAILURE_COST)
-            match = new_match
-            total += queries
-            failed += lost
-            done = at >= limit or match >= 1 - DONE_TOLERANCE
-    state.update((at, match, total, failed, reward, done))
-    values = (key[0], key[1], at, match, total, failed, reward, done)
-    yield pd.DataFrame({name: [value] for name, value in zip(_RESULT, values)})
+def _advance(state: Column, entry: Column, limit: Column) -> Column:
+    """The state of an episode after one more step; a step not newer than the last is a replay."""
+    step, valid, now = entry["step"], entry["valid"], entry["schema_match"]
+    counted = valid & (step > 0)
+    served = 1 - ratio(entry["queries_failed"], entry["queries_total"])
+    gain = F.greatest(F.lit(0.0), now - state["schema_match"]) * served * entry["data_integrity"]
+    reward = (
+        F.when(step == 0, F.lit(0.0))
+        .when(~valid, F.lit(-FAILURE_COST))
+        .otherwise(gain - F.when(entry["result"] == "SUCCESS", F.lit(0.0)).otherwise(F.lit(FAILURE_COST)))
+    )
+    after = _state(
+        step,
+        F.when(valid, now).otherwise(state["schema_match"]),
+        state["queries_total"] + F.when(counted, entry["queries_total"]).otherwise(0),
+        state["queries_failed"] + F.when(counted, entry["queries_failed"]).otherwise(0),
+        state["cumulative_reward"] + reward,
+        (step >= limit) | (counted & (now >= 1 - DONE_TOLERANCE)),
+    )
+    return F.when(state["done"] | (step <= state["step"]), state).otherwise(after)
 
 
 def live_episodes(steps: DataFrame, tasks: DataFrame) -> DataFrame:
-    """Totals, reward and done flag per episode, updated as steps arrive.
+    """Totals, reward and done flag per episode, updated as steps arrive; works on streams and on tables.
 
-    Keyed state by episode. Steps beyond the task's limit cannot change an ended episode, so they
-    are left out before the shuffle: an endless log of one episode never reaches a single task.
+    The stream keeps the allowed steps of each episode as its state and folds them by the same rules
+    as the batch. Steps beyond the task's limit cannot change an ended episode and are left out
+    before the shuffle, and copies of a step collapse on the map side, so neither an endless log
+    nor a log delivered many times can grow the state or burden a single task.
     """
     limited = steps.join(F.broadcast(tasks.select("task_id", "max_steps")), "task_id")
     valid = F.coalesce(F.col("valid"), F.lit(False)) if "valid" in steps.columns else F.lit(True)
-    live = limited.filter(F.col("step") <= F.col("max_steps")).select(
-        "episode_id",
-        "task_id",
+    entry = F.struct(
         F.col("step").cast("int").alias("step"),
-        "max_steps",
+        valid.alias("valid"),
         "result",
         F.col("schema_match").cast("double").alias("schema_match"),
         F.col("queries_total").cast("bigint").alias("queries_total"),
         F.col("queries_failed").cast("bigint").alias("queries_failed"),
         F.col("data_integrity").cast("double").alias("data_integrity"),
-        valid.alias("valid"),
     )
-    return live.groupBy("episode_id", "task_id").applyInPandasWithState(
-        _advance, _OUTPUT, _STATE, "update", GroupStateTimeout.NoTimeout
+    kept = (
+        limited.filter(F.col("step") <= F.col("max_steps"))
+        .groupBy("episode_id", "task_id", "max_steps")
+        .agg(F.collect_set(entry).alias("entries"))
+    )
+    start = _state(F.lit(-1), F.lit(0.0), F.lit(0), F.lit(0), F.lit(0.0), F.lit(False))
+    folded = F.aggregate(
+        F.array_sort("entries"), start, lambda state, entry: _advance(state, entry, F.col("max_steps"))
     )
+    return kept.select("episode_id", "task_id", folded.alias("__state")).select("episode_id", "task_id", "__state.*")
 
 
 def catch_up(source: DataFrame, key: str, modulus: int, path: str, checkpoint: str) -> StreamingQuery:
