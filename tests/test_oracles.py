@@ -1,4 +1,8 @@
-"""Every registered query against its SQL twin on the smallest tables."""
+"""Every registered query against its SQL twin on the smallest tables.
+
+No query has to yield rows here: the smallest tables hold, for one, no supplier in debt and so no
+orphan. At sf 0.01 every query does (``TEST_SF_DIR`` selects the tables).
+"""
 
 import os
 
@@ -36,7 +40,6 @@ def test_query_matches_sql(spark, duck, name):
     frame = queries()[name](spark, SF)
     columns = sorted(frame.columns)
     got = _rows(frame.select(*columns).collect())
-    assert got, "a registered query must yield rows"
     expected = duck.sql(oracle_sql()[name])
     assert sorted(expected.columns) == columns
     listed = ", ".join(f'"{c}"' for c in columns)
