@@ -59,7 +59,8 @@ def lock_impact(
     def point(ts: str):
         return F.unix_micros(F.col(ts).cast("timestamp"))
 
-    counted = workload.groupBy(on, point("ts").alias("at")).agg(
+    placed = workload.filter(F.col(on).isNotNull() & F.col("ts").isNotNull())
+    counted = placed.groupBy(on, point("ts").alias("at")).agg(
         F.count(F.lit(1)).alias("q"), F.count_if("failed").alias("f")
     )
     queries = counted.select(

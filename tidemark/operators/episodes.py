@@ -95,7 +95,8 @@ def step_rewards(steps: DataFrame, tasks: DataFrame, start_match: float = 0.0) -
     data_integrity) and optionally ``valid`` and ``destroys_data``. The reward is the gain in match, times
     the share of queries served, times integrity; a failed statement costs 0.05, and so does an
     invalid action, which adds no load. Steps after the end are ``masked``: they are worth nothing
-    and repeat the final totals.
+    and repeat the final totals. A first look at task and step tells whether there are any such
+    rows; without them the plan is a single shuffle by episode.
     """
     valid = _valid(steps)
     destroys = F.coalesce(F.col("destroys_data"), F.lit(False)) if "destroys_data" in steps.columns else F.lit(False)

@@ -215,8 +215,6 @@ _PROFILES = f"""(SELECT *, stmt_id % 16 AS k,
     WHEN 9 THEN 0.05 WHEN 10 THEN 0.25 WHEN 11 THEN 1.0 WHEN 13 THEN 0.9 WHEN 14 THEN 0.5 ELSE 0 END AS double) AS failure_rate,
   stmt_id % 16 = 11 AS destroys_data FROM s)"""
 
-_FIRST_ONLY = "rtrim(split_part(sql, ';', 1), ';')"
-
 
 @query(
     "l4_classify_locks",
