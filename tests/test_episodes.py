@@ -172,3 +172,13 @@ def test_lock_windows_are_half_open(spark):
     for span in (1_000_000, 3600_000_000):
         got = {r["lock_id"]: (r["in_total"], r["in_failed"], r["out_total"]) for r in A.lock_impact(workload, locks, span_micros=span).collect()}
         assert got == {1: (3, 3, 2), 2: (0, 0, 5), 3: (0, 0, 0)}
+
+
+def test_lock_windows_without_a_shard_meet_nothing(spark):
+    workload = spark.createDataFrame([(None, "2025-01-01 00:00:10", True), ("a", "2025-01-01 00:00:10", True)], "shard string, ts string, failed boolean")
+    workload = workload.withColumn("ts", F.col("ts").cast("timestamp"))
+    locks = spark.createDataFrame([(1, None), (2, "a")], "lock_id int, shard string").selectExpr(
+        "lock_id", "shard", "timestamp '2025-01-01 00:00:00' AS start_ts", "timestamp '2025-01-01 00:01:00' AS end_ts"
+    )
+    got = {r["lock_id"]: (r["in_total"], r["out_total"]) for r in A.lock_impact(workload, locks).collect()}
+    assert got == {1: (0, 0), 2: (1, 0)}
