@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import rules
+from tidemark.llm import exact_dedup, rules
 from tidemark.sources.tables import load_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,3 +22,18 @@ def _query(build: Query) -> Query:
 @_query
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(spark, load_table(spark, sf_dir, "documents"), load_table(spark, sf_dir, "labels"))
+
+
+@_query
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_dedup(load_table(spark, sf_dir, "documents"))
+
+
+# the window sorts whole groups; it serves to check, not to scale
+ORACLES["op7_exact_dedup"] = r"""
+WITH texts AS (
+  SELECT doc_id, coalesce(text, '') AS raw, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS norm FROM documents),
+ranked AS (
+  SELECT doc_id, sha256(norm) AS text_sha256, count(*) OVER (PARTITION BY norm) AS group_size,
+    first_value(doc_id) OVER (PARTITION BY norm ORDER BY length(raw) DESC, doc_id) AS keep_id FROM texts)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM ranked"""
