@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import exact_dedup, rules
+from tidemark.llm import exact_dedup, minhash, rules
 from tidemark.sources.tables import load_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,11 @@ def _query(build: Query) -> Query:
     return build
 
 
+@_query
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(load_table(spark, sf_dir, "documents"))
+
+
 @_query
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(spark, load_table(spark, sf_dir, "documents"), load_table(spark, sf_dir, "labels"))
