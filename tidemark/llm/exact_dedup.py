@@ -27,8 +27,12 @@ from pyspark.sql import functions as F
 
 from tidemark.sources.workspace import fresh_path, settle
 
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Settings of the stream: state on disk, and closed once a batch is committed. An open store holds some
+#: 4 MB of local disk for each partition, however little is in it.
+_STREAM = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+}
 #: Bytes of arrivals (some 100 a row) that one micro-batch takes in.
 BATCH_BYTES = 4 << 30
 #: Members of a group that one task compares with the row that stays.
@@ -67,8 +71,9 @@ def _arrivals(located: DataFrame, digest: Callable[[Column], Column]) -> DataFra
 
 def _absorb(spark: SparkSession, arrivals: DataFrame, folder: str, checkpoint: str, batch_bytes: int) -> DataFrame:
     """Stream the arrivals into the state at ``checkpoint`` and read the state: one row per digest."""
-    before = spark.conf.get(_PROVIDER, None)
-    spark.conf.set(_PROVIDER, _ROCKS)
+    before = {key: spark.conf.get(key, None) for key in _STREAM}
+    for key, value in _STREAM.items():
+        spark.conf.set(key, value)
     try:
         stream = spark.readStream.schema(arrivals.schema).option("maxBytesPerTrigger", batch_bytes).parquet(folder)
         state = stream.groupBy("digest").agg(F.min(_best()).alias("best"), F.count(F.lit(1)).alias("group_size"))
@@ -81,10 +86,8 @@ def _absorb(spark: SparkSession, arrivals: DataFrame, folder: str, checkpoint: s
         )
         run.awaitTermination()
     finally:
-        if before is None:
-            spark.conf.unset(_PROVIDER)
-        else:
-            spark.conf.set(_PROVIDER, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     kept = spark.read.format("statestore").option("path", checkpoint).load()
     best, count = (f"`{c}`" for c in kept.schema["value"].dataType.names)
     return kept.select(
