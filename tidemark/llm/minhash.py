@@ -21,7 +21,8 @@ under 1e-5, which is the chance to miss a link at the very threshold.
 
 Edge cases: null or empty texts have no shingles and are linked with nothing; repeated rows are one
 class; rows without an id take part, but never name a component while another row does; rows that
-share an id and not the text are linked only by their texts. An empty table yields no rows.
+share an id and not the text are linked only by their texts, and repeated rows stay or go together.
+A group without any id is kept whole. An empty table yields no rows.
 """
 
 from __future__ import annotations
@@ -255,8 +256,7 @@ def _linked(classes: DataFrame, docs: DataFrame) -> DataFrame:
         number *= MORE_HUBS
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
+def _placed(docs: DataFrame) -> DataFrame:
     marks, classes = _classes(docs)
     labels = _linked(classes, docs)
     named = classes.select("cid", "key", "least").join(labels, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
@@ -265,14 +265,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     together = named.join(labels.select("comp").distinct(), "comp", "left_semi")
     first = together.groupBy("comp").agg(F.min("least").alias("first"))
     names = alone.unionByName(together.join(first, "comp").select("key", "first"))
-    placed = marks.select("doc_id", "key", "n_shingles").join(names, "key", "left")
+    placed = marks.select("doc_id", "uid", "key", "n_shingles").join(names, "key", "left")
     component = F.coalesce(F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("first")), F.col("doc_id"))
-    return placed.select(
-        "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept")
-    )
+    named_by = F.coalesce(F.col("doc_id") == component, component.isNull())
+    return placed.select("doc_id", "n_shingles", component.alias("component_id"), named_by.alias("kept"), "uid")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
+    return _placed(docs).drop("uid")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents, with their columns, that name their group: one of each group stays."""
-    gone = near_duplicates(docs).filter("NOT kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__id"], "left_anti")
+    gone = _placed(docs).filter("NOT kept").select(F.col("uid").alias("__uid")).distinct()
+    return docs.join(gone, _uid() == F.col("__uid"), "left_anti")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import exact_dedup, minhash, rules
+from tidemark.llm import byte_bpe, exact_dedup, gam, minhash, packing, rules
 from tidemark.sources.tables import load_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,3 +43,20 @@ ranked AS (
   SELECT doc_id, sha256(norm) AS text_sha256, count(*) OVER (PARTITION BY norm) AS group_size,
     first_value(doc_id) OVER (PARTITION BY norm ORDER BY length(raw) DESC, doc_id) AS keep_id FROM texts)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM ranked"""
+
+
+@_query
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return byte_bpe.round_trip(load_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
+@_query
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return packing.best_fit_packing(load_table(spark, sf_dir, "documents"), path)
+
+
+@_query
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gam.classify(load_table(spark, sf_dir, "documents"), load_table(spark, sf_dir, "labels"))
