@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import byte_bpe, exact_dedup, gam, minhash, packing, rules
+from tidemark.llm import byte_bpe, exact_dedup, gam, html_text, licences, minhash, packing, rules, warc
 from tidemark.sources.tables import load_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,3 +60,22 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gam.classify(load_table(spark, sf_dir, "documents"), load_table(spark, sf_dir, "labels"))
+
+
+@_query
+def op3_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(load_table(spark, sf_dir, "pages"))
+
+
+#: The pages have no capture date of their own: one is given as the time of the crawl.
+CAPTURED = "2024-01-01T00:00:00Z"
+
+
+@_query
+def op5_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derivatives(load_table(spark, sf_dir, "pages"), CAPTURED)
+
+
+@_query
+def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(load_table(spark, sf_dir, "documents"))
