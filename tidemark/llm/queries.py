@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import byte_bpe, exact_dedup, gam, html_text, licences, minhash, packing, rules, warc
+from tidemark.llm import backoff, byte_bpe, exact_dedup, gam, html_text, licences, minhash, packing, rules, warc
 from tidemark.sources.tables import load_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,3 +79,11 @@ def op5_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(load_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op2_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff.scores(load_table(spark, sf_dir, "documents"))
+
+
+ORACLES["op2_stupid_backoff"] = backoff.oracle()

@@ -34,7 +34,7 @@ def words(raw: bytes) -> list[bytes]:
     return raw.lower().split()
 
 
-def _mixed(h: np.ndarray) -> np.ndarray:
+def mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return h ^ (h >> np.uint64(31))
@@ -49,7 +49,7 @@ def hashed(split: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     flat = np.fromiter((xxhash.xxh3_64_intdigest(w) for text in split for w in text), np.uint64, int(sizes.sum()))
     grams = np.zeros(max(len(flat) - SIZE + 1, 0), np.uint64)
     for k in range(SIZE):
-        grams = _mixed(grams * _STEPS[0] + flat[k : len(flat) - SIZE + 1 + k])
+        grams = mixed(grams * _STEPS[0] + flat[k : len(flat) - SIZE + 1 + k])
     ends = np.cumsum(sizes)
     parts, counts = [], []
     for size, end in zip(sizes.tolist(), ends.tolist(), strict=True):
@@ -58,7 +58,7 @@ def hashed(split: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
         elif size:
             value = np.array([size], np.uint64) * _STEPS[2]
             for at in range(end - size, end):
-                value = _mixed(value * _STEPS[1] + flat[at : at + 1])
+                value = mixed(value * _STEPS[1] + flat[at : at + 1])
             parts.append(value)
         else:
             parts.append(np.zeros(0, np.uint64))
