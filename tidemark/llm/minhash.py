@@ -10,11 +10,15 @@ Documents of one word sequence form a class; classes are what is compared.
    are skipped in the merge; their part of the count is read off the signatures of a candidate pair.
 3. Pairs with at least ``MATCHES`` equal coordinates are confirmed on their full shingle sets:
    100 * intersection >= 75 * union.
-4. A long list is not paired with itself. Its members are compared with a few of their number (hubs);
-   those found linked become one component, and only members of different components are compared
-   in the next round, with more hubs each time, until every list lies in one component but for hubs
-   that were compared with all of it. So no list is cut, and copies of copies cost a star, not a square.
-5. Components by contraction: edges shrink each round and are written to the shared folder.
+4. A list is not paired with itself. Its members are compared with its most central one (the hub, with the
+   most coordinates that occur elsewhere too); those found linked become one component. Lists that are
+   not of one component yet go on to a round with more hubs, and so on until what is left of each list
+   was compared with all of it. So no list is cut, and copies of copies cost a star, not a square.
+5. Before a further round, the shingles of the classes in open lists are counted. A class whose shingles
+   mostly occur nowhere else cannot reach the threshold with any partner, nor can two classes if the
+   smaller number of their shared shingles, or their sizes, do not allow it: these are left out, exactly.
+   So texts that have a passage in common, and little else, are not compared with each other.
+6. Components by contraction: edges shrink each round and are written to the shared folder.
 
 At a similarity of 0.75 a pair has Binomial(64, 0.75) equal coordinates: below 32 with probability
 under 1e-5, which is the chance to miss a link at the very threshold.
@@ -43,7 +47,7 @@ MATCHES = 32
 PERCENT = 75
 #: Members of one list that one task joins with its hubs, and pairs of one hub that one task compares.
 SPLIT_ROWS = 4000
-FIRST_HUBS, MORE_HUBS = 64, 8
+FIRST_HUBS, MORE_HUBS = 64, 16
 
 _LOW = np.uint64(COORDINATES - 1)
 _RANDOM = np.random.Generator(np.random.PCG64(20240229))
@@ -113,24 +117,38 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     grouped = (
         marks.filter("key IS NOT NULL")
         .groupBy("key")
-        .agg(F.min("doc_id").alias("least"), F.min("uid").alias("uid"), F.first("signature").alias("signature"))
+        .agg(
+            F.min("doc_id").alias("least"),
+            F.min("uid").alias("uid"),
+            F.first("n_shingles").alias("size"),
+            F.first("signature").alias("signature"),
+        )
     )
     classes = settle(grouped.select(F.monotonically_increasing_id().alias("cid"), "*"), "minhash-classes")
     return marks, classes
 
 
 def _postings(classes: DataFrame) -> DataFrame:
-    """(token, n, cid): the rarest coordinates of each class; n is the number of classes with the token."""
-    tokens = classes.select("cid", F.explode("signature").alias("token"))
+    """(token, n, cid, size, common): the rarest coordinates of each class. n is the number of classes with
+    the token, size that of the class's shingles, common that of its coordinates that occur elsewhere."""
+    tokens = classes.select("cid", "size", F.explode("signature").alias("token"))
     common = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     left = (
         tokens.join(common, "token")
-        .groupBy("cid")
+        .groupBy("cid", "size")
         .agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("left"))
         .filter(F.size("left") >= MATCHES)
     )
     prefix = F.slice("left", F.lit(1), F.size("left") - (MATCHES - 1))
-    return settle(left.select("cid", F.inline(prefix)), "minhash-postings")
+    return settle(left.select("cid", "size", F.size("left").alias("common"), F.inline(prefix)), "minhash-postings")
+
+
+def _posted_sets(postings: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(cid, grams): the full shingle sets of the classes that are posted, from the texts."""
+    wanted = classes.join(postings.select("cid").distinct(), "cid", "left_semi").select("cid", "uid", "key")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = texts.select(_uid().alias("uid"), "text").join(wanted, "uid").select("cid", "key", "text")
+    return settle(found.mapInArrow(_sets, "cid bigint, grams array<bigint>").dropDuplicates(["cid"]), "minhash-sets")
 
 
 def _splits(rows: Column) -> Column:
@@ -145,17 +163,33 @@ def _copies(splits: Column) -> Column:
     return F.explode(F.sequence(F.lit(0), splits))
 
 
+def _dealt(members: DataFrame) -> DataFrame:
+    """Members of a list dealt over tasks by its length, which whatever joins them by the list knows too."""
+    return members.withColumn("share", _share(_splits(F.col("n")), "cid"))
+
+
+def _near_in_size(size: Column, other: Column) -> Column:
+    """Whether sets of these sizes can be similar: the smaller one is all there could be in common."""
+    return 100 * F.least(size, other) >= PERCENT * F.greatest(size, other)
+
+
 def _starred(members: DataFrame, hubs: DataFrame) -> DataFrame:
-    """Pairs (a, b, splits) of hubs (token, n, hub, hub_comp) with the members (token, n, cid, comp) of their
-    lists that are in other components. A list is dealt over tasks by its length, which both sides know."""
+    """Pairs (a, b, splits) of hubs with the members of their lists that are in other components and that
+    sizes and shared shingles (``live``, at most the size) allow to be similar."""
     load = hubs.groupBy("hub").agg(_splits(F.max("n")).alias("splits"))
-    dealt = hubs.join(load, "hub").select("token", "hub", "hub_comp", "splits", _copies(_splits(F.col("n"))).alias("share"))
-    pairs = (
-        members.withColumn("share", _share(_splits(F.col("n")), "cid"))
-        .join(dealt, ["token", "share"])
-        .filter("comp <> hub_comp")
-        .select(F.col("hub").alias("a"), F.col("cid").alias("b"), "splits")
+    dealt = hubs.join(load, "hub").select(
+        "token", "hub", "hub_comp", "hub_size", "hub_live", "splits", _copies(_splits(F.col("n"))).alias("share")
+    )
+    both = _dealt(members).alias("m").join(
+        dealt.alias("h"),
+        (F.col("m.token") == F.col("h.token"))
+        & (F.col("m.share") == F.col("h.share"))
+        & (F.col("comp") != F.col("hub_comp"))
+        & _near_in_size(F.col("size"), F.col("hub_size"))
+        # similar sets have PERCENT / (100 + PERCENT) of both sizes together in common
+        & ((100 + PERCENT) * F.least("live", "hub_live") >= PERCENT * (F.col("size") + F.col("hub_size"))),
     )
+    pairs = both.select(F.col("hub").alias("a"), F.col("cid").alias("b"), "splits")
     return pairs.groupBy("a", "b").agg(F.max("splits").alias("splits"))
 
 
@@ -167,17 +201,11 @@ def _with_both(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
     return pairs.withColumn("share", _share(F.col("splits"), "b")).join(left, ["a", "share"]).join(right, "b")
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, posted: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) that reach the match count and whose full sets are similar."""
     equal = F.size(F.array_intersect("of_a", "of_b"))
-    matched = settle(
-        _with_both(pairs, classes, "signature").filter(equal >= MATCHES).select("a", "b", "splits"), "minhash-matched"
-    )
-    ids = matched.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-    wanted = classes.join(ids, "cid").select("cid", "uid", "key")
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = texts.select(_uid().alias("uid"), "text").join(wanted, "uid").select("cid", "key", "text")
-    sets = settle(found.mapInArrow(_sets, "cid bigint, grams array<bigint>").dropDuplicates(["cid"]), "minhash-sets")
+    counted = _with_both(pairs, posted, "signature").filter(equal >= MATCHES).select("a", "b", "splits")
+    matched = settle(counted, "minhash-matched")
     common = F.size(F.array_intersect("of_a", "of_b"))
     union = F.size("of_a") + F.size("of_b") - common
     return _with_both(matched, sets, "grams").filter(100 * common >= PERCENT * union).select("a", "b")
@@ -214,42 +242,64 @@ def components(edges: DataFrame) -> DataFrame:
     return settle(reduce(follow, maps, nodes.select("cid", F.col("cid").alias("comp"))), "minhash-labels")
 
 
-def _open_lists(postings: DataFrame, labels: DataFrame, done: DataFrame) -> DataFrame:
-    """Members (token, n, cid, comp) of lists in which members not yet used as hubs differ in component."""
-    labelled = postings.join(labels, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-    fresh = labelled.join(done, ["token", "cid"], "left_anti")
+def _open(members: DataFrame, done: DataFrame) -> DataFrame:
+    """Members of lists in which those not yet used as hubs differ in component."""
+    fresh = members.join(done, ["token", "cid"], "left_anti")
     still = fresh.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high")
-    return settle(labelled.join(still.select("token"), "token", "left_semi"), "minhash-open")
+    return members.join(still.select("token"), "token", "left_semi")
+
+
+def _able(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Members with their number of shingles that occur in other members of open lists (``live``), without
+    those that cannot be similar even to the smallest partner their list allows."""
+    grams = sets.join(members.select("cid").distinct(), "cid", "left_semi").select("cid", F.explode("grams").alias("gram"))
+    twice = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
+    live = grams.join(twice, "gram").groupBy("cid").agg(F.count(F.lit(1)).alias("live"))
+    counted = members.drop("live").join(live, "cid")
+    smallest = members.groupBy("token", "n").agg(F.min("size").alias("smallest"))
+    dealt = smallest.select("token", "smallest", _copies(_splits(F.col("n"))).alias("share"))
+    partner = F.greatest(F.col("smallest"), F.ceil(F.col("size") * PERCENT / 100))
+    able = (100 + PERCENT) * F.col("live") >= PERCENT * (F.col("size") + partner)
+    return _dealt(counted).join(dealt, ["token", "share"]).filter(able).drop("share", "smallest")
 
 
 def _next_hubs(members: DataFrame, done: DataFrame, hubs: int) -> DataFrame:
-    """Up to ``hubs`` fresh members of each list that are outside its largest component."""
+    """Up to ``hubs`` fresh members of each list outside its largest component, the most shared ones first."""
     fresh = members.join(done, ["token", "cid"], "left_anti")
-    sizes = fresh.groupBy("token", "n", "comp").agg(F.count(F.lit(1)).alias("size"))
-    large = sizes.groupBy("token", "n").agg(F.max_by("comp", F.struct("size", "comp")).alias("large"))
+    sizes = fresh.groupBy("token", "n", "comp").agg(F.count(F.lit(1)).alias("members"))
+    large = sizes.groupBy("token", "n").agg(F.max_by("comp", F.struct("members", "comp")).alias("large"))
     dealt = large.select("token", "large", _copies(_splits(F.col("n"))).alias("share"))
-    outside = (
-        fresh.withColumn("share", _share(_splits(F.col("n")), "cid")).join(dealt, ["token", "share"]).filter("comp <> large")
-    )
-    order = Window.partitionBy("token").orderBy(F.xxhash64("cid"), "cid")
+    outside = _dealt(fresh).join(dealt, ["token", "share"]).filter("comp <> large")
+    order = Window.partitionBy("token").orderBy((F.col("live") / F.col("size")).desc(), "cid")
     picked = outside.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= hubs)
-    return picked.select("token", "n", F.col("cid").alias("hub"), F.col("comp").alias("hub_comp"))
+    return picked.selectExpr(*_AS_HUB)
+
+
+#: A member of a list, as its hub.
+_AS_HUB = ["token", "n", "cid AS hub", "comp AS hub_comp", "size AS hub_size", "live AS hub_live"]
 
 
 def _linked(classes: DataFrame, docs: DataFrame) -> DataFrame:
     """(cid, comp) of every class that is linked with another."""
     postings = _postings(classes)
-    members = postings.withColumn("comp", F.col("cid"))
-    hubs = postings.groupBy("token", "n").agg(F.min("cid").alias("hub")).withColumn("hub_comp", F.col("hub"))
-    edges, done, number, labels = None, None, FIRST_HUBS, None
+    sets = _posted_sets(postings, classes, docs)
+    posted = classes.join(postings.select("cid").distinct(), "cid", "left_semi").select("cid", "signature")
+    members = postings.withColumns({"comp": F.col("cid"), "live": F.col("size")})
+    central = F.max_by(F.struct("cid", "comp", "size", "live"), F.struct("common", -F.col("cid"))).alias("h")
+    hubs = members.groupBy("token", "n").agg(central).select("token", "n", "h.*").selectExpr(*_AS_HUB)
+    edges, done, number = None, None, FIRST_HUBS
     while True:
         hubs = settle(hubs, "minhash-hubs")
-        found = settle(_confirmed(_starred(members, hubs), classes, docs), "minhash-links")
+        found = settle(_confirmed(_starred(members, hubs), posted, sets), "minhash-links")
         edges = found if edges is None else edges.unionByName(found)
         labels = components(edges)
         used = hubs.select("token", F.col("hub").alias("cid"))
         done = used if done is None else done.unionByName(used)
-        members = _open_lists(postings, labels, done)
+        labelled = members.drop("comp").join(labels, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+        still = settle(_open(labelled, done), "minhash-open")
+        if still.isEmpty():
+            return labels
+        members = settle(_open(_able(still, sets), done), "minhash-able")
         if members.isEmpty():
             return labels
         hubs = _next_hubs(members, done, number)
