@@ -37,9 +37,12 @@ from tidemark.sources.workspace import settle
 ORDER = 2
 MIN_COUNT = 2
 ALPHA = 0.4
+#: Least bytes of text in a block, and of text whose n-grams one range of the count table holds. Both grow
+#: with the root of the text up to ``MOST_BYTES``, so that what a block asks of a range does not dwindle; a
+#: task needs some fifteen times as much memory.
 BLOCK_BYTES = 4 << 20
-#: Bytes of text whose n-grams one range of the count table holds.
-RANGE_BYTES = 32 << 20
+RANGE_BYTES = 8 << 20
+MOST_BYTES = 64 << 20
 UNIT = 1_000_000
 
 _REQUEST = "block int, range int, grams binary, counts binary"
@@ -122,13 +125,16 @@ def _asker(order: int, ranges: int):
 
 def _count(asked: pa.Table) -> pa.Table:
     """The count table of one range, joined to what the blocks ask for."""
-    grams = [np.cumsum(_numbers(g, np.uint64), dtype=np.uint64) for g in asked["grams"].to_pylist()]
-    counts = [_numbers(c, np.uint64) for c in asked["counts"].to_pylist()]
-    unique, inverse = np.unique(np.concatenate(grams), return_inverse=True)
+    sizes = [len(g.as_py()) // 8 for g in asked["grams"]]
+    ends = np.cumsum(sizes)
+    every, counts = np.empty((2, ends[-1]), np.uint64)
+    for gram, count, size, end in zip(asked["grams"], asked["counts"], sizes, ends, strict=True):
+        np.cumsum(_numbers(gram.as_py(), np.uint64), dtype=np.uint64, out=every[end - size : end])
+        counts[end - size : end] = _numbers(count.as_py(), np.uint64)
+    unique, inverse = np.unique(every, return_inverse=True)
     totals = np.zeros(len(unique), np.uint64)
-    np.add.at(totals, inverse, np.concatenate(counts))
-    ends = np.cumsum([len(g) for g in grams])
-    back = [_planes(totals[inverse[end - len(g) : end]]) for g, end in zip(grams, ends, strict=True)]
+    np.add.at(totals, inverse, counts)
+    back = [_planes(totals[inverse[end - size : end]]) for size, end in zip(sizes, ends, strict=True)]
     return pa.table({"block": asked["block"], "range": asked["range"], "totals": pa.array(back, pa.binary())})
 
 
@@ -178,7 +184,8 @@ def scores(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, alph
     """One row per document: doc_id, n_words, n_single (scored as single words), log_score, mean_log_score."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    blocks, ranges = (-(-size // step) or 1 for step in (BLOCK_BYTES, RANGE_BYTES))
+    grown = min(math.isqrt(size * 64), MOST_BYTES)
+    blocks, ranges = (-(-size // max(step, grown)) or 1 for step in (BLOCK_BYTES, RANGE_BYTES))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int"))
     asked = dealt.groupBy("block").applyInArrow(_asker(order, ranges), _REQUEST)
     answered = asked.groupBy("range").applyInArrow(_count, _RESPONSE)
