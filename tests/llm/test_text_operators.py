@@ -53,7 +53,7 @@ def test_memory_of_pieces_is_bounded(ours, monkeypatch):
     monkeypatch.setattr(byte_bpe, "REMEMBERED", 5)
     encoder = byte_bpe.Encoder(ours[0].tokenizer)
     text = " ".join(f"word{i}" for i in range(50))
-    assert encoder(text) == encoder.ids(text) and len(encoder.later) <= 5
+    assert encoder(text) == encoder.ids(text) and len(encoder.later) <= 5 and len(encoder.later.older) <= 5
 
 
 def test_split_characters_and_offsets(ours):

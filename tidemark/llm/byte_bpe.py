@@ -20,6 +20,7 @@ import base64
 import codecs
 import hashlib
 import re
+import string
 from array import array
 from collections.abc import Callable, Iterable, Iterator
 
@@ -30,8 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
-#: Pieces that one task remembers.
-REMEMBERED = 400_000
+#: Pieces that one task remembers, and as many older ones.
+REMEMBERED = 500_000
 _SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -78,17 +79,19 @@ class _Loose(Exception):
 
 
 class _Pieces(dict):
-    """Ids (as 32-bit little-endian bytes) of pieces that follow ``lead``."""
+    """Ids (as 32-bit little-endian bytes) of pieces; those not met for a while are forgotten."""
 
-    def __init__(self, ids: Callable[[str], bytes], lead: str):
-        self.ids, self.lead = ids, lead
+    def __init__(self, ids: Callable[[str], bytes]):
+        self.ids, self.older = ids, {}
 
     def __missing__(self, piece: str) -> bytes:
-        if not piece or piece[0].isspace() or piece[-1].isspace():
-            raise _Loose
+        found = self.older.get(piece)
+        if found is None:
+            found = self.ids(piece)
         if len(self) >= REMEMBERED:
+            self.older = dict(self)
             self.clear()
-        found = self[piece] = self.ids(self.lead + piece)
+        self[piece] = found
         return found
 
 
@@ -96,12 +99,28 @@ class Encoder:
     """Whole texts to ids as 32-bit little-endian bytes."""
 
     def __init__(self, tokenizer: Tokenizer):
-        self.tokenizer = tokenizer
-        self.first, self.later = _Pieces(self.ids, ""), _Pieces(self.ids, " ")
+        self.tokenizer, self.model = tokenizer, tokenizer.model
+        self.shown = str.maketrans(dict(enumerate(byte_characters())))
+        self.first = _Pieces(lambda piece: self.piece("", piece))
+        self.later = _Pieces(lambda piece: self.piece(" ", piece))
+        self.marks = _Pieces(self.ids)
 
     def ids(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def piece(self, lead: str, piece: str) -> bytes:
+        """Ids of a piece after ``lead``. Letters are one match of the pattern, and so are ASCII marks after
+        letters: a word is merged by itself, whatever mark follows it."""
+        if not piece or piece[0].isspace() or piece[-1].isspace():
+            raise _Loose
+        word = piece.rstrip(string.punctuation)
+        if not word.isalpha():
+            return self.ids(lead + piece)
+        if word != piece:
+            return (self.later if lead else self.first)[word] + self.marks[piece[len(word) :]]
+        match = (lead + word).encode().decode("latin-1").translate(self.shown)
+        return array("I", [token.id for token in self.model.tokenize(match)]).tobytes()
+
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
