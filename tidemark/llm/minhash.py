@@ -10,14 +10,16 @@ Documents of one word sequence form a class; classes are what is compared.
    are skipped in the merge; their part of the count is read off the signatures of a candidate pair.
 3. Pairs with at least ``MATCHES`` equal coordinates are confirmed on their full shingle sets:
    100 * intersection >= 75 * union.
-4. A list is not paired with itself. Its members are compared with its most central one (the hub, with the
-   most coordinates that occur elsewhere too); those found linked become one component. Lists that are
-   not of one component yet go on to a round with more hubs, and so on until what is left of each list
-   was compared with all of it. So no list is cut, and copies of copies cost a star, not a square.
-5. Before a further round, the shingles of the classes in open lists are counted. A class whose shingles
+4. Before each round, the shingles of the classes in open lists are counted. A class whose shingles
    mostly occur nowhere else cannot reach the threshold with any partner, nor can two classes if the
    smaller number of their shared shingles, or their sizes, do not allow it: these are left out, exactly.
-   So texts that have a passage in common, and little else, are not compared with each other.
+   So texts that have a passage in common, and little else, are not compared with each other. Nor are
+   copies that differ too much from the hub of their list, unless they differ from it in the same way:
+   two classes share at most what both have of the hub and what both have beside it.
+5. A list is not paired with itself. Its members are compared with its most central one (the hub, with the
+   largest share of shingles that occur elsewhere too); those found linked become one component. Lists
+   that are not of one component yet go on to a round with more hubs, and so on until what is left of each
+   list was compared with all of it. So no list is cut, and copies of copies cost a star, not a square.
 6. Components by contraction: edges shrink each round and are written to the shared folder.
 
 At a similarity of 0.75 a pair has Binomial(64, 0.75) equal coordinates: below 32 with probability
@@ -129,8 +131,8 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _postings(classes: DataFrame) -> DataFrame:
-    """(token, n, cid, size, common): the rarest coordinates of each class. n is the number of classes with
-    the token, size that of the class's shingles, common that of its coordinates that occur elsewhere."""
+    """(token, n, cid, size): the rarest coordinates of each class. n is the number of classes with the
+    token, size that of the class's shingles."""
     tokens = classes.select("cid", "size", F.explode("signature").alias("token"))
     common = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     left = (
@@ -140,7 +142,7 @@ def _postings(classes: DataFrame) -> DataFrame:
         .filter(F.size("left") >= MATCHES)
     )
     prefix = F.slice("left", F.lit(1), F.size("left") - (MATCHES - 1))
-    return settle(left.select("cid", "size", F.size("left").alias("common"), F.inline(prefix)), "minhash-postings")
+    return settle(left.select("cid", "size", F.inline(prefix)), "minhash-postings")
 
 
 def _posted_sets(postings: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -175,10 +177,11 @@ def _near_in_size(size: Column, other: Column) -> Column:
 
 def _starred(members: DataFrame, hubs: DataFrame) -> DataFrame:
     """Pairs (a, b, splits) of hubs with the members of their lists that are in other components and that
-    sizes and shared shingles (``live``, at most the size) allow to be similar."""
+    sizes and shared shingles allow to be similar. Of the ``live`` shingles that occur elsewhere, ``near``
+    are also in the list's first hub."""
     load = hubs.groupBy("hub").agg(_splits(F.max("n")).alias("splits"))
     dealt = hubs.join(load, "hub").select(
-        "token", "hub", "hub_comp", "hub_size", "hub_live", "splits", _copies(_splits(F.col("n"))).alias("share")
+        "token", "hub", "hub_comp", "hub_size", "hub_live", "hub_near", "splits", _copies(_splits(F.col("n"))).alias("share")
     )
     both = _dealt(members).alias("m").join(
         dealt.alias("h"),
@@ -187,7 +190,8 @@ def _starred(members: DataFrame, hubs: DataFrame) -> DataFrame:
         & (F.col("comp") != F.col("hub_comp"))
         & _near_in_size(F.col("size"), F.col("hub_size"))
         # similar sets have PERCENT / (100 + PERCENT) of both sizes together in common
-        & ((100 + PERCENT) * F.least("live", "hub_live") >= PERCENT * (F.col("size") + F.col("hub_size"))),
+        & ((100 + PERCENT) * (F.least("near", "hub_near") + F.least(F.col("live") - F.col("near"), F.col("hub_live") - F.col("hub_near")))
+           >= PERCENT * (F.col("size") + F.col("hub_size"))),
     )
     pairs = both.select(F.col("hub").alias("a"), F.col("cid").alias("b"), "splits")
     return pairs.groupBy("a", "b").agg(F.max("splits").alias("splits"))
@@ -242,17 +246,18 @@ def components(edges: DataFrame) -> DataFrame:
     return settle(reduce(follow, maps, nodes.select("cid", F.col("cid").alias("comp"))), "minhash-labels")
 
 
-def _open(members: DataFrame, done: DataFrame) -> DataFrame:
+def _open(members: DataFrame, done: DataFrame | None = None) -> DataFrame:
     """Members of lists in which those not yet used as hubs differ in component."""
-    fresh = members.join(done, ["token", "cid"], "left_anti")
+    fresh = members if done is None else members.join(done, ["token", "cid"], "left_anti")
     still = fresh.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high")
     return members.join(still.select("token"), "token", "left_semi")
 
 
 def _able(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Members with their number of shingles that occur in other members of open lists (``live``), without
-    those that cannot be similar even to the smallest partner their list allows."""
-    grams = sets.join(members.select("cid").distinct(), "cid", "left_semi").select("cid", F.explode("grams").alias("gram"))
+    """Members with their number of shingles that occur in other members or first hubs of open lists
+    (``live``), without those that cannot be similar even to the smallest partner their list allows."""
+    ids = members.select(F.explode(F.array("cid", "first")).alias("cid")).distinct()
+    grams = sets.join(ids, "cid", "left_semi").select("cid", F.explode("grams").alias("gram"))
     twice = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
     live = grams.join(twice, "gram").groupBy("cid").agg(F.count(F.lit(1)).alias("live"))
     counted = members.drop("live").join(live, "cid")
@@ -275,8 +280,22 @@ def _next_hubs(members: DataFrame, done: DataFrame, hubs: int) -> DataFrame:
     return picked.selectExpr(*_AS_HUB)
 
 
+def _beside(members: DataFrame, first: DataFrame, sets: DataFrame) -> DataFrame:
+    """Members with the first hub of their list and how many shingles they have in common with it (``near``)."""
+    dealt = first.select("token", F.col("hub").alias("first"), _copies(_splits(F.col("n"))).alias("share"))
+    placed = _dealt(members.drop("first", "near")).join(dealt, ["token", "share"]).drop("share")
+    pairs = placed.groupBy(F.col("first").alias("a"), F.col("cid").alias("b")).agg(_splits(F.max("n")).alias("splits"))
+    load = pairs.groupBy("a").agg(F.max("splits").alias("most"))
+    # a hub has the splits of its longest list in all its pairs
+    known = pairs.drop("splits").join(load.withColumnRenamed("most", "splits"), "a")
+    near = _with_both(known, sets, "grams").select(
+        F.col("a").alias("first"), F.col("b").alias("cid"), F.size(F.array_intersect("of_a", "of_b")).cast("bigint").alias("near")
+    )
+    return placed.join(near, ["first", "cid"])
+
+
 #: A member of a list, as its hub.
-_AS_HUB = ["token", "n", "cid AS hub", "comp AS hub_comp", "size AS hub_size", "live AS hub_live"]
+_AS_HUB = ["token", "n", "cid AS hub", "comp AS hub_comp", "size AS hub_size", "live AS hub_live", "near AS hub_near"]
 
 
 def _linked(classes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -284,10 +303,12 @@ def _linked(classes: DataFrame, docs: DataFrame) -> DataFrame:
     postings = _postings(classes)
     sets = _posted_sets(postings, classes, docs)
     posted = classes.join(postings.select("cid").distinct(), "cid", "left_semi").select("cid", "signature")
-    members = postings.withColumns({"comp": F.col("cid"), "live": F.col("size")})
-    central = F.max_by(F.struct("cid", "comp", "size", "live"), F.struct("common", -F.col("cid"))).alias("h")
+    every = postings.withColumns({"comp": F.col("cid"), "first": F.col("cid")})
+    # what is near is unknown before there is a hub: all that is live may be
+    members = settle(_open(_able(every, sets).withColumn("near", F.col("live"))), "minhash-able")
+    central = F.max_by(F.struct("cid", "comp", "size", "live", "near"), F.struct(F.col("live") / F.col("size"), -F.col("cid"))).alias("h")
     hubs = members.groupBy("token", "n").agg(central).select("token", "n", "h.*").selectExpr(*_AS_HUB)
-    edges, done, number = None, None, FIRST_HUBS
+    edges, done, first, number = None, None, None, FIRST_HUBS
     while True:
         hubs = settle(hubs, "minhash-hubs")
         found = settle(_confirmed(_starred(members, hubs), posted, sets), "minhash-links")
@@ -299,6 +320,9 @@ def _linked(classes: DataFrame, docs: DataFrame) -> DataFrame:
         still = settle(_open(labelled, done), "minhash-open")
         if still.isEmpty():
             return labels
+        if first is None:
+            first = hubs
+            still = settle(_beside(still, first, sets), "minhash-beside")
         members = settle(_open(_able(still, sets), done), "minhash-able")
         if members.isEmpty():
             return labels
