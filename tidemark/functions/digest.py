@@ -9,17 +9,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _MASK = (1 << 20) - 1
+_MICROS = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+#: Nested values keep their microseconds and their NULL fields.
+_NESTED = {"timestampFormat": _MICROS, "timestampNTZFormat": _MICROS, "ignoreNullFields": "false"}
 
 
 def column_text(field: T.StructField) -> Column:
     """Lossless text of one column; NULL has its own mark and separators are escaped."""
     col, kind = F.col(f"`{field.name}`"), field.dataType
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        text = F.date_format(col, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+        text = F.date_format(col, _MICROS)
     elif isinstance(kind, T.BinaryType):
         text = F.hex(col)
     elif isinstance(kind, (T.StructType, T.ArrayType, T.MapType)):
-        text = F.to_json(col)
+        text = F.to_json(col, _NESTED)
     else:
         text = col.cast("string")
     if isinstance(kind, (T.StringType, T.StructType, T.ArrayType, T.MapType)):

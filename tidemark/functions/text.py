@@ -63,11 +63,37 @@ def without_literals(col: Column) -> Column:
     return F.array_join(F.filter(F.split(col, "'"), lambda _, at: at % 2 == 0), "''")
 
 
-def without_parens(col: Column, depth: int = 8) -> Column:
-    """Text with bracketed parts removed, innermost first."""
-    for _ in range(depth):
-        col = F.regexp_replace(col, r"\([^()]*\)", " ")
-    return col
+_BRACKETED = r"\([^()]*\)"
+
+
+def without_parens(col: Column) -> Column:
+    """Text with each bracketed part replaced by a blank, however deep; brackets without a partner stay.
+
+    Patterns take away what is nested up to three deep. Only where a pair is left, the text is
+    folded piece by piece with a stack of what stands before each open bracket.
+    """
+    for _ in range(3):
+        col = F.regexp_replace(col, _BRACKETED, " ")
+    rest = F.transform(F.array(col), lambda text: F.when(text.rlike(_BRACKETED), _fold_parens(text)).otherwise(text))
+    return F.get(rest, 0)
+
+
+def _fold_parens(col: Column) -> Column:
+    pieces = F.regexp_extract_all(col, F.lit(r"[()]|[^()]+"), F.lit(0))
+
+    def take(stack: Column, piece: Column) -> Column:
+        top, below = F.element_at(stack, -1), F.slice(stack, 1, F.size(stack) - 1)
+        closed = F.concat(
+            F.slice(stack, 1, F.greatest(F.size(stack) - 2, F.lit(0))),
+            F.array(F.concat(F.coalesce(F.get(stack, F.size(stack) - 2), F.lit("")), F.lit(" "))),
+        )
+        return (
+            F.when(piece == "(", F.concat(stack, F.array(F.lit(""))))
+            .when((piece == ")") & (F.size(stack) > 1), closed)
+            .otherwise(F.concat(below, F.array(F.concat(top, piece))))
+        )
+
+    return F.aggregate(pieces, F.array(F.lit("")), take, lambda stack: F.array_join(stack, "("))
 
 
 # a part between commas, with brackets up to three deep; possessive, so it never backtracks

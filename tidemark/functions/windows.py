@@ -26,6 +26,13 @@ def _merge(kind: str, before: Column, here: Column) -> Column:
     return F.greatest(before, here)
 
 
+def _carried(local: DataFrame, offsets: DataFrame, by_span: Sequence[str]) -> DataFrame:
+    """Rows with what came before their span; a NULL key is a key like any other."""
+    named = offsets.withColumnsRenamed({key: f"__k_{key}" for key in by_span})
+    same = [local[key].eqNullSafe(named[f"__k_{key}"]) for key in by_span]
+    return local.join(named, same, "left")
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],
@@ -70,7 +77,7 @@ def running(
             for name, (kind, value, inclusive) in values.items()
         ],
     )
-    return local.join(offsets, by_span, "left").select(
+    return _carried(local, offsets, by_span).select(
         *df.columns,
         *[
             _merge(kind, F.col(f"__o_{name}"), F.col(f"__l_{name}")).alias(name)
@@ -106,7 +113,7 @@ def previous_rows(
     )
     nearby = Window.partitionBy(*by_span).orderBy(order).rowsBetween(-n, -1)
     local = rows.withColumn("__near", F.collect_list("__item").over(nearby))
-    joined = local.join(offsets, by_span, "left")
+    joined = _carried(local, offsets, by_span)
     whole = F.when(F.col("__carry").isNull(), F.col("__near")).otherwise(F.concat("__carry", "__near"))
     recent = F.slice(whole, F.greatest(F.size(whole) - n, F.lit(0)) + 1, F.lit(n))
     return joined.select(*df.columns, recent.alias(name))

@@ -126,12 +126,13 @@ def lock_impact(
 def expected_impact(stmts: DataFrame, tasks: DataFrame) -> DataFrame:
     """Queries a statement is expected to meet and to fail, from its lock profile and the task's load.
 
-    ``tasks`` is the task dimension, of a few rows by definition.
+    ``tasks`` is the task dimension, of a few rows by definition. A statement of a task that is not listed
+    stays, with unknown expectations.
     """
     load = F.broadcast(tasks.select("task_id", "load_level"))
     total = F.col("load_level") * F.greatest(F.lit(1), F.col("lock_ticks"))
     return (
-        stmts.join(load, "task_id")
+        stmts.join(load, "task_id", "left")
         .withColumn("expected_queries", total)
         .withColumn("expected_failed", total * F.col("failure_rate"))
         .drop("load_level")

@@ -335,7 +335,8 @@ def next_pending(plan: DataFrame, history: DataFrame) -> DataFrame:
     whole = plan.groupBy("task_id").agg(
         F.collect_list("ordinal").alias("__all"), F.map_from_entries(F.collect_list(F.struct("ordinal", "sql"))).alias("__map")
     )
-    pending = sets.join(F.broadcast(whole) if fits else whole, "task_id").withColumn(
+    # an episode of a task without a plan has nothing pending
+    pending = sets.join(F.broadcast(whole) if fits else whole, "task_id", "left").withColumn(
         "next_ordinal", F.array_min(F.array_except("__all", "__done"))
     )
     return pending.select(

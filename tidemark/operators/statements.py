@@ -63,6 +63,12 @@ MISSING_COLUMN = "column %s.%s does not exist for foreign key"
 MISSING_REFERENCE = "referenced column %s.%s does not exist"
 
 
+# an altered table, plain, qualified or quoted; a clause that adds a column; clauses that do something else
+ALTERED = r'(?is)^ALTER\s+TABLE\s+(?:IF\s+EXISTS\s+)?(?:ONLY\s+)?((?:"[^"]+"|\w+)(?:\.(?:"[^"]+"|\w+))?)\s+'
+ADDS_COLUMN = r"(?is)^ADD\s+(?:COLUMN\s+)?(?:IF\s+NOT\s+EXISTS\s+)?(?!(?:CONSTRAINT|PRIMARY|FOREIGN|UNIQUE|CHECK|EXCLUDE)\b)"
+OTHER_ACTION = r"(?is)^(?:ADD|DROP|ALTER|RENAME|SET|RESET|VALIDATE|ENABLE|DISABLE|OWNER|ATTACH|DETACH|CLUSTER|INHERIT|NO)\s"
+
+
 def _profile(values: tuple[str, int, float, bool]) -> Column:
     lock, ticks, rate, destroys = values
     return F.struct(
@@ -80,23 +86,22 @@ def split_statements(df: DataFrame, sql: str = "sql") -> DataFrame:
 
 
 def expand_add_columns(df: DataFrame, statement: str = "statement") -> DataFrame:
-    """One row per added column of ``ALTER TABLE t ADD COLUMN a …, ADD COLUMN b …``."""
-    text = F.regexp_replace(strip(F.col(statement)), r";+$", "")
-    pattern = r"(?is)^ALTER TABLE\s+(\w+)\s+ADD COLUMN\s+(.+)$"
-    table = F.regexp_extract(text, pattern, 1)
-    parts = split_commas(F.regexp_extract(text, pattern, 2))
-    single = F.array(text)
-    many = F.transform(
-        parts,
-        lambda part: F.concat(
-            F.lit("ALTER TABLE "),
-            table,
-            F.lit(" ADD COLUMN "),
-            F.regexp_replace(part, r"(?i)^ADD COLUMN\s+", ""),
-        ),
-    )
-    expanded = F.when((table != "") & (F.size(parts) > 1), many).otherwise(single)
-    return df.select("*", F.posexplode(expanded).alias("part", "expanded"))
+    """One row per added column of an ALTER TABLE that adds several.
+
+    The statement is cut at the commas outside brackets. Its first clause names the table for all;
+    a clause that adds nothing but a column, with or without its keywords, becomes a statement of
+    its own. Statements with any other clause stay whole.
+    """
+    whole = F.rtrim(strip(F.col(statement)), F.lit(";"))
+    clauses = split_commas(whole)
+    table = F.regexp_extract(F.get(clauses, 0), ALTERED, 1)
+    actions = F.transform(clauses, lambda clause: F.regexp_replace(clause, ALTERED, ""))
+    added = F.transform(actions, lambda action: F.regexp_replace(action, ADDS_COLUMN, ""))
+    first_adds = F.get(actions, 0).rlike(ADDS_COLUMN)
+    others = F.exists(added, lambda column: column.rlike(OTHER_ACTION))
+    each = F.transform(added, lambda column: F.concat_ws(" ", F.lit("ALTER TABLE"), table, F.lit("ADD COLUMN"), column))
+    several = (table != "") & first_adds & ~others & (F.size(clauses) > 1)
+    return df.select("*", F.posexplode(F.when(several, each).otherwise(F.array(whole))).alias("part", "expanded"))
 
 
 def copy_cost(sql: Column) -> Column:

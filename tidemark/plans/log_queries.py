@@ -216,13 +216,21 @@ _PROFILES = f"""(SELECT *, stmt_id % 16 AS k,
   stmt_id % 16 = 11 AS destroys_data FROM s)"""
 
 
+# every statement of each text: those of the one shape with two of them have a second, free of locks
+_EACH = f"""(SELECT stmt_id, task_id, 1 AS pos, split_part(sql, ';', 1) AS statement, lock_type, lock_ticks, failure_rate, destroys_data FROM {_PROFILES} p
+  UNION ALL SELECT stmt_id, task_id, 2, 'SELECT 1', 'NONE', 0, 0.0::double, false FROM s WHERE stmt_id % 16 = 13)"""
+
+
+def _each(spark: SparkSession, d: str, *keys: str) -> DataFrame:
+    return L.split_statements(_stmts(spark, d).select("stmt_id", *keys, "sql")).drop("sql")
+
+
 @query(
     "l4_classify_locks",
-    f"WITH {_S}, p AS {_PROFILES} SELECT stmt_id, split_part(sql, ';', 1) AS statement, lock_type, lock_ticks, failure_rate, destroys_data FROM p",
+    f"WITH {_S}, p AS {_EACH} SELECT stmt_id, pos, statement, lock_type, lock_ticks, failure_rate, destroys_data FROM p",
 )
 def l4_classify_locks(spark: SparkSession, d: str) -> DataFrame:
-    first = _stmts(spark, d).select("stmt_id", F.split_part("sql", F.lit(";"), F.lit(1)).alias("statement"))
-    return L.classify_locks(first)
+    return L.classify_locks(_each(spark, d))
 
 
 @query(
@@ -304,14 +312,13 @@ SELECT episode_id, 'users', 'user_id' FROM ({STMTS}) s WHERE step = 1 AND episod
 
 @query(
     "l9_preflight_rename",
-    f"""WITH {_S} SELECT stmt_id, episode_id, split_part(sql, ';', 1) AS statement, 'users' AS table_name, 'id' AS old_name, 'user_id' AS new_name,
+    f"""WITH {_S} SELECT stmt_id, episode_id, 1 AS pos, split_part(sql, ';', 1) AS statement, 'users' AS table_name, 'id' AS old_name, 'user_id' AS new_name,
       CASE WHEN episode_id % 4 = 0 THEN 'audits.fk_audits_users, orders.fk_orders_users' WHEN episode_id % 2 = 0 THEN 'orders.fk_orders_users' ELSE '' END AS blockers,
       episode_id % 2 = 0 AS blocked FROM s
       WHERE stmt_id % 16 = 2""",
 )
 def l9_preflight_rename(spark: SparkSession, d: str) -> DataFrame:
-    first = _stmts(spark, d).select("stmt_id", "episode_id", F.split_part("sql", F.lit(";"), F.lit(1)).alias("statement"))
-    return L.preflight_rename(first, derive(spark, d, _FKS), ["episode_id"])
+    return L.preflight_rename(_each(spark, d, "episode_id"), derive(spark, d, _FKS), ["episode_id"])
 
 
 @query(
@@ -320,24 +327,21 @@ def l9_preflight_rename(spark: SparkSession, d: str) -> DataFrame:
         episode_id IN (SELECT episode_id FROM s WHERE step = 1 AND episode_id % 2 = 0) AS has,
         episode_id IN (SELECT episode_id FROM s WHERE step = 1 AND episode_id % 3 <> 0) AS loc,
         episode_id IN (SELECT episode_id FROM s WHERE step = 1 AND episode_id % 5 <> 0) AS ref FROM s WHERE stmt_id % 16 IN (3, 4))
-    SELECT stmt_id, episode_id, statement, CASE WHEN adds THEN 'ADD' ELSE 'DROP' END AS action, 'orders' AS table_name, 'fk_orders_users' AS constraint_name,
+    SELECT stmt_id, episode_id, 1 AS pos, statement, CASE WHEN adds THEN 'ADD' ELSE 'DROP' END AS action, 'orders' AS table_name, 'fk_orders_users' AS constraint_name,
       CASE WHEN NOT adds AND NOT has THEN 'constraint fk_orders_users does not exist on orders' WHEN adds AND has THEN 'constraint fk_orders_users already exists on orders'
         WHEN adds AND NOT loc THEN 'column orders.user_id does not exist for foreign key' WHEN adds AND NOT ref THEN 'referenced column users.user_id does not exist' END AS problem FROM c""",
 )
 def l10_preflight_constraints(spark: SparkSession, d: str) -> DataFrame:
-    first = _stmts(spark, d).select("stmt_id", "episode_id", F.split_part("sql", F.lit(";"), F.lit(1)).alias("statement"))
-    return L.preflight_constraints(first, derive(spark, d, _LOCAL_COLUMNS), derive(spark, d, _FKS), ["episode_id"])
+    return L.preflight_constraints(_each(spark, d, "episode_id"), derive(spark, d, _LOCAL_COLUMNS), derive(spark, d, _FKS), ["episode_id"])
 
 
 def _classified(spark: SparkSession, d: str) -> DataFrame:
-    stmts = _stmts(spark, d)
-    first = stmts.withColumn("statement", F.split_part("sql", F.lit(";"), F.lit(1)))
-    return L.classify_locks(first)
+    return L.classify_locks(_each(spark, d, "task_id"))
 
 
 @query(
     "l11_lock_summary",
-    f"""WITH {_S}, p AS {_PROFILES} SELECT coalesce(task_id, '*') AS task_id, coalesce(lock_type, '*') AS lock_type, count(*) AS statements,
+    f"""WITH {_S}, p AS {_EACH} SELECT coalesce(task_id, '*') AS task_id, coalesce(lock_type, '*') AS lock_type, count(*) AS statements,
       cast(sum(lock_ticks) AS bigint) AS ticks, max(failure_rate) AS worst_rate, count(*) FILTER (destroys_data) AS destructive
       FROM p GROUP BY ROLLUP (task_id, lock_type)""",
 )
@@ -392,13 +396,13 @@ def a4_lock_impact(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "a5_expected_impact",
-    f"""WITH {_S}, p AS {_PROFILES} SELECT stmt_id, task_id, lock_type, cast({_LOAD} * greatest(1, lock_ticks) AS bigint) AS expected_queries,
+    f"""WITH {_S}, p AS {_EACH} SELECT stmt_id, pos, task_id, lock_type, cast({_LOAD} * greatest(1, lock_ticks) AS bigint) AS expected_queries,
       round({_LOAD} * greatest(1, lock_ticks) * failure_rate, 6) AS expected_failed FROM p""",
 )
 def a5_expected_impact(spark: SparkSession, d: str) -> DataFrame:
     impact = A.expected_impact(_classified(spark, d), E.tasks_dim(spark))
     return impact.select(
-        "stmt_id", "task_id", "lock_type", "expected_queries", F.round("expected_failed", 6).alias("expected_failed")
+        "stmt_id", "pos", "task_id", "lock_type", "expected_queries", F.round("expected_failed", 6).alias("expected_failed")
     )
 
 

@@ -71,6 +71,12 @@ def parse_run_log(lines: DataFrame, line: str = "line") -> DataFrame:
     )
 
 
+def _number_text(value: Column) -> Column:
+    """Text of a JSON value; true and false are the numbers 1 and 0, a text that says so is not."""
+    truth = F.when(F.schema_of_variant(value) == "BOOLEAN", value.try_cast("boolean").cast("int").cast("string"))
+    return F.coalesce(truth, value.try_cast("string"))
+
+
 def last_score_payload(
     lines: DataFrame, run: str, line_no: str, line: str = "line", keys: Sequence[str] = TASK_IDS
 ) -> DataFrame:
@@ -82,7 +88,7 @@ def last_score_payload(
     text = strip(F.col(line))
     fields = F.try_parse_json(text).try_cast("map<string,variant>")
     objects = lines.filter(text.startswith("{") & text.endswith("}")).select(
-        F.col(run), F.col(line_no), F.transform_values(fields, lambda _, v: v.try_cast("string")).alias("fields")
+        F.col(run), F.col(line_no), F.transform_values(fields, lambda _, v: _number_text(v)).alias("fields")
     )
     objects = objects.filter(F.col("fields").isNotNull())
     last = objects.groupBy(run).agg(
@@ -108,8 +114,8 @@ def decode_actions(actions: DataFrame, payload: str = "payload", active_task: st
 
     An action is an object with ``sql``, a bare SQL text, or an object with ``commands``, of which
     the first counts. A wait, or a command without a statement, becomes a no-op. The task is always
-    that of the active episode. ``valid`` is false where the payload is neither object nor text, or
-    names an unknown mode.
+    that of the active episode. ``valid`` is false where the payload is neither object nor text, has a
+    null for its statement, or names an unknown mode.
     """
     raw = F.try_parse_json(F.col(payload))
     outer = F.coalesce(F.try_variant_get(raw, "$.action", "variant"), raw)
@@ -145,7 +151,8 @@ def decode_actions(actions: DataFrame, payload: str = "payload", active_task: st
             )
         )
     )
-    valid = F.coalesce((is_text | is_object) & mode.isin(*MODES), F.lit(False))
+    null_sql = ~has_commands & F.coalesce(F.array_contains(names, "sql"), F.lit(False)) & text("$.sql").isNull()
+    valid = F.coalesce((is_text | (is_object & ~null_sql)) & mode.isin(*MODES), F.lit(False))
     return actions.select(
         *[c for c in actions.columns if c not in (payload, active_task)],
         F.when(valid, sql).alias("sql"),

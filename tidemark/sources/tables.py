@@ -17,12 +17,13 @@ def load_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 
 
 def spread_scan(df: DataFrame, key: str) -> DataFrame:
-    """Give heavy work on each row all cores, when the table is stored in fewer files than that.
+    """Give heavy work on each row all cores, when the scan has fewer splits than that.
 
-    A table of many files is returned as it is: its scan is parallel without a shuffle.
+    Such a table is smaller than a split for each core, so the shuffle is small whatever the
+    cluster. A larger table is returned as it is: its scan is parallel by the size of its splits.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= cores else df.repartition(cores, key)
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
 
 
 def table_inventory(tables: Mapping[str, DataFrame]) -> DataFrame:
