@@ -74,3 +74,28 @@ def test_unlisted_tasks_stay(spark):
     plan = episodes.playbook(spark, "easy_add_column", [episodes.ADD_EMAIL])
     history = spark.createDataFrame([(1, "nowhere", "SELECT 1;", "SUCCESS")], "episode_id long, task_id string, sql string, result string")
     assert [r["next_sql"] for r in episodes.next_pending(plan, history).collect()] == [logs.NO_OP_SQL]
+
+
+STEP = (
+    "episode_id long, task_id string, step int, result string, schema_match double, queries_total long, "
+    "queries_failed long, data_integrity double"
+)
+
+
+def test_steps_of_other_tasks_are_invalid_and_counted(spark):
+    own, other = "easy_add_column", "hard_repartition"
+    tasks = [own, other, "nowhere", own, own, own, own]
+    rows = [(1, task, i + 1, "SUCCESS", 0.1 * (i + 1), 10, 0, 1.0) for i, task in enumerate(tasks)]
+    rows += [(2, "nowhere", 1, "SUCCESS", 0.5, 10, 0, 1.0), (3, own, 1, "EXECUTION_ERROR: no table", 0.5, 10, 0, 1.0)]
+    got = {
+        (r["episode_id"], r["step"]): r
+        for r in episodes.step_rewards(spark.createDataFrame(rows, STEP), episodes.tasks_dim(spark)).collect()
+    }
+    assert len(got) == len(rows)
+    assert [round(got[1, s]["reward"], 9) for s in range(1, 8)] == [0.1, -0.05, -0.05, 0.3, 0.1, 0, 0]
+    # the limit is that of the episode's own task
+    assert [got[1, s]["done"] for s in range(1, 8)] == [False] * 4 + [True] * 3
+    assert [got[1, s]["masked"] for s in range(1, 8)] == [False] * 5 + [True] * 2
+    assert got[2, 1]["reward"] == got[3, 1]["reward"] == -0.05 and got[2, 1]["total_to_date"] == 0
+    final = {r["episode_id"]: (r["task_id"], r["steps"]) for r in episodes.final_states(spark.createDataFrame([r.asDict() for r in got.values()])).collect()}
+    assert final == {1: (own, 5), 2: ("nowhere", 1), 3: (own, 1)}

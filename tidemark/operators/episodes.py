@@ -2,13 +2,15 @@
 
 An episode is one run of one task, a step is one submitted statement. A task allows a fixed number
 of steps, so what an episode does is bounded, while its log may go on for ever. Windows therefore
-cover the allowed steps only; rows beyond them are spread over tasks by step and take the final
-state of their episode.
+cover the steps that any task allows; rows beyond them are spread over tasks by step and take the final
+state of their episode. The task of an episode, and with it its limit, is that of its first step: a
+step of another task, or of one that is not listed, is an invalid action of the episode it came in.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -26,6 +28,8 @@ TASKS = [
     ("hard_repartition", "hard", 30, 8),
 ]
 NO_ERROR = ("SUCCESS", "RESET", "EPISODE_DONE")
+# How results begin of actions that were refused or failed before they ran.
+NOT_EXECUTED = ("TASK_ID_MISMATCH", "EXECUTION_ERROR")
 NO_EPISODE = "No active episode for this task"
 OTHER_EPISODE = "Episode ID mismatch for this task"
 # Planned statements of the create-copy-swap task.
@@ -57,20 +61,36 @@ def tasks_dim(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(TASKS, "task_id string, difficulty string, load_level int, max_steps int")
 
 
-def _spread(steps: DataFrame, tasks: DataFrame) -> DataFrame:
-    """Add ``max_steps`` and ``__span``: 0 for the allowed steps, other numbers beyond them."""
-    limited = steps.join(F.broadcast(tasks.select("task_id", "max_steps")), "task_id")
-    beyond = (F.floor(F.col("step") / F.lit(_TAIL_SPAN)) + 1).cast("bigint")
-    return limited.withColumn("__span", F.when(F.col("step") <= F.col("max_steps"), F.lit(0)).otherwise(beyond))
+def largest_limit(tasks: DataFrame) -> Column:
+    """The most steps that any task allows, as a scalar subquery."""
+    return tasks.select(F.max("max_steps")).scalar()
 
 
-def _ends(valid: Column) -> Column:
-    complete = valid & (F.col("step") > 0) & (F.col("schema_match") >= 1 - DONE_TOLERANCE)
-    return (F.col("step") >= F.col("max_steps")) | F.coalesce(complete, F.lit(False))
+def _spread(steps: DataFrame, tasks: DataFrame) -> DataFrame:
+    """Add ``__span`` (0 for steps that some task allows, other numbers beyond them), and by the episode's
+    own task ``__limit``, ``__valid`` and ``__ends``. One shuffle, by episode and span."""
+    dimension = tasks.select(F.col("task_id").alias("__listed"), F.col("max_steps").alias("__max"))
+    most = largest_limit(tasks)
+    beyond = (F.floor(F.col("step") / F.lit(_TAIL_SPAN)) + 1).cast("bigint")
+    rows = steps.join(F.broadcast(dimension), F.col("task_id") == F.col("__listed"), "left").withColumn(
+        "__span", F.when(F.col("step") <= most, F.lit(0)).otherwise(beyond)
+    )
+    upto = Window.partitionBy("episode_id", "__span").orderBy("step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    known = F.col("__listed").isNotNull() & (F.col("__listed") == F.col("__own"))
+    failed = F.coalesce(reduce(Column.__or__, [F.col("result").startswith(mark) for mark in NOT_EXECUTED]), F.lit(False))
+    given = F.coalesce(F.col("valid"), F.lit(False)) if "valid" in steps.columns else F.lit(True)
+    owned = rows.withColumns(
+        {"__own": F.first("task_id").over(upto), "__limit": F.coalesce(F.first("__max").over(upto), most)}
+    )
+    judged = owned.withColumn("__valid", given & F.coalesce(known, F.lit(False)) & ~failed)
+    complete = F.col("__valid") & (F.col("step") > 0) & (F.col("schema_match") >= 1 - DONE_TOLERANCE)
+    return judged.withColumn("__ends", (F.col("step") >= F.col("__limit")) | F.coalesce(complete, F.lit(False)))
 
 
-def _valid(steps: DataFrame) -> Column:
-    return F.coalesce(F.col("valid"), F.lit(False)) if "valid" in steps.columns else F.lit(True)
+def _masked(spread: DataFrame) -> DataFrame:
+    before = Window.partitionBy("episode_id", "__span").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
+    ended = F.coalesce(F.max("__ends").over(before), F.lit(False))
+    return spread.withColumn("masked", (F.col("__span") > 0) | (F.col("step") > F.col("__limit")) | ended)
 
 
 def mark_done(steps: DataFrame, tasks: DataFrame) -> DataFrame:
@@ -79,12 +99,7 @@ def mark_done(steps: DataFrame, tasks: DataFrame) -> DataFrame:
     An episode ends at its last allowed step or when its schema is complete. An invalid step ends
     it only by its number. One shuffle, by episode and span.
     """
-    spread = _spread(steps, tasks)
-    before = Window.partitionBy("episode_id", "__span").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
-    ended = F.coalesce(F.max(F.col("__ends")).over(before), F.lit(False))
-    marked = spread.withColumn("__ends", _ends(_valid(steps))).withColumn(
-        "masked", (F.col("__span") > 0) | ended
-    )
+    marked = _masked(_spread(steps, tasks))
     return marked.select(*steps.columns, (F.col("__ends") | F.col("masked")).alias("done"), "masked")
 
 
@@ -94,22 +109,18 @@ def step_rewards(steps: DataFrame, tasks: DataFrame, start_match: float = 0.0) -
     ``steps`` holds (episode_id, task_id, step, result, schema_match, queries_total, queries_failed,
     data_integrity) and optionally ``valid`` and ``destroys_data``. The reward is the gain in match, times
     the share of queries served, times integrity; a failed statement costs 0.05, and so does an
-    invalid action, which adds no load. Steps after the end are ``masked``: they are worth nothing
-    and repeat the final totals. A first look at task and step tells whether there are any such
-    rows; without them the plan is a single shuffle by episode.
+    invalid action, which adds no load: one that is marked so, was not executed, or is of another task
+    than its episode. Steps after the end are ``masked``: they are worth nothing and repeat the final
+    totals. One shuffle by episode, and a join of the final totals for steps that no task allows.
     """
-    valid = _valid(steps)
     destroys = F.coalesce(F.col("destroys_data"), F.lit(False)) if "destroys_data" in steps.columns else F.lit(False)
     window = Window.partitionBy("episode_id").orderBy("step")
     before = window.rowsBetween(Window.unboundedPreceding, -1)
     upto = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
-    spread = _spread(steps, tasks).withColumns(
-        {"__valid": valid, "__ends": _ends(valid), "__match": F.when(valid, F.col("schema_match"))}
-    )
-    seen = spread.filter(F.col("__span") == 0).select(
+    spread = _spread(steps, tasks).withColumn("__match", F.when(F.col("__valid"), F.col("schema_match")))
+    seen = _masked(spread.filter(F.col("__span") == 0)).select(
         "*",
-        F.coalesce(F.max("__ends").over(before), F.lit(False)).alias("masked"),
         F.coalesce(F.last("__match", ignorenulls=True).over(before), F.lit(start_match)).alias("previous_match"),
     )
     counted = F.col("__valid") & ~F.col("masked") & (F.col("step") > 0)
@@ -144,9 +155,7 @@ def step_rewards(steps: DataFrame, tasks: DataFrame, start_match: float = 0.0) -
     own = [c if c != "result" else result for c in steps.columns]
     done = (F.col("__ends") | F.col("masked")).alias("done")
     allowed = rewarded.select(*own, done, "masked", "downtime_pct", "reward", *live)
-    beyond = spread.filter(F.col("__span") > 0)
-    if beyond.isEmpty():
-        return allowed
+    beyond = steps.filter(F.col("step") > largest_limit(tasks))
     final = allowed.groupBy("episode_id").agg(F.max_by(F.struct(*totals), "step").alias("__final"))
     ended = [c if c != "result" else F.lit("EPISODE_DONE").alias("result") for c in steps.columns]
     nothing = [F.lit(0.0).alias("downtime_pct"), F.lit(0.0).alias("reward")]
@@ -171,7 +180,8 @@ def cumulative_reward(rewards: DataFrame) -> DataFrame:
 
 def final_states(rewards: DataFrame) -> DataFrame:
     """One row per episode with its final match, integrity, availability and reward."""
-    last = rewards.filter(~F.col("masked")).groupBy("episode_id", "task_id").agg(
+    last = rewards.filter(~F.col("masked")).groupBy("episode_id").agg(
+        F.min_by("task_id", "step").alias("task_id"),
         F.max_by(
             F.struct(
                 F.col("step").alias("steps"),
@@ -298,7 +308,8 @@ def run_summary(rewards: DataFrame) -> DataFrame:
     served = 1 - ratio(F.col("failed_to_date"), F.col("total_to_date"))
     points = score(F.col("match_to_date"), F.col("integrity_to_date"), served)
     runs = taken.select("episode_id", "task_id", "step", bounded(F.col("reward")).alias("r"), points.alias("p"))
-    return runs.groupBy("episode_id", "task_id").agg(
+    return runs.groupBy("episode_id").agg(
+        F.min_by("task_id", "step").alias("task_id"),
         F.count(F.lit(1)).alias("steps"),
         F.max_by("p", "step").alias("score"),
         (F.max_by("p", "step") >= PASS_SCORE).alias("success"),
