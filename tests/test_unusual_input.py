@@ -8,6 +8,7 @@ from tidemark.functions.text import without_parens
 from tidemark.functions.windows import previous_rows, running
 from tidemark.operators import availability, episodes, integrity, statements
 from tidemark.sources import logs
+from tidemark.streaming import live
 
 
 def test_running_values_of_a_null_key(spark):
@@ -99,3 +100,20 @@ def test_steps_of_other_tasks_are_invalid_and_counted(spark):
     assert got[2, 1]["reward"] == got[3, 1]["reward"] == -0.05 and got[2, 1]["total_to_date"] == 0
     final = {r["episode_id"]: (r["task_id"], r["steps"]) for r in episodes.final_states(spark.createDataFrame([r.asDict() for r in got.values()])).collect()}
     assert final == {1: (own, 5), 2: ("nowhere", 1), 3: (own, 1)}
+
+
+def test_live_episodes_follow_the_batch_rules(spark):
+    own, other = "easy_add_column", "hard_repartition"
+    rows = [
+        (1, own, 1, "SUCCESS", 0.6, 10, 0, 1.0, False), (1, own, 2, "SUCCESS", 0.9, 10, 1, 1.0, True), (1, other, 3, "SUCCESS", 1.0, 10, 0, 1.0, False),
+        (2, other, 7, "SUCCESS", 0.7, 10, 5, 1.0, False), (3, "nowhere", 1, "SUCCESS", 1.0, 10, 0, 1.0, False),
+    ]
+    steps = spark.createDataFrame(rows, STEP + ", destroys_data boolean")
+    tasks = episodes.tasks_dim(spark)
+    batch = episodes.final_states(episodes.step_rewards(steps, tasks, start_match=0.5)).collect()
+    streamed = {r["episode_id"]: r for r in live.live_episodes(steps, tasks, start_match=0.5).collect()}
+    for r in batch:
+        s = streamed[r["episode_id"]]
+        assert (s["task_id"], s["step"], s["done"]) == (r["task_id"], r["steps"], r["done"])
+        assert abs(s["cumulative_reward"] - r["cumulative_reward"]) < 1e-9 and s["queries_total"] == r["queries_total"]
+    assert len(batch) == len(streamed) == 3 and abs(streamed[1]["cumulative_reward"] - 0.05) < 1e-9

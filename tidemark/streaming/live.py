@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.functions.digest import bucket_of
 from tidemark.functions.scores import DONE_TOLERANCE, FAILURE_COST, ratio
+from tidemark.operators.episodes import NOT_EXECUTED, TASKS
 from tidemark.operators.migrate import BUCKET
 
+#: The largest number of steps that a listed task allows.
+MOST_STEPS = max(limit for *_, limit in TASKS)
+
 
 def live_availability(
     workload: DataFrame, size: str = "1 hour", slide: str | None = None, delay: str = "1 day", by: tuple[str, ...] = ()
@@ -52,7 +58,8 @@ def _advance(state: Column, entry: Column, limit: Column) -> Column:
     step, valid, now = entry["step"], entry["valid"], entry["schema_match"]
     counted = valid & (step > 0)
     served = 1 - ratio(entry["queries_failed"], entry["queries_total"])
-    gain = F.greatest(F.lit(0.0), now - state["schema_match"]) * served * entry["data_integrity"]
+    kept = F.when(entry["destroys"], F.lit(0.0)).otherwise(entry["data_integrity"])
+    gain = F.greatest(F.lit(0.0), now - state["schema_match"]) * served * kept
     reward = (
         F.when(step == 0, F.lit(0.0))
         .when(~valid, F.lit(-FAILURE_COST))
@@ -69,19 +76,28 @@ def _advance(state: Column, entry: Column, limit: Column) -> Column:
     return F.when(state["done"] | (step <= state["step"]), state).otherwise(after)
 
 
-def live_episodes(steps: DataFrame, tasks: DataFrame) -> DataFrame:
+def live_episodes(steps: DataFrame, tasks: DataFrame, start_match: float = 0.0, most_steps: int = MOST_STEPS) -> DataFrame:
     """Totals, reward and done flag per episode, updated as steps arrive; works on streams and on tables.
 
     The stream keeps the allowed steps of each episode as its state and folds them by the same rules
-    as the batch. Steps beyond the task's limit cannot change an ended episode and are left out
-    before the shuffle, and copies of a step collapse on the map side, so neither an endless log
-    nor a log delivered many times can grow the state or burden a single task.
+    as the batch: the task of the first step is that of the episode and sets its limit, and steps of
+    other or unlisted tasks are invalid actions. ``most_steps`` is the largest limit of any task; steps
+    beyond it cannot change an episode and are left out before the shuffle, and copies of a step
+    collapse on the map side, so neither an endless log nor a log delivered many times can grow the
+    state or burden a single task.
     """
-    limited = steps.join(F.broadcast(tasks.select("task_id", "max_steps")), "task_id")
-    valid = F.coalesce(F.col("valid"), F.lit(False)) if "valid" in steps.columns else F.lit(True)
+    dimension = tasks.select(F.col("task_id").alias("__listed"), "max_steps")
+    limited = steps.join(F.broadcast(dimension), F.col("task_id") == F.col("__listed"), "left")
+    given = F.coalesce(F.col("valid"), F.lit(False)) if "valid" in steps.columns else F.lit(True)
+    failed = reduce(Column.__or__, [F.col("result").startswith(mark) for mark in NOT_EXECUTED])
+    valid = given & F.col("__listed").isNotNull() & ~F.coalesce(failed, F.lit(False))
+    destroys = F.coalesce(F.col("destroys_data"), F.lit(False)) if "destroys_data" in steps.columns else F.lit(False)
     entry = F.struct(
         F.col("step").cast("int").alias("step"),
+        "task_id",
+        "max_steps",
         valid.alias("valid"),
+        destroys.alias("destroys"),
         "result",
         F.col("schema_match").cast("double").alias("schema_match"),
         F.col("queries_total").cast("bigint").alias("queries_total"),
@@ -89,15 +105,23 @@ def live_episodes(steps: DataFrame, tasks: DataFrame) -> DataFrame:
         F.col("data_integrity").cast("double").alias("data_integrity"),
     )
     kept = (
-        limited.filter(F.col("step") <= F.col("max_steps"))
-        .groupBy("episode_id", "task_id", "max_steps")
-        .agg(F.collect_set(entry).alias("entries"))
+        limited.filter(F.col("step") <= most_steps)
+        .groupBy("episode_id")
+        .agg(F.array_sort(F.collect_set(entry)).alias("entries"))
+        .withColumn("own", F.get("entries", F.lit(0)))
     )
-    start = _state(F.lit(-1), F.lit(0.0), F.lit(0), F.lit(0), F.lit(0.0), F.lit(False))
+    start = _state(F.lit(-1), F.lit(start_match), F.lit(0), F.lit(0), F.lit(0.0), F.lit(False))
+    limit = F.coalesce(F.col("own.max_steps"), F.lit(most_steps))
+
+    def of_own_task(entry: Column) -> Column:
+        return entry.withField("valid", entry["valid"] & entry["task_id"].eqNullSafe(F.col("own.task_id")))
+
     folded = F.aggregate(
-        F.array_sort("entries"), start, lambda state, entry: _advance(state, entry, F.col("max_steps"))
+        F.transform("entries", of_own_task), start, lambda state, entry: _advance(state, entry, limit)
+    )
+    return kept.select("episode_id", F.col("own.task_id").alias("task_id"), folded.alias("__state")).select(
+        "episode_id", "task_id", "__state.*"
     )
-    return kept.select("episode_id", "task_id", folded.alias("__state")).select("episode_id", "task_id", "__state.*")
 
 
 def catch_up(source: DataFrame, key: str, modulus: int, path: str, checkpoint: str) -> StreamingQuery:
@@ -108,7 +132,8 @@ def catch_up(source: DataFrame, key: str, modulus: int, path: str, checkpoint: s
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        bucketed = batch.withColumn(BUCKET, bucket_of(F.col(key), modulus))
+        # one task writes few buckets, and adaptive execution splits a large one
+        bucketed = batch.withColumn(BUCKET, bucket_of(F.col(key), modulus)).hint("rebalance", BUCKET)
         bucketed.write.mode("overwrite").partitionBy(BUCKET).parquet(f"{path}/batch={batch_id}")
 
     return (
