@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.text import without_parens
 from tidemark.functions.windows import previous_rows, running
-from tidemark.operators import availability, episodes, integrity, statements
+from tidemark.operators import availability, episodes, integrity, schema, statements
 from tidemark.sources import logs
 from tidemark.streaming import live
 
@@ -117,3 +117,27 @@ def test_live_episodes_follow_the_batch_rules(spark):
         assert (s["task_id"], s["step"], s["done"]) == (r["task_id"], r["steps"], r["done"])
         assert abs(s["cumulative_reward"] - r["cumulative_reward"]) < 1e-9 and s["queries_total"] == r["queries_total"]
     assert len(batch) == len(streamed) == 3 and abs(streamed[1]["cumulative_reward"] - 0.05) < 1e-9
+
+
+def test_ddl_as_people_write_it(spark):
+    text = """-- users; of the shop
+    CREATE TEMP TABLE public."users" (
+      id INTEGER PRIMARY KEY, -- the key, really
+      name character varying(20) DEFAULT '--none', /* a, comment */
+      paid NUMERIC(10, 2), ok BOOL, seen timestamp without time zone);
+    CREATE UNLOGGED TABLE IF NOT EXISTS "shop"."orders" (
+      id int4, user_id int, FOREIGN KEY (user_id) REFERENCES public.users,
+      CONSTRAINT "fk" FOREIGN KEY ("user_id") REFERENCES "users" ("id") ON DELETE CASCADE);"""
+    ddl = spark.createDataFrame([(1, text)], "snapshot_id long, ddl string")
+    columns = [(r["table_name"], r["col_name"], r["col_type"], r["col_default"]) for r in schema.ddl_to_columns(ddl).collect()]
+    assert columns == [
+        ("users", "id", "integer", ""),
+        ("users", "name", "varchar(20)", "'--none'"),
+        ("users", "paid", "decimal(10,2)", ""),
+        ("users", "ok", "boolean", ""),
+        ("users", "seen", "timestamp", ""),
+        ("orders", "id", "integer", ""),
+        ("orders", "user_id", "integer", ""),
+    ]
+    fks = [(r["table_name"], r["fk_name"], r["col_name"], r["ref_table"], r["ref_column"]) for r in schema.ddl_to_fks(ddl).collect()]
+    assert fks == [("orders", "", "user_id", "users", ""), ("orders", "fk", "user_id", "users", "id")]

@@ -58,6 +58,12 @@ def split_quoted(col: Column) -> Column:
     return _clean(F.when(col.contains("'"), quoted).otherwise(F.split(col, ";")))
 
 
+def without_comments(col: Column) -> Column:
+    """Text with line and block comments replaced by a blank; what only looks like one in a literal stays."""
+    cleaned = F.regexp_replace(col, r"('(?:[^']|'')*')|--[^\n]*|(?s:/\*.*?\*/)", "$1 ")
+    return F.when(col.contains("--") | col.contains("/*"), cleaned).otherwise(col)
+
+
 def without_literals(col: Column) -> Column:
     """Text with the contents of single-quoted literals removed."""
     return F.array_join(F.filter(F.split(col, "'"), lambda _, at: at % 2 == 0), "''")

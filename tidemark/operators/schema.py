@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.scores import unit
-from tidemark.functions.text import child_name, cut, split_commas, split_quoted, strip
+from tidemark.functions.text import child_name, cut, split_commas, split_quoted, strip, without_comments
 from tidemark.functions.windows import running
 from tidemark.sources.tables import broadcast_if_small, is_small
 
@@ -39,21 +39,32 @@ PENALTY_CAP = 20
 
 ATTRIBUTES = ("col_type", "col_default", "not_null", "is_primary")
 
-_CREATE = r"(?is)^CREATE\s+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?(\w+)"
+# a name without its schema and quotes
+_NAME = r'(?:"?\w+"?\s*\.\s*)?"?(\w+)"?'
+_CREATE = (
+    r"(?is)^CREATE\s+(?:(?:GLOBAL|LOCAL)\s+)?(?:TEMP(?:ORARY)?\s+|UNLOGGED\s+)?TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?" + _NAME
+)
 _BODY = _CREATE + r"\s*\((.*?)\)\s*(?:PARTITION\s+BY\s+(\w+)\s*\(([^)]*)\))?\s*$"
-_CHILD = _CREATE + r"\s+PARTITION\s+OF\s+(\w+)\s+(.*)$"
-_LIKE = r"(?is)^LIKE\s+(\w+)\s+INCLUDING\s+ALL$"
+_CHILD = _CREATE + r"\s+PARTITION\s+OF\s+" + _NAME + r"\s+(.*)$"
+_LIKE = r"(?is)^LIKE\s+" + _NAME + r"\s+INCLUDING\s+ALL$"
 _NOT_A_COLUMN = r"(?is)^(?:CONSTRAINT|PRIMARY\s+KEY|FOREIGN\s+KEY|UNIQUE|CHECK|EXCLUDE|LIKE)\b"
 _COLUMN = (
     r'(?is)^"?(\w+)"?\s+((?:double\s+precision|character\s+varying|timestamp\s+with(?:out)?\s+time\s+zone|\w+)'
     r"(?:\s*\([^)]*\))?)(.*)$"
 )
 _DEFAULT = r"(?is)\bDEFAULT\s+('[^']*'|[^\s(]+(?:\([^)]*\))?)"
-_IS_FK = r"(?is)^(?:CONSTRAINT\s+\w+\s+)?FOREIGN\s+KEY\b"
+# the referenced column may be left out
 _FK = (
-    r"(?is)^(?:CONSTRAINT\s+(\w+)\s+)?FOREIGN\s+KEY\s*\(\s*(\w+)[^)]*\)\s*"
-    r"REFERENCES\s+(\w+)\s*\(\s*(\w+).*$"
+    r'(?is)^(?:CONSTRAINT\s+"?(\w+)"?\s+)?FOREIGN\s+KEY\s*\(\s*"?(\w+)"?[^)]*\)\s*REFERENCES\s+'
+    + _NAME
+    + r'(?:\s*\(\s*"?(\w+)"?|\s|$).*$'
 )
+# Other names of types.
+TYPE_NAMES = {
+    "bool": "boolean", "character": "char", "character varying": "varchar", "dec": "decimal", "float4": "real",
+    "float8": "double precision", "int": "integer", "int2": "smallint", "int4": "integer", "int8": "bigint",
+    "numeric": "decimal", "timestamp without time zone": "timestamp", "timestamptz": "timestamp with time zone",
+}
 
 
 @dataclass(frozen=True)
@@ -84,9 +95,13 @@ def _measured(tgt: Schema) -> Schema:
 
 
 def type_text(raw: Column) -> Column:
-    """Lower-case type name without blanks next to brackets and commas."""
+    """Lower-case type, by one name for each type, without blanks next to brackets and commas."""
     squeezed = F.regexp_replace(F.lower(strip(raw)), r"\s+", " ")
-    return F.regexp_replace(squeezed, r"\s*([(),])\s*", "$1")
+    tight = F.regexp_replace(squeezed, r"\s*([(),])\s*", "$1")
+    names = F.create_map(*[F.lit(x) for pair in TYPE_NAMES.items() for x in pair])
+    name = F.substring_index(tight, "(", 1)
+    arguments = F.regexp_extract(tight, r"\(.*$", 0)
+    return F.concat(F.coalesce(F.try_element_at(names, name), name), arguments)
 
 
 def _column_clauses(body: Column) -> Column:
@@ -94,7 +109,7 @@ def _column_clauses(body: Column) -> Column:
 
 
 def _fk_clauses(body: Column) -> Column:
-    return F.filter(split_commas(body), lambda clause: clause.rlike(_IS_FK))
+    return F.filter(split_commas(body), lambda clause: clause.rlike(_FK))
 
 
 def _column_fields(parts: Column) -> list[Column]:
@@ -133,7 +148,7 @@ def names_list(text: Column) -> Column:
 def _creates(ddl: DataFrame, text: str) -> DataFrame:
     """One row per CREATE TABLE statement, with its name, body, and partition texts."""
     keys = [c for c in ddl.columns if c != text]
-    found = ddl.select(*keys, F.explode(split_quoted(F.col(text))).alias("stmt"))
+    found = ddl.select(*keys, F.explode(split_quoted(without_comments(F.col(text)))).alias("stmt"))
     return found.filter(F.col("stmt").rlike(_CREATE)).select(
         *keys,
         F.regexp_extract("stmt", _CREATE, 1).alias("table_name"),
@@ -387,13 +402,15 @@ _FK_STATE = "array<struct<table_name:string,fk_name:string,col_name:string,ref_t
 _MODE_STATE = "array<struct<table_name:string,mode:string,columns:array<string>>>"
 _CHILD_STATE = "array<struct<parent:string,child:string,bounds:string>>"
 
-_ALTER = r"(?is)^ALTER\s+TABLE\s+(\w+)\s+"
-_ADD_COLUMNS = _ALTER + r"ADD\s+COLUMN\s+(.+)$"
-_RENAME_COLUMN = _ALTER + r"RENAME\s+COLUMN\s+(\w+)\s+TO\s+(\w+)"
-_DROP_CONSTRAINT = _ALTER + r"DROP\s+CONSTRAINT\s+(?:IF\s+EXISTS\s+)?(\w+)"
+_ALTER = r"(?is)^ALTER\s+TABLE\s+(?:IF\s+EXISTS\s+)?(?:ONLY\s+)?" + _NAME + r"\s+"
+_ADD_COLUMNS = (
+    _ALTER + r"ADD\s+(?:COLUMN\s+)?(?:IF\s+NOT\s+EXISTS\s+)?(?!(?:CONSTRAINT|PRIMARY|FOREIGN|UNIQUE|CHECK|EXCLUDE)\b)(.+)$"
+)
+_RENAME_COLUMN = _ALTER + r'RENAME\s+(?:COLUMN\s+)?(?!(?:TO|CONSTRAINT)\s)"?(\w+)"?\s+TO\s+"?(\w+)"?'
+_DROP_CONSTRAINT = _ALTER + r'DROP\s+CONSTRAINT\s+(?:IF\s+EXISTS\s+)?"?(\w+)"?'
 _ADD_CONSTRAINT = _ALTER + r"ADD\s+(CONSTRAINT\s+.+)$"
-_RENAME_TABLE = _ALTER + r"RENAME\s+TO\s+(\w+)"
-_DROP_TABLE = r"(?is)^DROP\s+TABLE\s+(?:IF\s+EXISTS\s+)?(\w+)"
+_RENAME_TABLE = _ALTER + r'RENAME\s+TO\s+"?(\w+)"?'
+_DROP_TABLE = r"(?is)^DROP\s+TABLE\s+(?:IF\s+EXISTS\s+)?" + _NAME
 
 
 def schema_changes(log: DataFrame, sql: str = "sql") -> DataFrame:
