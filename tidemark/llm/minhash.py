@@ -308,12 +308,13 @@ def _linked(classes: DataFrame, docs: DataFrame) -> DataFrame:
     members = settle(_open(_able(every, sets).withColumn("near", F.col("live"))), "minhash-able")
     central = F.max_by(F.struct("cid", "comp", "size", "live", "near"), F.struct(F.col("live") / F.col("size"), -F.col("cid"))).alias("h")
     hubs = members.groupBy("token", "n").agg(central).select("token", "n", "h.*").selectExpr(*_AS_HUB)
-    edges, done, first, number = None, None, None, FIRST_HUBS
+    edges, labels, done, first, number = None, None, None, None, FIRST_HUBS
     while True:
         hubs = settle(hubs, "minhash-hubs")
         found = settle(_confirmed(_starred(members, hubs), posted, sets), "minhash-links")
-        edges = found if edges is None else edges.unionByName(found)
-        labels = components(edges)
+        if labels is None or not found.isEmpty():
+            edges = found if edges is None else edges.unionByName(found)
+            labels = components(edges)
         used = hubs.select("token", F.col("hub").alias("cid"))
         done = used if done is None else done.unionByName(used)
         labelled = members.drop("comp").join(labels, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
