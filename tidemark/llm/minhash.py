@@ -178,10 +178,12 @@ def _near_in_size(size: Column, other: Column) -> Column:
 def _starred(members: DataFrame, hubs: DataFrame) -> DataFrame:
     """Pairs (a, b, splits) of hubs with the members of their lists that are in other components and that
     sizes and shared shingles allow to be similar. Of the ``live`` shingles that occur elsewhere, ``near``
-    are also in the list's first hub."""
+    are also in the list's first hub. A pair that meets in several lists of a later round comes out of the
+    first of them only: ``tokens`` are the member's open lists, ``hub_tokens`` those that it is a hub of."""
     load = hubs.groupBy("hub").agg(_splits(F.max("n")).alias("splits"))
     dealt = hubs.join(load, "hub").select(
-        "token", "hub", "hub_comp", "hub_size", "hub_live", "hub_near", "splits", _copies(_splits(F.col("n"))).alias("share")
+        "token", "hub", "hub_comp", "hub_size", "hub_live", "hub_near", "hub_tokens", "splits",
+        _copies(_splits(F.col("n"))).alias("share"),
     )
     both = _dealt(members).alias("m").join(
         dealt.alias("h"),
@@ -191,7 +193,8 @@ def _starred(members: DataFrame, hubs: DataFrame) -> DataFrame:
         & _near_in_size(F.col("size"), F.col("hub_size"))
         # similar sets have PERCENT / (100 + PERCENT) of both sizes together in common
         & ((100 + PERCENT) * (F.least("near", "hub_near") + F.least(F.col("live") - F.col("near"), F.col("hub_live") - F.col("hub_near")))
-           >= PERCENT * (F.col("size") + F.col("hub_size"))),
+           >= PERCENT * (F.col("size") + F.col("hub_size")))
+        & (F.col("hub_tokens").isNull() | (F.col("m.token") == F.array_min(F.array_intersect("tokens", "hub_tokens")))),
     )
     pairs = both.select(F.col("hub").alias("a"), F.col("cid").alias("b"), "splits")
     return pairs.groupBy("a", "b").agg(F.max("splits").alias("splits"))
@@ -277,7 +280,12 @@ def _next_hubs(members: DataFrame, done: DataFrame, hubs: int) -> DataFrame:
     outside = _dealt(fresh).join(dealt, ["token", "share"]).filter("comp <> large")
     order = Window.partitionBy("token").orderBy((F.col("live") / F.col("size")).desc(), "cid")
     picked = outside.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= hubs)
-    return picked.selectExpr(*_AS_HUB)
+    return _listed(picked.selectExpr(*_AS_HUB), "hub", "hub_tokens")
+
+
+def _listed(rows: DataFrame, of: str, name: str) -> DataFrame:
+    """Rows with all tokens of their class, of which a prefix bounds the number."""
+    return rows.join(rows.groupBy(of).agg(F.collect_set("token").alias(name)), of)
 
 
 def _beside(members: DataFrame, first: DataFrame, sets: DataFrame) -> DataFrame:
@@ -305,9 +313,10 @@ def _linked(classes: DataFrame, docs: DataFrame) -> DataFrame:
     posted = classes.join(postings.select("cid").distinct(), "cid", "left_semi").select("cid", "signature")
     every = postings.withColumns({"comp": F.col("cid"), "first": F.col("cid")})
     # what is near is unknown before there is a hub: all that is live may be
-    members = settle(_open(_able(every, sets).withColumn("near", F.col("live"))), "minhash-able")
+    able = _able(every, sets).withColumns({"near": F.col("live"), "tokens": F.lit(None).cast("array<bigint>")})
+    members = settle(_open(able), "minhash-able")
     central = F.max_by(F.struct("cid", "comp", "size", "live", "near"), F.struct(F.col("live") / F.col("size"), -F.col("cid"))).alias("h")
-    hubs = members.groupBy("token", "n").agg(central).select("token", "n", "h.*").selectExpr(*_AS_HUB)
+    hubs = members.groupBy("token", "n").agg(central).select("token", "n", "h.*").selectExpr(*_AS_HUB, "cast(null AS array<bigint>) AS hub_tokens")
     edges, labels, done, first, number = None, None, None, None, FIRST_HUBS
     while True:
         hubs = settle(hubs, "minhash-hubs")
@@ -324,7 +333,7 @@ def _linked(classes: DataFrame, docs: DataFrame) -> DataFrame:
         if first is None:
             first = hubs
             still = settle(_beside(still, first, sets), "minhash-beside")
-        members = settle(_open(_able(still, sets), done), "minhash-able")
+        members = settle(_listed(_open(_able(still.drop("tokens"), sets), done), "cid", "tokens"), "minhash-able")
         if members.isEmpty():
             return labels
         hubs = _next_hubs(members, done, number)
