@@ -267,6 +267,20 @@ def test_every_notice_is_found(spark):
         assert licences.NOTICES[r["doc_id"]][0] in r["labels"].split(",") and r["score"] == 1
 
 
+def test_all_notices_of_one_long_text_are_found(spark):
+    text = " between them ".join(text for _, text, _ in licences.NOTICES) + " in the use of any free software " * 2000
+    # the other texts make the words of some notices common
+    rows = [(0, text), *[(i, "released under the mit license") for i in range(1, 9)]]
+    found = {r["doc_id"]: r["labels"].split(",") for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {label for label, _, _ in licences.NOTICES} <= set(found.pop(0)) and all(labels == ["mit"] for labels in found.values())
+
+
+def test_a_key_phrase_of_one_word_is_enough(spark):
+    index = licences.Index([("zlib", "under the zlib terms", ["zlib"])])
+    docs = spark.createDataFrame([(1, "under the zlib terms"), (2, "zlib zlib"), (3, "under the terms")], "doc_id long, text string")
+    assert {r["doc_id"]: r["labels"] for r in licences.scan(docs, index).collect()} == {1: "zlib", 2: "zlib", 3: ""}
+
+
 # stupid backoff
 
 

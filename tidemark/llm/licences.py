@@ -1,13 +1,13 @@
 """Licence scan by a positional index of rare words.
 
 Each notice of ``NOTICES`` is a template: its words by position, and key phrases that must stand in it.
-The index has, for each word of any template, its places (template, position). How rare a licence word is
-follows from all documents: the number of texts that contain it.
+How rare a licence word is follows from all documents: the number of texts that contain it.
 
-For a text, its rarest licence words are looked up; each occurrence votes for (template, place of the
-template's first word in the text). A place with votes from enough positions is a candidate, is verified
-by its key phrases word for word at their relative positions, and scored by the share of the template's
-words that stand where they should. Votes are sorted, never paired, so long texts cost n log n. All of it
+Each template has voters: the rarest words of its own key phrases. In a text, each occurrence of a voter
+votes for (template, place of the template's first word in the text). A place with the votes of all voters
+is a candidate, is verified by its key phrases word for word at their relative positions, and scored by the
+share of the template's words that stand where they should. Where the key phrases stand, the voters do, so
+no template is lost to what else the text holds. Votes are sorted, never paired, so long texts cost n log n. All of it
 happens inside the row, as column expressions over literal tables of fixed size. A text that lacks the
 rarest word of every key phrase is passed over, since nothing could be verified in it.
 
@@ -53,8 +53,8 @@ NOTICES = [
      ["free and unencumbered software"]),
 ]
 
-#: Rarest licence words of a text that are looked up, and votes that make a candidate.
-RAREST, VOTES = 12, 2
+#: Key words of a template that vote for it, if it has as many; the votes of all make a candidate.
+VOTES = 2
 
 # letters and digits of ASCII, and all beyond: named as ranges, which is read faster than their complement
 _IN = r"[a-zA-Z0-9\x{80}-\x{10FFFF}]"
@@ -78,16 +78,20 @@ class Index:
         self.labels = [label for label, _, _ in notices]
         self.templates = [split_words(text) for _, text, _ in notices]
         self.keys = [[self._place(words, split_words(key)) for key in keys] for words, (_, _, keys) in zip(self.templates, notices, strict=True)]
-        self.places: dict[str, list[tuple[int, int]]] = defaultdict(list)
-        for t, words in enumerate(self.templates):
-            for p, word in enumerate(words):
-                self.places[word].append((t, p))
-        self.vocabulary = sorted({*self.places, *(word for phrase, _ in BASE for word in phrase.split())})
+        self.vocabulary = sorted({*(w for words in self.templates for w in words), *(w for phrase, _ in BASE for w in phrase.split())})
 
     def gate(self, seen: dict[str, int]) -> list[str]:
         """The rarest key word of each template: without one of them in a text, no template can be verified."""
-        keyed = [{self.templates[t][p + k] for p, n in keys for k in range(n)} for t, keys in enumerate(self.keys)]
-        return sorted({rarest(words, seen) for words in keyed})
+        return sorted({rarest(set(words), seen) for words in self._keyed()})
+
+    def voters(self, seen: dict[str, int]) -> list[dict[str, int]]:
+        """For each template, its ``VOTES`` rarest key words and their positions."""
+        by_rarity = lambda words: sorted(words, key=lambda w: (seen.get(w, 0), w))
+        return [{w: words[w] for w in by_rarity(words)[:VOTES]} for words in self._keyed()]
+
+    def _keyed(self) -> list[dict[str, int]]:
+        """The key words of each template, with one position of each."""
+        return [{self.templates[t][p + k]: p + k for p, n in keys for k in range(n)} for t, keys in enumerate(self.keys)]
 
     @staticmethod
     def _place(words: list[str], key: list[str]) -> tuple[int, int]:
@@ -137,40 +141,27 @@ def frequencies(texts: DataFrame, index: Index = INDEX) -> dict[str, int]:
     return {row["word"]: row["count"] for row in counted.collect()}
 
 
-def _votes(words: Column, index: Index, by_rarity: list[str]) -> Column:
-    """(template, start) for each occurrence of one of the text's rarest licence words."""
-    rank = F.create_map(*[x for r, w in enumerate(by_rarity) for x in (F.lit(w), F.lit(r))])
-    places = F.create_map(
-        *[
-            x
-            for word in index.vocabulary
-            for x in (F.lit(word), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(p).alias("p")) for t, p in index.places[word]]))
-        ]
-    )
+def _votes(words: Column, voters: list[dict[str, int]]) -> Column:
+    """(template, start) for each occurrence of a voter."""
+    by_word: dict[str, list[Column]] = defaultdict(list)
+    for t, positions in enumerate(voters):
+        for word, p in positions.items():
+            by_word[word].append(F.struct(F.lit(t).alias("t"), F.lit(p).alias("p")))
+    places = F.create_map(*[x for word, at in by_word.items() for x in (F.lit(word), F.array(*at))])
     placed = F.filter(
-        F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.array_contains(_literal(index.vocabulary), x.w)
+        F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.array_contains(_literal(list(by_word)), x.w)
     )
-
-    def of(hits: Column) -> Column:
-        ranks = F.sort_array(F.array_distinct(F.transform(hits, lambda x: F.element_at(rank, x.w))))
-
-        def cast(top: Column) -> Column:
-            chosen = F.filter(hits, lambda x: F.array_contains(top, F.element_at(rank, x.w)))
-            each = F.transform(
-                chosen,
-                lambda x: F.transform(F.element_at(places, x.w), lambda q: F.struct(q.t.alias("t"), (x.i - q.p).alias("at"))),
-            )
-            return F.sort_array(F.flatten(each))
-
-        return let(F.slice(ranks, 1, RAREST), cast)
-
-    return let(placed, of)
+    each = F.transform(
+        placed, lambda x: F.transform(F.element_at(places, x.w), lambda q: F.struct(q.t.alias("t"), (x.i - q.p).alias("at")))
+    )
+    return F.sort_array(F.flatten(each))
 
 
-def _candidates(votes: Column) -> Column:
-    """Places with at least ``VOTES`` votes, each once: equal votes stand together."""
+def _candidates(votes: Column, voters: list[dict[str, int]]) -> Column:
+    """Places with the votes of all voters of their template, each once: equal votes stand together."""
+    needed = F.array(*[F.lit(len(positions)) for positions in voters])
     first = lambda v, i: (i == 0) | ~F.get(votes, i - 1).eqNullSafe(v)
-    return F.filter(votes, lambda v, i: first(v, i) & F.get(votes, i + (VOTES - 1)).eqNullSafe(v))
+    return F.filter(votes, lambda v, i: first(v, i) & F.get(votes, i + F.get(needed, v.t) - 1).eqNullSafe(v))
 
 
 def _verified(words: Column, index: Index, candidates: Column) -> Column:
@@ -201,7 +192,7 @@ def scan(docs: DataFrame, index: Index = INDEX) -> DataFrame:
     """One row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     seen = frequencies(texts, index)
-    by_rarity = sorted(index.vocabulary, key=lambda w: (seen.get(w, 0), w))
+    voters = index.voters(seen)
     base_gate = sorted({rarest(set(phrase.split()), seen) for phrase, _ in BASE})
     gates = lambda words: F.struct(
         F.size(words).cast("bigint").alias("n_words"),
@@ -224,7 +215,7 @@ def scan(docs: DataFrame, index: Index = INDEX) -> DataFrame:
     none = F.array().cast("array<struct<label:string,share:double>>")
     found = F.when(
         F.col("__w.notice"),
-        let(_found(text), lambda words: let(_candidates_of(words, index, by_rarity), lambda c: _verified(words, index, c))),
+        let(_found(text), lambda words: let(_candidates_of(words, voters), lambda c: _verified(words, index, c))),
     ).otherwise(none)
     rows = texts.select(
         "doc_id",
@@ -250,5 +241,5 @@ def scan(docs: DataFrame, index: Index = INDEX) -> DataFrame:
     )
 
 
-def _candidates_of(words: Column, index: Index, by_rarity: list[str]) -> Column:
-    return let(_votes(words, index, by_rarity), _candidates)
+def _candidates_of(words: Column, voters: list[dict[str, int]]) -> Column:
+    return let(_votes(words, voters), lambda votes: _candidates(votes, voters))
