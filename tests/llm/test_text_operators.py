@@ -131,6 +131,49 @@ def test_search_empties_a_bin():
     assert len(packing.local_search([[0, 1], [2, 3], [4]], sizes, 10)) == 2
 
 
+def rises(bins, sizes, capacity):
+    """Exchanges one for one, two for one and moves that would still raise the squares, by brute force."""
+    fill = np.array([sizes[b].sum() for b in bins])
+    owner = np.concatenate([np.repeat(np.arange(len(bins)), list(map(len, bins))), np.arange(len(bins))])
+    taken = np.concatenate([np.concatenate([sizes[b] for b in bins]), np.zeros(len(bins), np.int64)])
+    found = 0
+    for k, b in enumerate(bins):
+        own = sizes[b].tolist()
+        for two, give in [*((False, x) for x in own), *((True, x + y) for i, x in enumerate(own) for y in own[:i])]:
+            gain = give - taken
+            found += int(((owner != k) & (gain > 0) & (fill[owner] + gain <= capacity) & (fill[owner] - fill[k] + gain > 0) & ~(two & (taken == 0))).sum())
+    return found
+
+
+@pytest.mark.parametrize(("low", "high", "count"), [(300, 700, 6000), (1, 60, 500), (341, 700, 2500)])
+def test_no_exchange_is_left_after_the_search(low, high, count):
+    # even sizes and an odd capacity: no bin is ever full
+    sizes = np.random.default_rng(5).integers(low, high, count) // 2 * 2 + 2
+    bins = packing.local_search(packing.best_fit(sizes, 1023), sizes, 1023)
+    assert sorted(p for b in bins for p in b) == list(range(count)) and all(sizes[b].sum() <= 1023 for b in bins)
+    assert rises(bins, sizes, 1023) == 0
+
+
+def test_rounds_end_only_when_one_saves_nothing(spark, monkeypatch):
+    rounds = []
+
+    def settled(frame, name):
+        out = settle(frame, name)
+        if name == "packing-round":
+            rounds.append(out.filter("offset = 0").count())
+        return out
+
+    settle = packing.settle
+    monkeypatch.setattr(packing, "settle", settled)
+    # no sequence can be full
+    lengths = (np.random.default_rng(4).integers(5, 30, 400) * 2).tolist()
+    found = spark.createDataFrame(list(enumerate(lengths)), "doc_id long, length long")
+    rows = packing.pack(found, capacity=101, block=40).collect()
+    assert sorted(r["doc_id"] for r in rows) == list(range(400))
+    assert len(rounds) > 1 and rounds[-1] >= rounds[-2] and rounds[:-1] == sorted(set(rounds[:-1]), reverse=True)
+    assert checked(rows, 101) == min(rounds)
+
+
 def test_rounds_over_blocks(spark):
     rng = np.random.default_rng(3)
     lengths = rng.integers(1, 100, 3000).tolist()

@@ -4,9 +4,11 @@ A document longer than a sequence is cut; its first piece takes the remainder an
 so that at most one piece of a document is left to place. Those are dealt at random into blocks of
 bounded size and packed block by block: best fit of the longest first, then a local search over the
 bins that are not full. It moves a piece, exchanges one piece for one, or two for one, whenever that
-raises the sum of squared fills, from the emptiest bin on, until bins run empty. Bins that are exactly
-full are done; the pieces of all others go to a new round of fewer blocks, so that what does not fit
-together in one block meets the rest of the other blocks. Rounds go on while they save sequences.
+raises the sum of squared fills, from the emptiest bin on, until no such exchange between any two bins
+is left. Partners come out of an index by piece size and fill. Bins that are exactly full are done; all
+others are dealt anew, bin by bin, into fewer blocks, so that what does not fit together in one block meets
+the rest of the other blocks. There the search starts from the bins as they are and from a new best fit of
+their pieces, and the smaller result stays. Rounds go on while they save sequences; one that saves none is dropped.
 
 Every round is written to the shared folder. A block holds at most some ``BLOCK`` pieces (24 bytes each)
 whatever the size of the table or of any key, since pieces are dealt by row number.
@@ -18,7 +20,7 @@ without an id are packed and keep their null; an empty table yields no rows.
 from __future__ import annotations
 
 import zlib
-from collections import defaultdict
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +35,6 @@ from tidemark.sources.workspace import settle
 CAPACITY = 1024
 END = 2
 BLOCK = 20_000
-#: Bins that a search starts from, and looks at for partners, each time.
-TRIES, PARTNERS = 400, 600
 
 
 def cut(total: int, capacity: int) -> list[tuple[int, int]]:
@@ -88,73 +88,163 @@ def best_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> list[list[int]]:
     return bins
 
 
+class _Index:
+    """Bins by the sizes of their pieces, and by fill; every bin is listed under size 0 too, for plain moves."""
+
+    def __init__(self, capacity: int):
+        self.fills = [0] * (capacity + 1)  # by size: bit f is set if some bin of fill f has such a piece
+        self.bins: dict[tuple[int, int], dict[int, None]] = {}
+        self.sizes: list[int] = []  # those that occur, in order
+
+    def add(self, at: int, fill: int, sizes: set[int]) -> None:
+        for size in (0, *sizes):
+            if not self.fills[size]:
+                insort(self.sizes, size)
+            self.fills[size] |= 1 << fill
+            self.bins.setdefault((size, fill), {})[at] = None
+
+    def remove(self, at: int, fill: int, sizes: set[int]) -> None:
+        for size in (0, *sizes):
+            held = self.bins[size, fill]
+            del held[at]
+            if not held:
+                del self.bins[size, fill]
+                self.fills[size] &= ~(1 << fill)
+                if not self.fills[size]:
+                    del self.sizes[bisect_left(self.sizes, size)]
+
+
 class _Search:
-    """Bins that are not full, with their pieces by size."""
+    """Bins that are not full. What a bin gives is larger than what it takes, and no exchange lowers the squares."""
 
     def __init__(self, bins: list[list[int]], sizes: list[int], capacity: int):
         self.bins, self.sizes, self.capacity = bins, sizes, capacity
         self.fill = [sum(sizes[p] for p in b) for b in bins]
+        self.every, self.changed = _Index(capacity), _Index(capacity)
+        self.last: set[int] = set()  # the two of the last exchange
+        self.marked: set[int] = set()  # the bins of ``changed``: those since the pass before began
+        self.upto = [(1 << (f + 1)) - 1 for f in range(capacity + 1)]
+        for at in range(len(bins)):
+            self._list(self.every, at)
 
-    def shift(self, source: int, target: int, give: tuple[int, ...], take: tuple[int, ...]) -> None:
-        change = sum(self.sizes[p] for p in give) - sum(self.sizes[p] for p in take)
-        self.bins[source] = [p for p in self.bins[source] if p not in give] + list(take)
-        self.bins[target] = [p for p in self.bins[target] if p not in take] + list(give)
-        self.fill[source] -= change
-        self.fill[target] += change
-
-    def improve(self, source: int, partners: list[int]) -> bool:
-        """The best exchange of the bin with one of the partners: what it gives is larger than what it takes,
-        and the partner is at least as full, so the sum of squares rises."""
-        own = [(self.sizes[p], (p,)) for p in self.bins[source]]
-        pairs = [
-            (self.sizes[p] + self.sizes[q], (p, q)) for k, p in enumerate(self.bins[source]) for q in self.bins[source][:k]
-        ]
-        best = None
-        for target in partners:
-            room = self.capacity - self.fill[target]
-            if target == source or not room or not self.bins[target] or self.fill[target] < self.fill[source]:
-                continue
-            takes = [(0, ()), *[(self.sizes[p], (p,)) for p in self.bins[target]]]
-            for gives in (own, pairs):
-                for given, give in gives:
-                    for taken, take in takes:
-                        gain = given - taken
-                        if 0 < gain <= room and not (len(give) == 2 and not take):
-                            rise = gain * (self.fill[target] - self.fill[source] + gain)
-                            if best is None or rise > best[0]:
-                                best = (rise, target, give, take)
-        if best is None:
+    def _list(self, index: _Index, at: int) -> None:
+        # a bin that is empty or full takes nothing
+        if 0 < self.fill[at] < self.capacity:
+            index.add(at, self.fill[at], {self.sizes[p] for p in self.bins[at]})
+
+    def _unlist(self, index: _Index, at: int) -> None:
+        if 0 < self.fill[at] < self.capacity:
+            index.remove(at, self.fill[at], {self.sizes[p] for p in self.bins[at]})
+
+    def _gives(self, source: int) -> list[tuple[int, tuple[int, ...]]]:
+        """What the bin can give, each size once: a piece, or two of them for one."""
+        one, two = {}, {}
+        by_size: dict[int, list[int]] = {}
+        for p in self.bins[source]:
+            by_size.setdefault(self.sizes[p], []).append(p)
+            one[self.sizes[p]] = (p,)
+        kinds = sorted(by_size)
+        for k, a in enumerate(kinds):
+            if len(by_size[a]) > 1:
+                two[2 * a] = tuple(by_size[a][:2])
+            for b in kinds[:k]:
+                two[a + b] = (by_size[a][0], by_size[b][0])
+        return sorted([*one.items(), *two.items()], reverse=True)
+
+    def best(self, source: int, index: _Index) -> tuple | None:
+        """(rise, size taken, fill of the partner, pieces given) of the exchange that raises the squares most."""
+        fill, found, most = self.fill[source], None, 0
+        for given, give in self._gives(source):
+            for taken in index.sizes:
+                gain = given - taken
+                # no bin is fuller than full after it
+                if gain <= 0 or gain * (self.capacity - fill) <= most:
+                    break
+                if gain > self.capacity or (len(give) == 2 and not taken):
+                    continue
+                fits = index.fills[taken] & self.upto[self.capacity - gain]
+                if fits:
+                    other = fits.bit_length() - 1
+                    rise = gain * (other - fill + gain)
+                    if rise > most:
+                        found, most = (rise, taken, other, give), rise
+        return found
+
+    def exchange(self, source: int, index: _Index) -> bool:
+        """Make the best exchange of a bin with those of the index."""
+        here = source in self.marked
+        self._unlist(self.every, source)
+        if here:
+            self._unlist(self.changed, source)
+        found = self.best(source, index)
+        if found is None:
+            self._list(self.every, source)
+            if here:
+                self._list(self.changed, source)
             return False
-        self.shift(source, *best[1:])
+        _, taken, other, give = found
+        target = next(iter(index.bins[taken, other]))
+        self._unlist(self.every, target)
+        if target in self.marked:
+            self._unlist(self.changed, target)
+        take = [next(p for p in self.bins[target] if self.sizes[p] == taken)] if taken else []
+        gain = sum(self.sizes[p] for p in give) - taken
+        self.bins[source] = [p for p in self.bins[source] if p not in give] + take
+        self.bins[target] = [p for p in self.bins[target] if p not in take] + list(give)
+        self.fill[source] -= gain
+        self.fill[target] += gain
+        self.last = {source, target}
+        for at in self.last:
+            self.marked.add(at)
+            self._list(self.every, at)
+            self._list(self.changed, at)
         return True
 
+    def run(self) -> None:
+        """Passes over all bins until one changes nothing. A bin that has not changed since it found no partner
+        is held against those that have."""
+        before = set(range(len(self.bins)))
+        while before:
+            self.changed, self.marked = _Index(self.capacity), set(before)
+            for at in before:
+                self._list(self.changed, at)
+            now: set[int] = set()
+            for source in sorted(range(len(self.bins)), key=self.fill.__getitem__):
+                index = self.every if source in self.marked else self.changed
+                while 0 < self.fill[source] < self.capacity and self.exchange(source, index):
+                    now |= self.last
+                    index = self.every
+            before = now
+
 
 def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int = CAPACITY) -> list[list[int]]:
-    """Empty what bins can be emptied by exchanges between bins that are not full."""
+    """Exchange pieces between bins that are not full until no exchange raises the squares; drop empty bins."""
     sizes = lengths.tolist()
     full, rest = [], []
     for b in bins:
         (full if sum(sizes[p] for p in b) == capacity else rest).append(b)
     search = _Search(rest, sizes, capacity)
-    order = sorted(range(len(rest)), key=search.fill.__getitem__)
-    for source in order[:TRIES]:
-        # the fullest bins give the largest rise; those with the most room take the most
-        partners = [b for b in sorted(order, key=search.fill.__getitem__, reverse=True) if search.bins[b]][:PARTNERS]
-        while search.bins[source] and search.improve(source, partners):
-            pass
+    search.run()
     return full + [b for b in search.bins if b]
 
 
-def _pack(block: pd.DataFrame, capacity: int) -> pd.DataFrame:
+def _pack(block: pd.DataFrame, capacity: int, again: bool) -> pd.DataFrame:
     block = block.sort_values("rid", ignore_index=True)
     lengths = block["length"].to_numpy()
     bins = local_search(best_fit(lengths, capacity), lengths, capacity)
+    if again:
+        held = local_search(list(map(list, block.groupby("sequence_id").indices.values())), lengths, capacity)
+        bins = min(held, bins, key=lambda found: (len(found), -sum(int(lengths[b].sum()) ** 2 for b in found)))
     number, offset, full = (np.zeros(len(block), np.int64) for _ in range(3))
     for k, members in enumerate(bins):
         sizes = lengths[members]
         number[members], offset[members] = k, np.cumsum(sizes) - sizes
         full[members] = sizes.sum()
-    return block.assign(bin=number, offset=offset, fill=full)
+    return block.drop(columns="sequence_id").assign(bin=number, offset=offset, fill=full)
+
+
+def _packer(capacity: int, again: bool):
+    return lambda block: _pack(block, capacity, again)
 
 
 def pack(found: DataFrame, capacity: int = CAPACITY, block: int = BLOCK) -> DataFrame:
@@ -163,24 +253,30 @@ def pack(found: DataFrame, capacity: int = CAPACITY, block: int = BLOCK) -> Data
     placed = settle(found.withColumn("rid", F.monotonically_increasing_id()), "packing-pieces")
     whole = placed.filter(F.col("length") == capacity).select("rid", (-1 - F.col("rid")).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
     parts, number = [whole], 0
-    rest = placed.filter(F.col("length") < capacity).select("rid", "length")
-    count = rest.count()
-    packer = lambda pdf: _pack(pdf, capacity)
+    rest = placed.filter(F.col("length") < capacity).select("rid", "length", F.col("rid").alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
+    count = used = rest.count()
     while count:
         blocks = -(-count // block)
-        dealt = rest.withColumn("block", F.pmod(F.xxhash64("rid", F.lit(number)), F.lit(blocks)).cast("int"))
+        dealt = rest.withColumn("block", F.pmod(F.xxhash64("sequence_id", F.lit(number)), F.lit(blocks)).cast("int")).drop("offset")
         schema = "rid bigint, length bigint, block int, bin bigint, offset bigint, fill bigint"
-        tried = settle(dealt.groupBy("block").applyInPandas(packer, schema), "packing-round")
+        tried = settle(dealt.groupBy("block").applyInPandas(_packer(capacity, number > 0), schema), "packing-round")
+        # each sequence has one piece at its start
+        start = F.col("offset") == 0
+        made = tried.agg(
+            F.count(F.when(start, 1)).alias("all"),
+            F.count(F.when(start & (F.col("fill") < capacity), 1)).alias("open"),
+            F.count(F.when(F.col("fill") < capacity, 1)).alias("left"),
+        ).first()
+        if number and made["all"] >= used:
+            break
         # rounds stay apart by their number, blocks and bins by theirs
         named = F.lit(number).cast("bigint") * 2**56 + F.col("block").cast("bigint") * 2**24 + F.col("bin")
         numbered = tried.withColumn("sequence_id", named)
-        open_rows = tried.filter(F.col("fill") < capacity)
-        left = open_rows.count()
-        if blocks == 1 or left > 0.9 * count:
-            parts.append(numbered.select("rid", "sequence_id", "offset"))
-            break
         parts.append(numbered.filter(F.col("fill") == capacity).select("rid", "sequence_id", "offset"))
-        rest, count, number = open_rows.select("rid", "length"), left, number + 1
+        rest = numbered.filter(F.col("fill") < capacity).select("rid", "length", "sequence_id", "offset")
+        count, used, number = made["left"], made["open"], number + 1
+    # what is left open stays as the last round that saved sequences put it
+    parts.append(rest.select("rid", "sequence_id", "offset"))
     sequences = parts[0]
     for part in parts[1:]:
         sequences = sequences.unionByName(part)
