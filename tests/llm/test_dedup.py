@@ -2,6 +2,7 @@ import hashlib
 import os
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -155,3 +156,18 @@ def test_shingle_hashes_tell_sequences_apart():
     split = [b"a b c d e".split(), b"a b c d".split(), b"d c b a".split(), b"e d c b a".split(), b"a".split(), []]
     grams, at = shingles.hashed(split)
     assert len(set(grams.tolist())) == 5 and at.tolist() == [0, 1, 2, 3, 4, 5, 5]
+
+
+@pytest.mark.parametrize("count", range(7))
+def test_shingles_of_a_few_words_in_all(count):
+    words = [b"%d" % i for i in range(count)]
+    for split in ([words], [[w] for w in words], [words[:1], [], words[1:]]):
+        grams, at = shingles.hashed(split)
+        expected = [max(len(w) - shingles.SIZE + 1, 1) if w else 0 for w in split]
+        assert np.diff(at).tolist() == expected and len(grams) == sum(expected)
+
+
+def test_a_table_of_one_short_text(spark):
+    for count in range(1, 6):
+        docs = spark.createDataFrame([(1, " ".join("abcde"[:count]))], "doc_id long, text string")
+        assert [(r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(docs).collect()] == [(1, 1)]

@@ -49,7 +49,7 @@ def hashed(split: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     flat = np.fromiter((xxhash.xxh3_64_intdigest(w) for text in split for w in text), np.uint64, int(sizes.sum()))
     grams = np.zeros(max(len(flat) - SIZE + 1, 0), np.uint64)
     for k in range(SIZE):
-        grams = mixed(grams * _STEPS[0] + flat[k : len(flat) - SIZE + 1 + k])
+        grams = mixed(grams * _STEPS[0] + flat[k : k + len(grams)])
     ends = np.cumsum(sizes)
     parts, counts = [], []
     for size, end in zip(sizes.tolist(), ends.tolist(), strict=True):
