@@ -366,3 +366,12 @@ def test_backoff_of_any_order(spark, monkeypatch, order):
     rows = {r["doc_id"]: r["log_score"] for r in backoff.scores(docs, order=order).collect()}
     for i, expected in enumerate(plain_backoff(texts, order)):
         assert abs(rows[i] - expected) < 1e-3
+
+
+@tables
+def test_the_query_of_order_three(spark):
+    docs = load_table(spark, SF, "documents").select("doc_id", "text").collect()
+    rows = {r["doc_id"]: r["log_score"] for r in QUERIES["op2_stupid_backoff_order3"](spark, SF).collect()}
+    expected = plain_backoff([r["text"] for r in docs], 3)
+    assert len(rows) == len(docs) and expected != plain_backoff([r["text"] for r in docs], 2)
+    assert all(abs(rows[r["doc_id"]] - score) < 1e-3 * max(1, abs(score)) for r, score in zip(docs, expected, strict=True))

@@ -15,7 +15,7 @@ Words are lower-cased (A-Z) runs of other characters than ASCII white space; n-g
 5. Scores are summed per document, in whole millionths of a nat, so that sums do not depend on order.
 
 Both shuffles grow with the text and nothing is collected but its size. The order is a parameter: each
-further one adds some 8 bytes a word to the shuffle, which is why the query takes two.
+further one adds some 8 bytes a word to the shuffle. Two queries are registered, of order two and three.
 
 Edge cases: texts without words score 0 over 0 words; repeated rows count and are scored each; null
 texts count as empty; an empty table yields no rows.

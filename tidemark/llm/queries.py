@@ -87,3 +87,9 @@ def op2_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op2_stupid_backoff"] = backoff.oracle()
+
+
+@_query
+def op2_stupid_backoff_order3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With counts of three words too; the SQL twin above knows pairs only, and stays as it is."""
+    return backoff.scores(load_table(spark, sf_dir, "documents"), order=3)
