@@ -212,6 +212,34 @@ def test_odd_pages(page, text):
     assert html_text.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<article><p class="notice">x<p>one</p><p>two</p></article>', "one two"),
+        ('<article><ul><li class="ad">x<li>one<li>two</ul><p>three</article>', "one two three"),
+        ('<article><dl><dt class="ad">x<dd>one<dt>two</dl>three</article>', "one two three"),
+        ('<article><table><tr class="ad"><td>x<tr><td class="ad">y<td>one</table>two</article>', "one two"),
+        ('<article><div class="ad"><p>x<div>y<p>z</div>w</div>one</article>', "one"),
+        ('<article><p>one<span class="share">x<b>y</p>two</article>', "one two"),
+        ('<article><p>one</p><div class="ad">x</article><article>two</article>', "one two"),
+        ('<article><p>one</p><section class="comments"><article class="comment">x</article>y</section><p>two</article>', "one two"),
+        ("<article>one</article><aside><article>x</article></aside>", "one"),
+        ('<div class="menu">x<article>one</article>', "one"),
+        ("<head><meta charset=utf-8><p>one", "one"),
+    ],
+)
+def test_ends_that_html_implies(page, text):
+    assert html_text.main_text(page) == text
+
+
+def test_deep_and_unmatched_tags_are_read_once():
+    import time
+
+    start = time.time()
+    html_text.main_text("<i><div>" + "<b>" * 50_000 + "</i>" * 50_000 + "<p>x</table>" * 10_000)
+    assert time.time() - start < 20
+
+
 def test_pages_with_nulls(spark):
     pages = spark.createDataFrame([(1, None, None, "q"), (None, "u", "<p>x</p>", "q"), (1, None, None, "q")], "page_id long, url string, html string, text string")
     assert sorted(((r["page_id"], r["url"], r["text"], r["n_chars"]) for r in html_text.extract(pages).collect()), key=str) == [

@@ -10,14 +10,19 @@ A page that marks its article has the distribution over the article's lines alon
 the surge threshold each and lines outside count nothing, so short paragraphs of an article stay. On
 other pages the threshold is ``SURGE`` characters, or half the highest sum where that is lower.
 
-Edge cases: a null or empty page has the empty text; tags that are never closed end with the page, and a
-named part that is never closed ends where the article begins; character references that are not known
+Open elements are kept with the ends that HTML implies: a block start closes an open p, a sibling li, dd, td
+or tr the former one, and a parent's end its children; a part ends with its element.
+
+Edge cases: a null or empty page has the empty text; tags that are never closed end with their parent, and a
+named part that is never closed ends where the article begins, but for comments and sidebars, which have
+articles of their own; character references that are not known
 stay as they are; very long pages are read once, from front to back; repeated rows get equal texts.
 """
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html import unescape
@@ -55,6 +60,81 @@ NAMES = re.compile(
     r"|contentinfo)(?=$|[\s_-])",
     re.I,
 )
+#: Those of them, and elements, that hold articles of others: one that begins there is no main text.
+ASIDE = re.compile(r"(?:^|[\s_-])(?:sidebar|aside|complementary|related|recommended|comments?|disqus|replies|respond|widget)(?=$|[\s_-])", re.I)
+
+# Ends that HTML implies. A block start closes an open p, ...
+CLOSE_P = BLOCKS - {"br", "body", "html", "caption", "legend", "tbody", "td", "tfoot", "th", "thead", "tr"} | {
+    "aside", "dialog", "dir", "footer", "form", "header", "hgroup", "menu", "nav", "search",
+}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: ... and these close the last of a sibling, unless an element of the group was opened since.
+SIBLINGS = {
+    "li": ({"li"}, "wall"), "dd": ({"dd", "dt"}, "wall"), "dt": ({"dd", "dt"}, "wall"), "option": ({"option"}, "wall"),
+    "a": ({"a"}, "block"),
+    "td": ({"td", "th"}, "table"), "th": ({"td", "th"}, "table"), "tr": ({"tr"}, "table"),
+    **{name: ({"tbody", "thead", "tfoot", "caption"}, "table") for name in ("tbody", "thead", "tfoot")},
+}
+IN_TABLE = {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "table"}
+IN_HEAD = {"head", "base", "link", "meta", *RAW}
+# elements that an end tag does not reach beyond: of cells, of blocks (for inline tags), of list items
+_BLOCK = (BLOCKS | PARTS | CLOSE_P) - VOID
+_GROUPS = {
+    "scope": {"table", "td", "th", "caption"},
+    "p": {"table", "td", "th", "caption", "button"},
+    "block": _BLOCK,
+    "wall": _BLOCK - {"address", "div", "p", "li", "dd", "dt"},
+    "table": {"table"},
+}
+
+
+class _Open:
+    """The open elements of a page, with the places of each name; one step a tag, however deep they lie."""
+
+    def __init__(self) -> None:
+        self.names: list[str] = []
+        self.at: dict[str, list[int]] = defaultdict(list)
+        self.low = 0  # the least number that were open since it was set
+
+    def _keys(self, name: str) -> list[str]:
+        return [name, *(f"<{group}>" for group, members in _GROUPS.items() if name in members)]
+
+    def last(self, names: set[str]) -> int:
+        return max((self.at[name][-1] for name in names if self.at[name]), default=-1)
+
+    def cut(self, size: int) -> None:
+        self.low = min(self.low, size)
+        while len(self.names) > size:
+            for key in self._keys(self.names.pop()):
+                self.at[key].pop()
+
+    def _close(self, names: set[str], group: str) -> None:
+        """Close the last of the names and all in it, unless one of the group was opened since."""
+        found = self.last(names)
+        if found >= 0 and found >= self.last({f"<{group}>"}):
+            self.cut(found)
+
+    def start(self, name: str) -> None:
+        if self.at["head"] and name not in IN_HEAD:
+            self.cut(self.at["head"][-1])
+        if name in CLOSE_P:
+            self._close({"p"}, "p")
+        if name in HEADINGS and self.names and self.names[-1] in HEADINGS:
+            self.cut(len(self.names) - 1)
+        if name in SIBLINGS:
+            self._close(*SIBLINGS[name])
+        if name not in VOID and name not in {"html", "body"}:
+            for key in self._keys(name):
+                self.at[key].append(len(self.names))
+            self.names.append(name)
+
+    def end(self, name: str) -> None:
+        if name in HEADINGS:
+            self._close(HEADINGS, "scope")
+        elif name in IN_TABLE:
+            self._close({name}, "table")
+        else:
+            self._close({name}, "p" if name == "p" else "wall" if name in {"li", "dd", "dt"} else "scope" if name in _BLOCK else "block")
 
 
 @dataclass
@@ -72,26 +152,31 @@ def _part(name: str, rest: str) -> bool:
     return any(NAMES.search(a or b or c) for a, b, c in _NAMED.findall(rest))
 
 
-def lines(html: str) -> list[Line]:
-    """The blocks of a page outside of named parts, in page order, without empty ones."""
+def _beside(name: str, rest: str) -> bool:
+    return name == "aside" or any(ASIDE.search(a or b or c) for a, b, c in _NAMED.findall(rest))
+
+
+def lines(html: str, whole: bool = False) -> list[Line]:
+    """The blocks of a page outside of named parts (``whole``: in them too), in page order, without empty ones."""
     out: list[Line] = []
     buffer: list[str] = []
-    linked = main = at = 0
-    skipping, depth = "", 0
+    linked = at = 0
+    opened = _Open()
+    skipping, beside = -1, False  # place of the part among the open elements
     link = False
 
     def end() -> None:
         nonlocal linked
         text = " ".join("".join(buffer).split())
         if text:
-            out.append(Line(text, max(len(text) - linked, 0), main > 0))
+            out.append(Line(text, max(len(text) - linked, 0), bool(opened.at["article"] or opened.at["main"])))
         buffer.clear()
         linked = 0
 
     while at < len(html):
         tag = _TAG.search(html, at)
         stop = tag.start() if tag else len(html)
-        if stop > at and not skipping:
+        if stop > at and skipping < 0:
             text = unescape(html[at:stop])
             buffer.append(text)
             linked += len(text.strip()) if link else 0
@@ -100,25 +185,28 @@ def lines(html: str) -> list[Line]:
         at = tag.end()
         name = (tag["name"] or "").lower()
         closing = bool(tag["close"])
-        if skipping and name in MAIN and not closing:
-            skipping = ""
-        if skipping:
-            if name == skipping:
-                depth += -1 if closing else 1
-                skipping = skipping if depth else ""
-            elif name in RAW and not closing:
-                at = _after(html, at, name)
-        elif name in RAW:
+        if not name:
+            continue
+        if name in RAW:
             if not closing:
                 at = _after(html, at, name)
-        elif not closing and name not in VOID and _part(name, tag["rest"]):
+            continue
+        if skipping < 0 and name in BLOCKS:
             end()
-            skipping, depth = name, 1
-        elif name in BLOCKS:
+        if closing:
+            opened.end(name)
+        else:
+            if skipping >= 0 and name in MAIN and not beside:
+                opened.cut(skipping)
+            opened.start(name)
+        # a part ends with its element, also where that end is implied
+        if opened.low <= skipping:
+            skipping = -1
+        if skipping < 0 and not closing and not whole and name not in VOID and _part(name, tag["rest"]):
             end()
-            if name in MAIN:
-                main = max(0, main + (-1 if closing else 1))
-        elif name == "a":
+            skipping, beside = len(opened.names) - 1, _beside(name, tag["rest"])
+            opened.low = len(opened.names)
+        elif skipping < 0 and name == "a":
             link = not closing
     end()
     return out
