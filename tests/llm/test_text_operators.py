@@ -232,6 +232,14 @@ def test_ends_that_html_implies(page, text):
     assert html_text.main_text(page) == text
 
 
+def test_text_after_the_main_text_of_an_unmarked_page_goes():
+    long = "<p>" + "words of the text " * 10 + "</p>"
+    table = "<table><tr><td>cell</td></tr><tr><td>more</td></tr></table>"
+    page = f"<body><div><div>{long}<div><p>Short.</p></div>{table}{long}</div></div><section><div><p>Nice one</p><p>Thanks</p></div></section></body>"
+    text = html_text.main_text(page)
+    assert "Short. cell more words" in text and text.endswith("of the text") and "Nice" not in text and "Thanks" not in text
+
+
 def test_deep_and_unmatched_tags_are_read_once():
     import time
 

@@ -2,13 +2,13 @@
 
 Markup is stripped to blocks (the lines of the method): scripts, styles, comments and the parts of a
 page that are named as menus, headers, footers, sidebars, notices, adverts, forms or reader comments go
-with their content; block tags end a line, inline tags do not. Each line weighs as much as its text
-outside links. The sums over a sliding window of ``WINDOW`` lines rise at a surge point, where the main
+with their content; block tags end a line, inline tags do not. Where one container ends or begins without
+text of its own an empty line stays. Each line weighs as much as its text outside links. The sums over a sliding window of ``WINDOW`` lines rise at a surge point, where the main
 text begins, and fall to nothing at a dive point, where it ends; the lines between are kept.
 
-A page that marks its article has the distribution over the article's lines alone: those count at least
-the surge threshold each and lines outside count nothing, so short paragraphs of an article stay. On
-other pages the threshold is ``SURGE`` characters, or half the highest sum where that is lower.
+A page that marks its article is cut by that tag: the article's lines count at least the surge threshold
+each and lines outside count nothing, so short paragraphs of an article stay. On other pages the
+distribution decides, and the threshold is ``SURGE`` characters, or half the highest sum where that is lower.
 
 Open elements are kept with the ends that HTML implies: a block start closes an open p, a sibling li, dd, td
 or tr the former one, and a parent's end its children; a part ends with its element.
@@ -63,6 +63,10 @@ NAMES = re.compile(
 #: Those of them, and elements, that hold articles of others: one that begins there is no main text.
 ASIDE = re.compile(r"(?:^|[\s_-])(?:sidebar|aside|complementary|related|recommended|comments?|disqus|replies|respond|widget)(?=$|[\s_-])", re.I)
 
+#: Tags that leave no empty line: of rows and items, and where a paragraph or heading begins.
+ITEMS = {"li", "dd", "dt", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
+BEGINS = {"p", "h1", "h2", "h3", "h4", "h5", "h6"}
+
 # Ends that HTML implies. A block start closes an open p, ...
 CLOSE_P = BLOCKS - {"br", "body", "html", "caption", "legend", "tbody", "td", "tfoot", "th", "thead", "tr"} | {
     "aside", "dialog", "dir", "footer", "form", "header", "hgroup", "menu", "nav", "search",
@@ -157,7 +161,7 @@ def _beside(name: str, rest: str) -> bool:
 
 
 def lines(html: str, whole: bool = False) -> list[Line]:
-    """The blocks of a page outside of named parts (``whole``: in them too), in page order, without empty ones."""
+    """The blocks of a page outside of named parts (``whole``: in them too), in page order, with empty ones between containers."""
     out: list[Line] = []
     buffer: list[str] = []
     linked = at = 0
@@ -165,10 +169,10 @@ def lines(html: str, whole: bool = False) -> list[Line]:
     skipping, beside = -1, False  # place of the part among the open elements
     link = False
 
-    def end() -> None:
+    def end(empty: bool = False) -> None:
         nonlocal linked
         text = " ".join("".join(buffer).split())
-        if text:
+        if text or empty:
             out.append(Line(text, max(len(text) - linked, 0), bool(opened.at["article"] or opened.at["main"])))
         buffer.clear()
         linked = 0
@@ -192,7 +196,7 @@ def lines(html: str, whole: bool = False) -> list[Line]:
                 at = _after(html, at, name)
             continue
         if skipping < 0 and name in BLOCKS:
-            end()
+            end(name not in ITEMS and (closing or name not in BEGINS))
         if closing:
             opened.end(name)
         else:
@@ -203,7 +207,7 @@ def lines(html: str, whole: bool = False) -> list[Line]:
         if opened.low <= skipping:
             skipping = -1
         if skipping < 0 and not closing and not whole and name not in VOID and _part(name, tag["rest"]):
-            end()
+            end(True)
             skipping, beside = len(opened.names) - 1, _beside(name, tag["rest"])
             opened.low = len(opened.names)
         elif skipping < 0 and name == "a":
@@ -235,9 +239,9 @@ def between(weights: np.ndarray, surge: float) -> np.ndarray:
 def main_text(html: str) -> str:
     """Kept lines of a page, joined by one space."""
     found = lines(html)
-    marked = any(line.main for line in found)
+    marked = any(line.main and line.text for line in found)
     if marked:
-        weights = np.array([max(line.weight, SURGE) if line.main else 0 for line in found], np.float64)
+        weights = np.array([max(line.weight, SURGE) if line.main and line.text else 0 for line in found], np.float64)
         surge = float(SURGE)
     else:
         weights = np.array([line.weight for line in found], np.float64)
@@ -249,7 +253,7 @@ def main_text(html: str) -> str:
 
 def visible_text(html: str) -> str:
     """All lines of a page outside of named parts, one to a line."""
-    return "\n".join(line.text for line in lines(html))
+    return "\n".join(line.text for line in lines(html) if line.text)
 
 
 def extract(pages: DataFrame) -> DataFrame:
