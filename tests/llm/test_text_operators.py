@@ -7,6 +7,7 @@ import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tidemark.llm import backoff, byte_bpe, html_text, licences, packing, warc
 from tidemark.llm.queries import CAPTURED, QUERIES
@@ -307,6 +308,40 @@ def test_warc_edges_and_files(spark, tmp_path):
     assert any("outlink: /b & c\r\n" in block for _, block in found)
 
 
+def test_conversions_have_all_visible_text():
+    page = (
+        "<head><title>T</title><style>p{}</style></head><nav><ul><li>Home<li>News</ul></nav><div class='ad'>Buy</div><article><p>one</p>"
+        "<section class=comments>so</section></article><form>name<select><option>a<option>b</select></form><script>x</script><footer>end</footer>"
+    )
+    (_, made) = warc.derived(1, "u", page, CAPTURED, warc.HTTP_HEADERS)
+    assert warc.parse(made["record"])[1].split("\n") == ["Home", "News", "Buy", "one", "so", "name", "a", "b", "end"]
+
+
+def test_what_a_response_says_of_itself_is_kept(spark):
+    import datetime
+
+    head = "HTTP/1.1 404 Not Found\r\nContent-Type: text/html\r\nX-Long: a\r\n b\r\nContent-Length: 8"
+    when = datetime.datetime(2020, 5, 6, 7, 8, 9)
+    rows = [(1, "u", "<p>x</p>", "<urn:uuid:1>", when, head, "sha1:P", "sha1:B"), (2, "u", "<p>x</p>", None, None, None, None, None)]
+    kinds = "page_id long, url string, html string, record_id string, date timestamp_ntz, http_headers string, payload_digest string, block_digest string"
+    pages = spark.createDataFrame(rows, kinds)
+    plain = {(r["page_id"], r["record_type"]): r for r in warc.derivatives(pages.select("page_id", "url", "html"), CAPTURED).collect()}
+    for r in warc.derivatives(pages, CAPTURED).collect():
+        if r["page_id"] == 2:
+            assert r == plain[2, r["record_type"]]
+            continue
+        headers, block = warc.parse(r["record"])
+        assert headers["WARC-Refers-To"] == r["refers_to"] == "<urn:uuid:1>" and headers["WARC-Refers-To-Date"] == "2020-05-06T07:08:09Z"
+        assert (r["source_payload_digest"], r["source_block_digest"]) == ("sha1:P", "sha1:B")
+        assert r["source_headers"] == "Content-Type: text/html\r\nX-Long: a b\r\nContent-Length: 8"
+        assert r["record_type"] != "metadata" or "source-x-long: a b\r\n" in block
+    mapped = pages.filter("page_id = 1").select("page_id", "url", "html", F.create_map(F.lit("Server"), F.lit("s")).alias("http_headers"))
+    assert {r["source_headers"] for r in warc.derivatives(mapped, CAPTURED).collect()} == {"Server: s"}
+    # the digest of the block is that of the head as sent, with the body
+    own = warc.derivatives(pages.filter("page_id = 1").drop("block_digest"), CAPTURED).first()
+    assert own["source_block_digest"] == warc.digest(f"{head.replace(chr(13) + chr(10) + ' b', ' b')}\r\n\r\n<p>x</p>".encode())
+
+
 # licences
 
 BASE_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")

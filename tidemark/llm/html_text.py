@@ -83,6 +83,8 @@ IN_TABLE = {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "table"}
 IN_HEAD = {"head", "base", "link", "meta", *RAW}
 # elements that an end tag does not reach beyond: of cells, of blocks (for inline tags), of list items
 _BLOCK = (BLOCKS | PARTS | CLOSE_P) - VOID
+#: In a whole page the parts end lines too.
+WHOLE_BLOCKS = BLOCKS | _BLOCK | {"option", "optgroup"}
 _GROUPS = {
     "scope": {"table", "td", "th", "caption"},
     "p": {"table", "td", "th", "caption", "button"},
@@ -195,7 +197,7 @@ def lines(html: str, whole: bool = False) -> list[Line]:
             if not closing:
                 at = _after(html, at, name)
             continue
-        if skipping < 0 and name in BLOCKS:
+        if skipping < 0 and name in (WHOLE_BLOCKS if whole else BLOCKS):
             end(name not in ITEMS and (closing or name not in BEGINS))
         if closing:
             opened.end(name)
@@ -252,8 +254,8 @@ def main_text(html: str) -> str:
 
 
 def visible_text(html: str) -> str:
-    """All lines of a page outside of named parts, one to a line."""
-    return "\n".join(line.text for line in lines(html) if line.text)
+    """All lines of a page, one to a line: menus, notices and forms too, all but raw elements."""
+    return "\n".join(line.text for line in lines(html, whole=True) if line.text)
 
 
 def extract(pages: DataFrame) -> DataFrame:
