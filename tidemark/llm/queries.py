@@ -7,7 +7,19 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import backoff, byte_bpe, exact_dedup, gam, html_text, licences, minhash, packing, rules, warc
+from tidemark.llm import (
+    backoff,
+    byte_bpe,
+    exact_dedup,
+    gam,
+    html_text,
+    licences,
+    minhash,
+    packing,
+    rules,
+    warc,
+    winnowing,
+)
 from tidemark.sources.tables import load_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,3 +105,12 @@ ORACLES["op2_stupid_backoff"] = backoff.oracle()
 def op2_stupid_backoff_order3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With counts of three words too; the SQL twin above knows pairs only, and stays as it is."""
     return backoff.scores(load_table(spark, sf_dir, "documents"), order=3)
+
+
+@_query
+def op12_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = winnowing.contaminated(load_table(spark, sf_dir, "documents"), load_table(spark, sf_dir, "benchmark"))
+    return winnowing.digests(hits)
+
+
+ORACLES["op12_winnowing"] = winnowing.oracle()
