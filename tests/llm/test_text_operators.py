@@ -51,10 +51,18 @@ def test_ids_are_those_of_the_rank_file(theirs, ours, text):
 
 
 def test_memory_of_pieces_is_bounded(ours, monkeypatch):
-    monkeypatch.setattr(byte_bpe, "REMEMBERED", 5)
+    monkeypatch.setattr(byte_bpe, "REMEMBERED_BYTES", 1000)
     encoder = byte_bpe.Encoder(ours[0].tokenizer)
     text = " ".join(f"word{i}" for i in range(50))
-    assert encoder(text) == encoder.ids(text) and len(encoder.later) <= 5 and len(encoder.later.older) <= 5
+    assert encoder(text) == encoder.ids(text) and 0 < len(encoder.later) <= 6 and len(encoder.later.older) <= 6
+
+
+def test_long_pieces_are_not_remembered(ours):
+    """A thousand texts without a space: each is one piece, and none is kept."""
+    encoder = byte_bpe.Encoder(ours[0].tokenizer)
+    for i in range(1000):
+        assert encoder("漢字" * 100 + str(i))
+    assert not encoder.first and not encoder.later and encoder.first.held == 0
 
 
 def test_split_characters_and_offsets(ours):
@@ -303,7 +311,7 @@ def test_warc_edges_and_files(spark, tmp_path):
     (file,) = (tmp_path / "out").glob("*.gz")
     parts = gzip.open(file).read().decode().split("\r\n\r\nWARC/1.1\r\n")
     assert len(parts) == 6
-    found = [warc.parse(p if p.startswith("WARC") else f"WARC/1.1\r\n{p}") for p in parts]
+    found = [warc.parse(p if p.startswith("WARC/1.1") else f"WARC/1.1\r\n{p}") for p in parts]
     assert all("X" not in headers for headers, _ in found)
     assert any("outlink: /b & c\r\n" in block for _, block in found)
 

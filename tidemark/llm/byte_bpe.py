@@ -29,10 +29,12 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
-#: Pieces that one task remembers, and as many older ones.
-REMEMBERED = 500_000
+#: Bytes of pieces that one memory of a task holds (and as many of older ones), what an entry takes besides its
+#: characters, and the longest piece that is remembered.
+REMEMBERED_BYTES, ENTRY_BYTES, LONGEST = 48 << 20, 200, 64
 _SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -78,20 +80,23 @@ class _Loose(Exception):
     """A piece with white space at an end: its ids depend on what stands beside it."""
 
 
-class _Pieces(dict):
-    """Ids (as 32-bit little-endian bytes) of pieces; those not met for a while are forgotten."""
+class Pieces(dict):
+    """Ids (as 32-bit little-endian bytes) of pieces; those not met for a while are forgotten, and long ones at once."""
 
     def __init__(self, ids: Callable[[str], bytes]):
-        self.ids, self.older = ids, {}
+        self.ids, self.older, self.held = ids, {}, 0
 
     def __missing__(self, piece: str) -> bytes:
+        if len(piece) > LONGEST:
+            return self.ids(piece)
         found = self.older.get(piece)
         if found is None:
             found = self.ids(piece)
-        if len(self) >= REMEMBERED:
-            self.older = dict(self)
+        if self.held >= REMEMBERED_BYTES:
+            self.older, self.held = dict(self), 0
             self.clear()
         self[piece] = found
+        self.held += ENTRY_BYTES + len(piece) + len(found)
         return found
 
 
@@ -101,9 +106,9 @@ class Encoder:
     def __init__(self, tokenizer: Tokenizer):
         self.tokenizer, self.model = tokenizer, tokenizer.model
         self.shown = str.maketrans(dict(enumerate(byte_characters())))
-        self.first = _Pieces(lambda piece: self.piece("", piece))
-        self.later = _Pieces(lambda piece: self.piece(" ", piece))
-        self.marks = _Pieces(self.ids)
+        self.first = Pieces(lambda piece: self.piece("", piece))
+        self.later = Pieces(lambda piece: self.piece(" ", piece))
+        self.marks = Pieces(self.ids)
 
     def ids(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -131,6 +136,13 @@ class Encoder:
             first, *later = _SAFE_SPACE.split(text)
             return b"".join([self.ids(first), *[self.ids(" " + piece) for piece in later]])
 
+    def after_space(self, text: str) -> bytes:
+        """Ids of a space and the text."""
+        try:
+            return b"".join(map(self.later.__getitem__, text.split(" ")))
+        except _Loose:
+            return self(" " + text)
+
 
 def token_bytes(tokenizer: Tokenizer) -> list[bytes]:
     """The bytes of each id: its characters through the byte table, the other way."""
@@ -173,7 +185,7 @@ def encode_column(docs: DataFrame, path: str, pattern: str | None = None, text:
                 yield row.append_column("offsets", pa.array([offsets(ids, table)], pa.list_(pa.int64())))
 
     kept = docs.drop("ids", "offsets")
-    schema = kept.schema.add("ids", "array<int>").add("offsets", "array<bigint>")
+    schema = StructType([*kept.schema.fields, StructField("ids", ArrayType(IntegerType())), StructField("offsets", ArrayType(LongType()))])
     return kept.select("*", F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
 
 

@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import (
+    alignment,
     backoff,
     byte_bpe,
     exact_dedup,
@@ -114,3 +115,9 @@ def op12_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op12_winnowing"] = winnowing.oracle()
+
+
+@_query
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.align(load_table(spark, sf_dir, "documents"), *paths)
