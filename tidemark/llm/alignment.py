@@ -48,8 +48,10 @@ class ByteSide:
     """Ids of a space and the text by a byte-level BPE."""
 
     def __init__(self, path: str):
-        tokenizer = byte_bpe.load(path)
-        self.encoder, self.table = byte_bpe.Encoder(tokenizer), byte_bpe.token_bytes(tokenizer)
+        self.encoder = byte_bpe.Encoder(byte_bpe.load(path))
+        self.table = self.encoder.table
+        if not {bytes([b]) for b in range(256)} <= set(self.table):
+            raise ValueError(f"{path} has no token for some byte")
 
     def __call__(self, text: str) -> np.ndarray:
         return np.frombuffer(self.encoder.after_space(text), np.uint32)
@@ -75,12 +77,29 @@ class PieceSide:
         return bytes([int(one[1], 16)]) if one else piece.replace(SPACE, " ").encode()
 
     def _part(self, part: str) -> bytes:
-        """Ids of a part after one space; the library adds that space to all but the empty text."""
-        return array("I", self.model.encode(part, num_threads=1) if part else [self.space]).tobytes()
+        """Ids of a part after one space; nothing if they do not give back its bytes.
+
+        The library adds that space to all but the empty text.
+        """
+        return self._checked(part, self.model.encode(part, num_threads=1) if part else [self.space])
+
+    def _checked(self, part: str, ids: list[int]) -> bytes:
+        same = b"".join(map(self.table.__getitem__, ids)) == f" {part}".encode()
+        return array("I", ids).tobytes() if same else b""
+
+    def meet(self, texts: list[str]) -> None:
+        """Encode the new parts of some texts together, which takes the library half the time."""
+        if not self.parted:
+            return
+        met: set[str] = set().union(*[text.split(" ") for text in texts])
+        new = [p for p in met if p and len(p) <= byte_bpe.LONGEST and p not in self.parts and p not in self.parts.older]
+        for part, ids in zip(new, self.model.encode(new, num_threads=1), strict=True):
+            self.parts.keep(part, self._checked(part, ids))
 
     def __call__(self, text: str) -> np.ndarray:
-        if not self.parted or not text:
-            return np.array(self.model.encode(text, num_threads=1), np.uint32)
+        """Ids of the parts that give back their bytes."""
+        if not self.parted:
+            return np.frombuffer(self._part(text), np.uint32)
         parts = text.split(" ")
         if "" in parts:
             parts = [part[1:] for part in self._PART.findall(f" {text}")]
@@ -130,18 +149,20 @@ class Aligner:
     def __init__(self, path_a: str, path_b: str):
         self.sides = [ByteSide(path_a), PieceSide(path_b)]
         self.sizes = [np.array([len(t) for t in side.table], np.int64) for side in self.sides]
+        self.speller = Speller([len(side.table) for side in self.sides])
 
-    def _found(self, raw: bytes) -> list[np.ndarray]:
-        nothing = [np.zeros(0, np.uint32)] * 2
+    def _found(self, raw: bytes, text: str) -> list[np.ndarray]:
         if not raw:
-            return nothing
-        text, whole = raw.decode(), b" " + raw
+            return [np.zeros(0, np.uint32)] * 2
         found = [side(text) for side in self.sides]
-        back = [b"".join(map(side.table.__getitem__, ids.tolist())) for side, ids in zip(self.sides, found, strict=True)]
-        return found if back == [whole, whole] else nothing
+        # A has a token for each byte and so loses none; a part that B changed is left out and missing here
+        whole = all(sizes[ids].sum() == len(raw) + 1 for sizes, ids in zip(self.sizes, found, strict=True))
+        return found if whole else [ids[:0] for ids in found]
 
     def __call__(self, texts: list[bytes]) -> Aligned:
-        found = [self._found(raw) for raw in texts]
+        read = [raw.decode() for raw in texts]
+        self.sides[1].meet(read)
+        found = [self._found(raw, text) for raw, text in zip(texts, read, strict=True)]
         a, b = (_tokens([f[side] for f in found], self.sizes[side]) for side in (0, 1))
         in_b, in_a = _covering(a, b), _covering(b, a)
         # a pair that begins together is found from both sides
@@ -159,10 +180,14 @@ def _bounds(doc: np.ndarray, n: int) -> np.ndarray:
 class Speller:
     """Groups as text: the decimal ids of A, then those of B, by group and in order."""
 
-    def __init__(self, sizes: list[np.ndarray]):
-        self.n = [len(s) for s in sizes]
-        ids = [[str(i) for i in range(n)] for n in self.n]
-        self.parts = [f"{i}{mark}".encode() for side, marks in zip(ids, (",|", ",;"), strict=True) for mark in marks for i in side]
+    def __init__(self, n: list[int]):
+        self.n = n
+        # an id and the sign after it as eight bytes, those not needed being 0
+        spelled = [f"{i}{mark}".encode() for size, marks in zip(n, (",|", ",;"), strict=True) for mark in marks for i in range(size)]
+        self.bytes = np.array(spelled, "S8").view(np.uint64)
+        self.sizes = np.array([len(s) for s in spelled], np.int64)
+        if self.sizes.max() > 8:
+            raise ValueError("ids of more than seven digits")
 
     def __call__(self, x: Aligned, last_a: np.ndarray, last_b: np.ndarray, n: int) -> list[bytes]:
         """One text for each of the ``n`` documents; ``last_a`` and ``last_b`` mark the tokens that end a group."""
@@ -173,9 +198,10 @@ class Speller:
         codes = np.empty(len(x.a.ids) + len(x.b.ids), np.int64)
         codes[np.arange(len(x.a.ids)) + np.concatenate([[0], ends_b])[group_a]] = x.a.ids + na * last_a
         codes[np.arange(len(x.b.ids)) + ends_a[group_b]] = x.b.ids + 2 * na + nb * last_b
-        cut = _bounds(x.a.doc, n) + _bounds(x.b.doc, n)
-        listed = codes.tolist()
-        return [b"".join(map(self.parts.__getitem__, listed[s:e]))[:-1] for s, e in zip(cut[:-1], cut[1:], strict=True)]
+        padded = self.bytes[codes].view(np.uint8)
+        text = padded[padded != 0].tobytes()
+        cut = np.concatenate([[0], np.cumsum(self.sizes[codes])])[_bounds(x.a.doc, n) + _bounds(x.b.doc, n)].tolist()
+        return [text[s : e - 1] if e > s else b"" for s, e in zip(cut[:-1], cut[1:], strict=True)]
 
 
 def _lists(values: np.ndarray, bounds: np.ndarray, kind: pa.DataType) -> pa.Array:
@@ -195,8 +221,8 @@ def _mapped(docs: DataFrame, paths: tuple[str, str], build: Callable[..., list[p
     names = ["row", "doc_id", *columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = Aligner(*paths)
-        speller = Speller(aligner.sizes)
+        aligner = byte_bpe.kept_by_worker(("aligner", *paths), lambda: Aligner(*paths))
+        speller = aligner.speller
         for batch in batches:
             for start, texts in chunks(batch.column("text")):
                 made = build(aligner(texts), speller, len(texts))

@@ -21,8 +21,10 @@ import codecs
 import hashlib
 import re
 import string
+import sys
 from array import array
 from collections.abc import Callable, Iterable, Iterator
+from types import ModuleType
 
 import numpy as np
 import public_tokenizers
@@ -34,7 +36,7 @@ from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
 #: Bytes of pieces that one memory of a task holds (and as many of older ones), what an entry takes besides its
 #: characters, and the longest piece that is remembered.
-REMEMBERED_BYTES, ENTRY_BYTES, LONGEST = 48 << 20, 200, 64
+REMEMBERED_BYTES, ENTRY_BYTES, LONGEST = 80 << 20, 200, 64
 _SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -76,6 +78,19 @@ def load(path: str, pattern: str | None = None) -> Tokenizer:
     return tokenizer
 
 
+def kept_by_worker[T](name: tuple, make: Callable[[], T]) -> T:
+    """What ``make`` gave in an earlier task of this worker process, or gives now; the last ``name`` only is kept.
+
+    A worker serves many tasks, but the functions it runs come anew with each, so their own module cannot
+    keep anything for the next.
+    """
+    found = sys.modules.setdefault("tidemark_kept", ModuleType("tidemark_kept")).__dict__.setdefault("found", {})
+    if name not in found:
+        found.clear()
+        found[name] = make()
+    return found[name]
+
+
 class _Loose(Exception):
     """A piece with white space at an end: its ids depend on what stands beside it."""
 
@@ -92,19 +107,22 @@ class Pieces(dict):
         found = self.older.get(piece)
         if found is None:
             found = self.ids(piece)
+        self.keep(piece, found)
+        return found
+
+    def keep(self, piece: str, found: bytes) -> None:
         if self.held >= REMEMBERED_BYTES:
             self.older, self.held = dict(self), 0
             self.clear()
         self[piece] = found
         self.held += ENTRY_BYTES + len(piece) + len(found)
-        return found
 
 
 class Encoder:
-    """Whole texts to ids as 32-bit little-endian bytes."""
+    """Whole texts to ids as 32-bit little-endian bytes, and the bytes of each id."""
 
     def __init__(self, tokenizer: Tokenizer):
-        self.tokenizer, self.model = tokenizer, tokenizer.model
+        self.tokenizer, self.model, self.table = tokenizer, tokenizer.model, token_bytes(tokenizer)
         self.shown = str.maketrans(dict(enumerate(byte_characters())))
         self.first = Pieces(lambda piece: self.piece("", piece))
         self.later = Pieces(lambda piece: self.piece(" ", piece))
@@ -144,6 +162,11 @@ class Encoder:
             return self(" " + text)
 
 
+def encoder_of(path: str, pattern: str | None = None) -> Encoder:
+    """The worker's encoder for a vocabulary file, with the pieces it has met."""
+    return kept_by_worker(("encoder", path, pattern), lambda: Encoder(load(path, pattern)))
+
+
 def token_bytes(tokenizer: Tokenizer) -> list[bytes]:
     """The bytes of each id: its characters through the byte table, the other way."""
     back = {c: b for b, c in enumerate(byte_characters())}
@@ -175,8 +198,8 @@ def encode_column(docs: DataFrame, path: str, pattern: str | None = None, text:
     """``docs`` with ``ids`` (array of int) and ``offsets`` (byte offsets of the tokens, and the end)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = load(path, pattern)
-        encoder, table = Encoder(tokenizer), token_bytes(tokenizer)
+        encoder = encoder_of(path, pattern)
+        table = encoder.table
         for batch in batches:
             for at, value in enumerate(batch.column("__text")):
                 ids = np.frombuffer(encoder(value.as_py() or ""), np.uint32)
@@ -193,8 +216,8 @@ def round_trip(docs: DataFrame, path: str, pattern: str | None = None) -> DataFr
     """One row per document: doc_id, n_tokens, and digests of its ids and of the bytes decoded from them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = load(path, pattern)
-        encoder, table = Encoder(tokenizer), token_bytes(tokenizer)
+        encoder = encoder_of(path, pattern)
+        table = encoder.table
         for batch in batches:
             counts, encoded, decoded = [], [], []
             for value in batch.column("text"):

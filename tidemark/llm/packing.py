@@ -47,7 +47,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END)
     """(doc_id, piece, start, length, ids_crc32) of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = byte_bpe.Encoder(byte_bpe.load(path))
+        encoder = byte_bpe.encoder_of(path)
         tail = int(end).to_bytes(4, "little")
         for batch in batches:
             rows: list[tuple] = []

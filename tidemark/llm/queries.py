@@ -17,6 +17,7 @@ from tidemark.llm import (
     licences,
     minhash,
     packing,
+    ranked_search,
     rules,
     warc,
     winnowing,
@@ -108,6 +109,14 @@ def op2_stupid_backoff_order3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backoff.scores(load_table(spark, sf_dir, "documents"), order=3)
 
 
+@_query
+def op11_max_sketch_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(load_table(spark, sf_dir, "documents"), load_table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op11_max_sketch_search"] = ranked_search.oracle()
+
+
 @_query
 def op12_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = winnowing.contaminated(load_table(spark, sf_dir, "documents"), load_table(spark, sf_dir, "benchmark"))
