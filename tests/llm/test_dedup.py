@@ -171,3 +171,19 @@ def test_a_table_of_one_short_text(spark):
     for count in range(1, 6):
         docs = spark.createDataFrame([(1, " ".join("abcde"[:count]))], "doc_id long, text string")
         assert [(r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(docs).collect()] == [(1, 1)]
+
+
+def test_rows_that_share_an_id_go_by_their_text(spark):
+    a, b = "one two three four five six seven", "eight nine ten eleven twelve thirteen"
+    docs = spark.createDataFrame([(0, a), (1, a), (1, b)], "doc_id long, text string")
+    assert sorted(map(tuple, minhash.keep_one(docs).collect())) == [(0, a), (1, b)]
+
+
+def test_components_of_many_rounds(spark):
+    """Chains, stars and links that join components of earlier rounds."""
+    first = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 130)]
+    later = [(40, 100), (200, 201), (129, 201)]
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    labels = minhash._joined(minhash.components(frame(first)), frame(later))
+    rows = labels.collect()
+    assert len(rows) == 73 and len({r["comp"] for r in rows}) == 1

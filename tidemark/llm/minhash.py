@@ -34,7 +34,6 @@ A group without any id is kept whole. An empty table yields no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -80,11 +79,12 @@ def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [
                     batch.column("doc_id").slice(first, len(raws)),
                     batch.column("uid").slice(first, len(raws)),
+                    batch.column("th").slice(first, len(raws)),
                     pa.array([shingles.digest(w) for w in split], pa.binary()),
                     pa.array(sizes, pa.int64()),
                     pa.ListArray.from_arrays(pa.array(np.cumsum(lengths, dtype=np.int32)), pa.array(signatures.ravel())),
                 ],
-                ["doc_id", "uid", "key", "n_shingles", "signature"],
+                ["doc_id", "uid", "th", "key", "n_shingles", "signature"],
             )
 
 
@@ -114,8 +114,8 @@ def _uid() -> Column:
 def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, key, n_shingles) of each row, and one row per class with a number of its own."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    kinds = "doc_id bigint, uid bigint, key binary, n_shingles bigint, signature array<bigint>"
-    marks = settle(rows.select("doc_id", _uid().alias("uid"), "text").mapInArrow(_mark, kinds), "minhash-marks")
+    kinds = "doc_id bigint, uid bigint, th bigint, key binary, n_shingles bigint, signature array<bigint>"
+    marks = settle(rows.select("doc_id", _uid().alias("uid"), F.xxhash64("text").alias("th"), "text").mapInArrow(_mark, kinds), "minhash-marks")
     grouped = (
         marks.filter("key IS NOT NULL")
         .groupBy("key")
@@ -218,23 +218,30 @@ def _confirmed(pairs: DataFrame, posted: DataFrame, sets: DataFrame) -> DataFram
     return _with_both(matched, sets, "grams").filter(100 * common >= PERCENT * union).select("a", "b")
 
 
+def _follow(labels: DataFrame, to: DataFrame) -> DataFrame:
+    """Labels (cid, comp) after the components in ``to`` (u) took the names they map to (t)."""
+    named = to.withColumnsRenamed({"u": "comp", "t": "next"})
+    return labels.join(named, "comp", "left").select("cid", F.coalesce("next", "comp").alias("comp"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(cid, comp) of every class in an edge, by contraction.
 
     Each round maps a class to the first of itself and its neighbours and carries the edges over. The
     order is that of the numbers at first, which folds stars at once, then a new random one each round,
-    which folds chains too: a quarter of the classes goes in each round, as expected.
+    which folds chains too: a quarter of the classes goes in each round, as expected. Edges and labels are
+    written in each round, so no plan grows with the rounds.
     """
     edges = settle(edges.filter("a <> b"), "minhash-edges")
-    maps: list[DataFrame] = []
-    nodes = edges.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-    while not edges.isEmpty():
-        number = len(maps)
+    labels: DataFrame | None = None
+    number = 0
+    while labels is None or not edges.isEmpty():
         rank = F.col("v") if number < 2 else F.xxhash64("v", F.lit(number))
+        number += 1
         both = edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")), F.struct("a", F.col("a").alias("b")), F.struct(F.col("b").alias("a"), "b"))).alias("e"))
         ranked = both.select(F.col("e.a").alias("u"), F.col("e.b").alias("v")).groupBy("u").agg(F.min(F.struct(rank.alias("r"), "v")).alias("m"))
         to = settle(ranked.select("u", F.col("m.v").alias("t")), "minhash-map")
-        maps.append(to)
+        labels = to.select(F.col("u").alias("cid"), F.col("t").alias("comp")) if labels is None else settle(_follow(labels, to), "minhash-labels")
         moved = (
             edges.join(to.withColumnsRenamed({"u": "a", "t": "ta"}), "a")
             .join(to.withColumnsRenamed({"u": "b", "t": "tb"}), "b")
@@ -242,11 +249,20 @@ def components(edges: DataFrame) -> DataFrame:
             .select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b"))
         )
         edges = settle(moved.distinct(), "minhash-edges")
-    def follow(labels: DataFrame, to: DataFrame) -> DataFrame:
-        named = to.withColumnsRenamed({"u": "comp", "t": "next"})
-        return labels.join(named, "comp", "left").select("cid", F.coalesce("next", "comp").alias("comp"))
+    return labels
+
+
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels (cid, comp) after further links (a, b): only the components that they join are contracted."""
 
-    return settle(reduce(follow, maps, nodes.select("cid", F.col("cid").alias("comp"))), "minhash-labels")
+    def named(side: str) -> DataFrame:
+        return labels.select(F.col("cid").alias(side), F.col("comp").alias(f"comp_{side}"))
+
+    over = links.join(named("a"), "a", "left").join(named("b"), "b", "left").select(F.coalesce("comp_a", "a").alias("a"), F.coalesce("comp_b", "b").alias("b"))
+    to = components(over).withColumnsRenamed({"cid": "u", "comp": "t"})
+    fresh = links.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(labels, "cid", "left_anti")
+    every = labels.unionByName(fresh.withColumn("comp", F.col("cid")))
+    return settle(_follow(every, to), "minhash-labels")
 
 
 def _open(members: DataFrame, done: DataFrame | None = None) -> DataFrame:
@@ -317,15 +333,16 @@ def _linked(classes: DataFrame, docs: DataFrame) -> DataFrame:
     members = settle(_open(able), "minhash-able")
     central = F.max_by(F.struct("cid", "comp", "size", "live", "near"), F.struct(F.col("live") / F.col("size"), -F.col("cid"))).alias("h")
     hubs = members.groupBy("token", "n").agg(central).select("token", "n", "h.*").selectExpr(*_AS_HUB, "cast(null AS array<bigint>) AS hub_tokens")
-    edges, labels, done, first, number = None, None, None, None, FIRST_HUBS
+    labels, done, first, number = None, None, None, FIRST_HUBS
     while True:
         hubs = settle(hubs, "minhash-hubs")
         found = settle(_confirmed(_starred(members, hubs), posted, sets), "minhash-links")
-        if labels is None or not found.isEmpty():
-            edges = found if edges is None else edges.unionByName(found)
-            labels = components(edges)
+        if labels is None:
+            labels = components(found)
+        elif not found.isEmpty():
+            labels = _joined(labels, found)
         used = hubs.select("token", F.col("hub").alias("cid"))
-        done = used if done is None else done.unionByName(used)
+        done = used if done is None else settle(done.unionByName(used), "minhash-done")
         labelled = members.drop("comp").join(labels, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
         still = settle(_open(labelled, done), "minhash-open")
         if still.isEmpty():
@@ -349,18 +366,22 @@ def _placed(docs: DataFrame) -> DataFrame:
     together = named.join(labels.select("comp").distinct(), "comp", "left_semi")
     first = together.groupBy("comp").agg(F.min("least").alias("first"))
     names = alone.unionByName(together.join(first, "comp").select("key", "first"))
-    placed = marks.select("doc_id", "uid", "key", "n_shingles").join(names, "key", "left")
+    placed = marks.select("doc_id", "uid", "th", "key", "n_shingles").join(names, "key", "left")
     component = F.coalesce(F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("first")), F.col("doc_id"))
     named_by = F.coalesce(F.col("doc_id") == component, component.isNull())
-    return placed.select("doc_id", "n_shingles", component.alias("component_id"), named_by.alias("kept"), "uid")
+    return placed.select("doc_id", "n_shingles", component.alias("component_id"), named_by.alias("kept"), "uid", "th")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
-    return _placed(docs).drop("uid")
+    return _placed(docs).drop("uid", "th")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents, with their columns, that name their group: one of each group stays."""
-    gone = _placed(docs).filter("NOT kept").select(F.col("uid").alias("__uid")).distinct()
-    return docs.join(gone, _uid() == F.col("__uid"), "left_anti")
+    """The documents, with their columns, that name their group: one of each group stays.
+
+    A row is told by its id and its text, so of rows that share an id only those of a dropped text go.
+    """
+    gone = _placed(docs).filter("NOT kept").select(F.col("uid").alias("__uid"), F.col("th").alias("__th")).distinct()
+    text = F.col("text").cast("string")
+    return docs.join(gone, (_uid() == F.col("__uid")) & (F.xxhash64(text) == F.col("__th")), "left_anti")
