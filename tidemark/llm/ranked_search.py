@@ -254,7 +254,8 @@ def _scored(texts: DataFrame, candidates: DataFrame, queries: Queries, totals: t
             columns = list(zip(*rows, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["query", "digest", "doc_id", "score"])
 
-    asked = candidates.groupBy("digest", F.col("doc_id").alias("__id")).agg(F.collect_list("query").alias("queries"))
+    # written, so that its size is known when the join is planned: no text is shuffled to meet a small table
+    asked = settle(candidates.groupBy("digest", F.col("doc_id").alias("__id")).agg(F.collect_list("query").alias("queries")), "search-asked")
     met = texts.join(asked, F.col("doc_id").eqNullSafe(F.col("__id"))).select("doc_id", "text", "digest", "queries")
     scores = met.mapInArrow(run, "query int, digest binary, doc_id bigint, score bigint").filter("score > 0")
     return scores.groupBy("query", "digest").agg(F.min("doc_id").alias("doc_id"), F.max("score").alias("score"))
