@@ -60,7 +60,7 @@ def split_quoted(col: Column) -> Column:
 
 def without_comments(col: Column) -> Column:
     """Text with line and block comments replaced by a blank; what only looks like one in a literal stays."""
-    cleaned = F.regexp_replace(col, r"('(?:[^']|'')*')|--[^\n]*|(?s:/\*.*?\*/)", "$1 ")
+    cleaned = F.regexp_replace(col, r"('(?:[^']++|'')*+')|--[^\n]*+|/\*(?:[^*]++|\*(?!/))*+\*/", "$1 ")
     return F.when(col.contains("--") | col.contains("/*"), cleaned).otherwise(col)
 
 

@@ -408,6 +408,7 @@ _ADD_COLUMNS = (
 )
 _RENAME_COLUMN = _ALTER + r'RENAME\s+(?:COLUMN\s+)?(?!(?:TO|CONSTRAINT)\s)"?(\w+)"?\s+TO\s+"?(\w+)"?'
 _DROP_CONSTRAINT = _ALTER + r'DROP\s+CONSTRAINT\s+(?:IF\s+EXISTS\s+)?"?(\w+)"?'
+_IF_CONSTRAINT = _ALTER + r"DROP\s+CONSTRAINT\s+IF\s+EXISTS\s"
 _ADD_CONSTRAINT = _ALTER + r"ADD\s+(CONSTRAINT\s+.+)$"
 _RENAME_TABLE = _ALTER + r'RENAME\s+TO\s+"?(\w+)"?'
 _DROP_TABLE = r"(?is)^DROP\s+TABLE\s+(?:IF\s+EXISTS\s+)?" + _NAME
@@ -420,7 +421,7 @@ def schema_changes(log: DataFrame, sql: str = "sql") -> DataFrame:
     foreign keys and partition columns that it brings in.
     """
     keys = [c for c in log.columns if c != sql]
-    each = log.select(*keys, F.posexplode(split_quoted(F.col(sql))).alias("pos", "stmt"))
+    each = log.select(*keys, F.posexplode(split_quoted(without_comments(F.col(sql)))).alias("pos", "stmt"))
     s = F.col("stmt")
     body = F.regexp_extract(s, _BODY, 2)
 
@@ -483,6 +484,7 @@ def schema_changes(log: DataFrame, sql: str = "sql") -> DataFrame:
         "b",
         F.upper(F.regexp_extract(s, _BODY, 3)).alias("mode"),
         names_list(F.regexp_extract(s, _BODY, 4)).alias("mode_columns"),
+        s.rlike(_IF_CONSTRAINT).alias("if_exists"),
         table_rows(column_defs(F.col("__clauses")), t, "col_name col_type col_default not_null is_primary").alias("columns"),
         table_rows(fk_defs(F.col("__clauses")), t, "fk_name col_name ref_table ref_column").alias("fks"),
     )
@@ -492,7 +494,7 @@ def _renamed(value: Column, old: Column, new: Column) -> Column:
     return F.when(F.lower(value) == F.lower(old), new).otherwise(value)
 
 
-def _apply_change(state: Column, change: Column) -> Column:
+def apply_change(state: Column, change: Column) -> Column:
     """The schema after one change.
 
     Statements of other kinds never get here. Creating a table that exists, or changing one that
@@ -607,28 +609,46 @@ def _apply_change(state: Column, change: Column) -> Column:
     )
 
 
+def empty_schema() -> Column:
+    return F.struct(
+        F.array().cast(_COLUMN_STATE).alias("columns"),
+        F.array().cast(_FK_STATE).alias("fks"),
+        F.array().cast(_MODE_STATE).alias("modes"),
+        F.array().cast(_CHILD_STATE).alias("children"),
+    )
+
+
+#: What a fold over an episode reads of each change.
+CHANGE = ["step", "pos", "op", "table_name", "a", "b", "mode", "mode_columns", "if_exists", "columns", "fks"]
+
+
+def listed_changes(changes: DataFrame, tasks: DataFrame, episode: str, *more: str) -> DataFrame:
+    """The changes of each episode in order, as the array ``changes``: those that its task lets happen.
+
+    The task of an episode is that of its first row, and sets the limit for all its rows; an episode of an
+    unlisted task has the largest limit of all. Nothing is executed beyond the limit, so leaving those rows
+    out is exact. Rows beyond every limit go before the shuffle, and copies of a row collapse on the map
+    side, so what one episode can bring into the fold is bounded however often it was logged.
+    """
+    most = tasks.select(F.max("max_steps")).scalar()
+    limits = tasks.select(F.col("task_id").alias("__listed"), F.col("max_steps").alias("__max"))
+    rows = changes.filter(F.col("step") <= most).join(limits, F.col("task_id") == F.col("__listed"), "left")
+    entry = F.struct(*CHANGE, *more, "__max")
+    listed = rows.groupBy(episode).agg(F.array_sort(F.collect_set(entry)).alias("changes")).withColumn("__most", most)
+    limit = F.coalesce(F.get("changes", F.lit(0))["__max"], F.col("__most"))
+    return listed.select(episode, F.filter("changes", lambda c: c["step"] <= limit).alias("changes"))
+
+
 def replay_schema(changes: DataFrame, tasks: DataFrame, episode: str = "episode_id", as_of: int | None = None) -> DataFrame:
     """The schema of each episode after its step ``as_of``, or after its last step.
 
     ``changes`` comes from ``schema_changes`` with (episode_id, task_id, step, pos, …) for statements
-    that succeeded; the starting schema is step 0. A task allows at most ``max_steps`` steps and
-    nothing is executed after them, so steps beyond that change nothing: leaving them out is exact.
-    Copies of a log row collapse on the map side, so what one episode can bring into the fold is
-    bounded however often it was logged.
+    that succeeded; the starting schema is step 0.
     """
-    limit = tasks.select("task_id", "max_steps")
-    live = changes.join(F.broadcast(limit), "task_id").filter(F.col("step") <= F.col("max_steps"))
+    listed = listed_changes(changes, tasks, episode)
     if as_of is not None:
-        live = live.filter(F.col("step") <= as_of)
-    entry = F.struct("step", "pos", "op", "table_name", "a", "b", "mode", "mode_columns", "columns", "fks")
-    listed = live.groupBy(episode).agg(F.array_sort(F.collect_set(entry)).alias("changes"))
-    empty = F.struct(
-        F.array().cast(_COLUMN_STATE).alias("columns"),
-        F.array().cast(_FK_STATE).alias("fks"),
-        F.array().cast(_MODE_STATE).alias("modes"),
-        F.array().cast(_CHILD_STATE).alias("children"),
-    )
-    return listed.select(episode, F.aggregate("changes", empty, _apply_change).alias("schema"))
+        listed = listed.withColumn("changes", F.filter("changes", lambda c: c["step"] <= as_of))
+    return listed.select(episode, F.aggregate("changes", empty_schema(), apply_change).alias("schema"))
 
 
 def schema_progress(steps: DataFrame, episode: str = "episode_id", start_match: float = 0.0) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import child_name
+from tidemark.operators import evolution as V
 from tidemark.operators import schema as D
 from tidemark.operators.episodes import tasks_dim
 from tidemark.plans.derived import DDL, SNAPSHOT_COLUMNS, SNAPSHOT_COLUMNS_TWIN, START_OF_TASK, STMTS, cte, derive, targets
@@ -187,3 +188,97 @@ def d8_replay_schema(spark: SparkSession, d: str) -> DataFrame:
     changes = D.schema_changes(_change_log(spark, d))
     schemas = D.replay_schema(changes, tasks_dim(spark))
     return schemas.select("episode_id", F.inline("schema.columns")).select("episode_id", "table_name", "col_name")
+
+
+def _cells(rows: list[str]) -> str:
+    return "[" + ", ".join(f"'{r}'" for r in rows) + "]"
+
+
+_STARTS = {
+    "easy_add_column": ["column|users|id|serial||false|true", "column|users|username|varchar(100)||true|false",
+        "column|users|created_at|timestamp|''2024-01-01 00:00:00''|false|false"],
+    "medium_rename_fk": ["column|users|id|serial||false|true", "column|users|username|varchar(100)||true|false", "column|orders|id|serial||false|true",
+        "column|orders|user_id|integer||true|false", "column|orders|amount|decimal(10,2)||false|false", "fk|orders|fk_orders_users|user_id|users|id"],
+    "hard_repartition": ["column|events|id|bigserial||false|false", "column|events|user_id|integer||true|false", "column|events|event_type|varchar(50)||false|false",
+        "column|events|payload|jsonb||false|false", "column|events|created_at|timestamp||true|false"],
+}
+_START_CELLS = "CASE task_id " + " ".join(f"WHEN '{task}' THEN {_cells(rows)}" for task, rows in _STARTS.items()) + " END"
+
+
+def _starts(text: str) -> str:
+    """Whether a schema ``f`` has a feature that begins so."""
+    return f"len(list_filter(f, lambda x: starts_with(x, '{text}'))) > 0"
+
+
+def _add(held: str, name: str, feature: str) -> str:
+    return f"list_concat({held}, CASE WHEN {_starts('column|users|')} AND NOT {_starts(f'column|users|{name}|')} THEN ['{feature}'] ELSE []::varchar[] END)"
+
+
+def _rename(old: str, new: str) -> str:
+    """Features with a table's name replaced, also where a key refers to it."""
+    own = f"CASE WHEN split_part(x, '|', 2) = '{old}' THEN split_part(x, '|', 1) || '|{new}|' || substr(x, length(split_part(x, '|', 1)) + length('{old}') + 3) ELSE x END"
+    return f"list_transform(f, lambda x: {own})"
+
+
+def _drop(table: str) -> str:
+    return f"list_filter(f, lambda x: split_part(x, '|', 2) <> '{table}')"
+
+
+# what each of the sixteen statements does to the features of a schema
+_DOES = f"""CASE op
+    WHEN 0 THEN {_add('f', 'email', 'column|users|email|varchar(255)|null|false|false')}
+    WHEN 1 THEN {_add(_add('f', 'note', 'column|users|note|text||false|false'), 'is_active', 'column|users|is_active|boolean|true|false|false')}
+    WHEN 2 THEN list_transform(f, lambda x: CASE WHEN starts_with(x, 'column|users|id|') THEN replace(x, 'column|users|id|', 'column|users|user_id|') ELSE x END)
+    WHEN 3 THEN list_filter(f, lambda x: NOT starts_with(x, 'fk|orders|fk_orders_users|'))
+    WHEN 4 THEN CASE WHEN {_starts('column|orders|')} THEN list_concat(f, ['fk|orders|fk_orders_users|user_id|users|user_id']) ELSE f END
+    WHEN 5 THEN CASE WHEN {_starts('column|events_new|')} THEN f ELSE list_concat(list_concat(f,
+      list_transform(list_filter(f, lambda x: starts_with(x, 'column|events|')), lambda x: replace(x, 'column|events|', 'column|events_new|'))), ['mode|events_new|HASH|user_id']) END
+    WHEN 9 THEN {_rename('events', 'events_old')}
+    WHEN 10 THEN {_drop('events_old')}
+    WHEN 11 THEN {_drop('users')}
+    ELSE f END"""
+_LIMITED = f"""s AS (SELECT *, stmt_id % 16 AS op FROM ({cte(STMTS)}) WHERE step <= CASE task_id WHEN 'easy_add_column' THEN 5 WHEN 'medium_rename_fk' THEN 6 ELSE 8 END)"""
+
+
+@query(
+    "d8_schema_by_step",
+    f"""WITH RECURSIVE {_LIMITED},
+    st AS (SELECT episode_id, 0 AS step, {_START_CELLS} AS f FROM s WHERE step = 1
+      UNION ALL SELECT st.episode_id, s.step, CASE WHEN result <> 'SUCCESS' THEN f ELSE {_DOES} END
+      FROM st JOIN s ON s.episode_id = st.episode_id AND s.step = st.step + 1)
+    SELECT episode_id, step, unnest(f) AS feature FROM st""",
+)
+def d8_schema_by_step(spark: SparkSession, d: str) -> DataFrame:
+    """Columns, keys, modes and children after every step."""
+    log = _change_log(spark, d)
+    steps = derive(spark, d, STMTS).select("episode_id", "task_id", "step")
+    by_step = V.schema_by_step(D.schema_changes(log), steps, tasks_dim(spark))
+    return V.features(by_step)
+
+
+_REASON = f"""CASE op
+    WHEN 2 THEN CASE WHEN len(list_filter(f, lambda x: starts_with(x, 'fk|') AND ends_with(x, '|users|id'))) > 0
+      THEN 'foreign key constraint still references users(id); drop referencing constraint(s) first: orders.fk_orders_users' END
+    WHEN 3 THEN CASE WHEN NOT {_starts('fk|orders|fk_orders_users|')} THEN 'constraint fk_orders_users does not exist on orders' END
+    WHEN 4 THEN CASE WHEN {_starts('fk|orders|fk_orders_users|')} THEN 'constraint fk_orders_users already exists on orders'
+      WHEN NOT {_starts('column|orders|user_id|')} THEN 'column orders.user_id does not exist for foreign key'
+      WHEN NOT {_starts('column|users|user_id|')} THEN 'referenced column users.user_id does not exist' END END"""
+
+
+@query(
+    "l9_l10_preflight_by_step",
+    f"""WITH RECURSIVE {_LIMITED},
+    st AS (SELECT episode_id, 0 AS step, {_START_CELLS} AS f, -1::bigint AS was, NULL::varchar AS problem, false AS made FROM s WHERE step = 1
+      UNION ALL SELECT episode_id, step, CASE WHEN ran AND p IS NULL THEN {_DOES} ELSE f END, op, p, ran AND p IS NULL
+      FROM (SELECT st.episode_id, s.step, st.f, s.op, {_REASON} AS p, result = 'SUCCESS' AS ran
+        FROM st JOIN s ON s.episode_id = st.episode_id AND s.step = st.step + 1))
+    SELECT episode_id, step, CASE was WHEN 2 THEN 'rename_column' WHEN 3 THEN 'drop_constraint' ELSE 'add_constraint' END AS op,
+      CASE was WHEN 2 THEN 'users' ELSE 'orders' END AS table_name, CASE was WHEN 2 THEN 'id' ELSE 'fk_orders_users' END AS name, problem, made
+    FROM st WHERE was IN (2, 3, 4)""",
+)
+def l9_l10_preflight_by_step(spark: SparkSession, d: str) -> DataFrame:
+    """Renames and constraint changes, each against the keys and columns of its own moment."""
+    stmts = derive(spark, d, STMTS, heavy=True)
+    start = _change_log(spark, d).filter("step = 0").withColumn("ran", F.lit(True))
+    log = start.unionByName(stmts.select("episode_id", "task_id", "step", "sql", (F.col("result") == "SUCCESS").alias("ran")))
+    return V.preflight(D.schema_changes(log), tasks_dim(spark)).drop("pos")

@@ -10,12 +10,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.functions.digest import bucket_of
 from tidemark.functions.scores import DONE_TOLERANCE, FAILURE_COST, ratio
-from tidemark.operators.episodes import NOT_EXECUTED, TASKS
+from tidemark.operators.episodes import NOT_EXECUTED
 from tidemark.operators.migrate import BUCKET
 
-#: The largest number of steps that a listed task allows.
-MOST_STEPS = max(limit for *_, limit in TASKS)
-
 
 def live_availability(
     workload: DataFrame, size: str = "1 hour", slide: str | None = None, delay: str = "1 day", by: tuple[str, ...] = ()
@@ -76,16 +73,17 @@ def _advance(state: Column, entry: Column, limit: Column) -> Column:
     return F.when(state["done"] | (step <= state["step"]), state).otherwise(after)
 
 
-def live_episodes(steps: DataFrame, tasks: DataFrame, start_match: float = 0.0, most_steps: int = MOST_STEPS) -> DataFrame:
+def live_episodes(steps: DataFrame, tasks: DataFrame, start_match: float = 0.0) -> DataFrame:
     """Totals, reward and done flag per episode, updated as steps arrive; works on streams and on tables.
 
     The stream keeps the allowed steps of each episode as its state and folds them by the same rules
     as the batch: the task of the first step is that of the episode and sets its limit, and steps of
-    other or unlisted tasks are invalid actions. ``most_steps`` is the largest limit of any task; steps
-    beyond it cannot change an episode and are left out before the shuffle, and copies of a step
+    other or unlisted tasks are invalid actions. Steps beyond the largest limit in ``tasks`` cannot change an episode and are left out before the shuffle, and copies of a step
     collapse on the map side, so neither an endless log nor a log delivered many times can grow the
     state or burden a single task.
     """
+    # one number, read when the plan is made: a stream's plan cannot ask a subquery
+    most_steps = tasks.agg(F.coalesce(F.max("max_steps"), F.lit(0))).first()[0]
     dimension = tasks.select(F.col("task_id").alias("__listed"), "max_steps")
     limited = steps.join(F.broadcast(dimension), F.col("task_id") == F.col("__listed"), "left")
     given = F.coalesce(F.col("valid"), F.lit(False)) if "valid" in steps.columns else F.lit(True)
