@@ -124,6 +124,7 @@ class Encoder:
     def __init__(self, tokenizer: Tokenizer):
         self.tokenizer, self.model, self.table = tokenizer, tokenizer.model, token_bytes(tokenizer)
         self.shown = str.maketrans(dict(enumerate(byte_characters())))
+        self.leads = {"": "", " ": self.shown[0x20]}
         self.first = Pieces(lambda piece: self.piece("", piece))
         self.later = Pieces(lambda piece: self.piece(" ", piece))
         self.marks = Pieces(self.ids)
@@ -141,7 +142,8 @@ class Encoder:
             return self.ids(lead + piece)
         if word != piece:
             return (self.later if lead else self.first)[word] + self.marks[piece[len(word) :]]
-        match = (lead + word).encode().decode("latin-1").translate(self.shown)
+        # letters of ASCII are written as themselves
+        match = self.leads[lead] + word if word.isascii() else (lead + word).encode().decode("latin-1").translate(self.shown)
         return array("I", [token.id for token in self.model.tokenize(match)]).tobytes()
 
     def __call__(self, text: str) -> bytes:
