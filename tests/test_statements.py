@@ -40,6 +40,17 @@ CASES = [
     ("UPDATE users SET a = 1", ("UNKNOWN", 1, 0.5, False)),
     ("THIS IS NOT SQL", ("UNKNOWN", 1, 0.5, False)),
     ("", ("UNKNOWN", 1, 0.5, False)),
+    ("-- clean up\nDROP TABLE users", ("ACCESS_EXCLUSIVE", 20, 1.0, True)),
+    ("/* a; b */ TRUNCATE users", ("ACCESS_EXCLUSIVE", 20, 1.0, True)),
+    ("DELETE FROM users -- WHERE id = 1", ("ACCESS_EXCLUSIVE", 20, 1.0, True)),
+    ("INSERT INTO t VALUES (1) /* SELECT */", ("ROW_EXCLUSIVE", 1, 0.02, False)),
+    ("INSERT INTO t SELECT * FROM e WHERE a BETWEEN x AND y AND b between 1 and 2500", ("ROW_EXCLUSIVE", 45, 0.15, False)),
+    ("ALTER TABLE t ADD c INT", ("ACCESS_EXCLUSIVE", 10, 0.8, False)),
+    ("ALTER TABLE t ADD c INT DEFAULT 1", ("SHARE_UPDATE_EXCLUSIVE", 0, 0.0, False)),
+    ("ALTER TABLE s.t DROP c", ("ACCESS_EXCLUSIVE", 5, 0.4, False)),
+    ('ALTER TABLE "t" RENAME a TO b', ("ACCESS_EXCLUSIVE", 3, 0.25, False)),
+    ("ALTER TABLE t RENAME CONSTRAINT a TO b", ("UNKNOWN", 1, 0.5, False)),
+    ("ALTER TABLE t ADD PRIMARY KEY (id)", ("UNKNOWN", 1, 0.5, False)),
 ]
 
 
@@ -61,6 +72,8 @@ def test_lock_rules(spark):
         ("ALTER TABLE a RENAME COLUMN b TO c; DROP TABLE x_old", ("ACCESS_EXCLUSIVE", 5)),
         ("", ("UNKNOWN", 1)),
         (" ; ; ", ("UNKNOWN", 1)),
+        ("-- first; then\nSELECT 1; /* DROP TABLE users; */ SELECT 2", ("NONE", 0)),
+        ("SELECT '-- no comment'; DROP TABLE users", ("ACCESS_EXCLUSIVE", 20)),
     ],
 )
 def test_script_profile(spark, script, expected):
@@ -160,3 +173,27 @@ def test_preflight_against_one_schema(spark):
         "referenced column users.user_id does not exist",
         None,
     ]
+
+
+def test_preflight_of_qualified_and_quoted_names_and_of_each_clause(spark):
+    fks = spark.createDataFrame([("orders", "fk a", "users", "id")], "table_name string, fk_name string, ref_table string, ref_column string")
+    columns = spark.createDataFrame([("orders", "user_id"), ("users", "id")], "table_name string, col_name string")
+    texts = [
+        '-- why; because\nALTER TABLE IF EXISTS public."Users" RENAME "id" TO "user ""id"""',
+        'ALTER TABLE ONLY shop.orders DROP CONSTRAINT IF EXISTS "fk a", DROP CONSTRAINT nope;',
+        'ALTER TABLE "orders" ADD CONSTRAINT fk2 FOREIGN KEY ( "user_id" ) REFERENCES shop."users" ("id") ON DELETE CASCADE',
+        "ALTER TABLE orders ADD CONSTRAINT fk3 FOREIGN KEY (a, b) REFERENCES users (a, b)",
+        "ALTER TABLE orders RENAME TO users",
+        "SELECT 1",
+        "",
+        None,
+    ]
+    stmts = spark.createDataFrame([(t,) for t in texts], "statement string")
+    renames = L.preflight_rename(stmts, fks).collect()
+    assert [(r["table_name"], r["old_name"], r["new_name"], r["blockers"]) for r in renames] == [("Users", "id", 'user "id"', "orders.fk a")]
+    got = sorted(tuple(r)[1:] for r in L.preflight_constraints(stmts, columns, fks).collect())
+    assert got == [
+        ("ADD", "orders", "fk2", None),
+        ("DROP", "orders", "fk a", None),
+        ("DROP", "orders", "nope", "constraint nope does not exist on orders"),
+    ]

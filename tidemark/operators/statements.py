@@ -6,7 +6,8 @@ shuffle, and those reduce on the map side first.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from tidemark.functions.text import (
     split_plain,
     split_quoted,
     strip,
+    without_comments,
     without_literals,
     without_parens,
 )
@@ -48,15 +50,7 @@ COPY_ROWS_PER_UNIT = 1000
 COPY_TICKS_PER_UNIT = 15
 COPY_RATE_BOUNDED = 0.15
 COPY_RATE_UNBOUNDED = 0.6
-COPY_RANGE = r"BETWEEN\s+(\d+)\s+AND\s+(\d+)"
-COPY_LIMIT = r"LIMIT\s+(\d+)"
-# Forms of the statements that a preflight looks at, and its messages.
-RENAME_FORM = r"(?is)^ALTER\s+TABLE\s+(\w+)\s+RENAME\s+COLUMN\s+(\w+)\s+TO\s+(\w+)"
-DROP_FORM = r"(?is)^ALTER\s+TABLE\s+(\w+)\s+DROP\s+CONSTRAINT\s+(IF\s+EXISTS\s+)?(\w+)"
-ADD_FORM = (
-    r"(?is)^ALTER\s+TABLE\s+(\w+)\s+ADD\s+CONSTRAINT\s+(\w+)\s+FOREIGN\s+KEY\s*\(\s*(\w+)\s*\)\s*"
-    r"REFERENCES\s+(\w+)\s*\(\s*(\w+)\s*\)"
-)
+# Messages of a preflight.
 MISSING_CONSTRAINT = "constraint %s does not exist on %s"
 DUPLICATE_CONSTRAINT = "constraint %s already exists on %s"
 MISSING_COLUMN = "column %s.%s does not exist for foreign key"
@@ -66,6 +60,8 @@ MISSING_REFERENCE = "referenced column %s.%s does not exist"
 # an altered table, plain, qualified or quoted; a clause that adds a column; clauses that do something else
 ALTERED = r'(?is)^ALTER\s+TABLE\s+(?:IF\s+EXISTS\s+)?(?:ONLY\s+)?((?:"[^"]+"|\w+)(?:\.(?:"[^"]+"|\w+))?)\s+'
 ADDS_COLUMN = r"(?is)^ADD\s+(?:COLUMN\s+)?(?:IF\s+NOT\s+EXISTS\s+)?(?!(?:CONSTRAINT|PRIMARY|FOREIGN|UNIQUE|CHECK|EXCLUDE)\b)"
+SHORT_RENAME = r"(?is)^RENAME\s+(?!(?:TO|CONSTRAINT)\s)\S+\s+TO\s"
+SHORT_DROP = r"(?is)^DROP\s+(?:IF\s+EXISTS\s+)?(?!(?:CONSTRAINT|COLUMN)\b)"
 OTHER_ACTION = r"(?is)^(?:ADD|DROP|ALTER|RENAME|SET|RESET|VALIDATE|ENABLE|DISABLE|OWNER|ATTACH|DETACH|CLUSTER|INHERIT|NO)\s"
 
 
@@ -104,14 +100,54 @@ def expand_add_columns(df: DataFrame, statement: str = "statement") -> DataFrame
     return df.select("*", F.posexplode(F.when(several, each).otherwise(F.array(whole))).alias("part", "expanded"))
 
 
+# quoted names with their quotes, words and numbers, and single signs
+_TOKEN = r'"(?:[^"]++|"")++"|\w++|[^\s\w]'
+
+
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is worked out once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _tokens(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0))
+
+
+def _says(tokens: Column, at: Column | int, *words: str) -> Column:
+    """Whether these words stand one after the other from a position on, in any case."""
+    at = at if isinstance(at, Column) else F.lit(at)
+    told = [F.upper(F.get(tokens, at + n)) == word for n, word in enumerate(words)]
+    return F.coalesce(reduce(Column.__and__, told), F.lit(False))
+
+
+def _name(token: Column) -> Column:
+    """A name without its quotes."""
+    quoted = F.replace(F.substring(token, F.lit(2), F.length(token) - 2), F.lit('""'), F.lit('"'))
+    return F.when(token.startswith('"'), quoted).otherwise(token)
+
+
+def _announced_rows(tokens: Column) -> Column:
+    """Rows from the first BETWEEN with two numbers, else from the first LIMIT with one, else null."""
+
+    def number(at: Column) -> Column:
+        return F.get(tokens, at).try_cast("decimal(38,0)")
+
+    whole = r"^[0-9]+$"
+    places = F.transform(tokens, lambda _, at: at)
+    ranges = F.filter(
+        places,
+        lambda at: _says(tokens, at, "BETWEEN") & _says(tokens, at + 2, "AND")
+        & F.get(tokens, at + 1).rlike(whole) & F.get(tokens, at + 3).rlike(whole),
+    )
+    limits = F.filter(places, lambda at: _says(tokens, at, "LIMIT") & F.get(tokens, at + 1).rlike(whole))
+    between, limit = F.get(ranges, 0), F.get(limits, 0)
+    return F.coalesce(number(between + 3) - number(between + 1) + 1, number(limit + 1))
+
+
 def copy_cost(sql: Column) -> Column:
     """Lock profile of ``INSERT … SELECT`` from the number of rows that its text announces."""
     text = F.upper(sql)
-    lo = F.regexp_extract(text, COPY_RANGE, 1).try_cast("decimal(38,0)")
-    hi = F.regexp_extract(text, COPY_RANGE, 2).try_cast("decimal(38,0)")
-    limit = F.regexp_extract(text, COPY_LIMIT, 1).try_cast("decimal(38,0)")
-    announced = F.coalesce(hi - lo + 1, limit, F.lit(COPY_DEFAULT_ROWS))
-    rows = F.greatest(F.lit(1), announced)
+    rows = F.greatest(F.lit(1), F.coalesce(_once(_tokens(text), _announced_rows), F.lit(COPY_DEFAULT_ROWS)))
     ticks = F.greatest(F.lit(1), F.ceil(rows / COPY_ROWS_PER_UNIT) * COPY_TICKS_PER_UNIT)
     bounded = text.contains("BETWEEN") | text.contains("LIMIT") | text.contains("WHERE")
     return F.struct(
@@ -147,6 +183,7 @@ def _lock_rules(text: Column, bare: Column) -> Column:
         )
     )
     insert = F.when(says("SELECT"), copy_cost(text)).otherwise(_profile(INSERT_VALUES))
+    action = F.regexp_replace(bare, ALTERED, "")
     alter = F.when(
         bare.startswith("ALTER TABLE "),
         F.when(says("ALTER COLUMN", "TYPE"), _profile(ALTER_TYPE))
@@ -156,7 +193,12 @@ def _lock_rules(text: Column, bare: Column) -> Column:
         .when(says("DROP CONSTRAINT"), _profile(DROP_CONSTRAINT))
         .when(says("ADD CONSTRAINT", "FOREIGN KEY"), _profile(ADD_FOREIGN_KEY))
         .when(says("ADD COLUMN", "DEFAULT"), _profile(ADD_DEFAULTED))
-        .when(says("ADD COLUMN"), _profile(ADD_PLAIN)),
+        .when(says("ADD COLUMN"), _profile(ADD_PLAIN))
+        # the keyword COLUMN may be left out
+        .when(action.rlike(SHORT_RENAME), _profile(RENAME_COLUMN))
+        .when(action.rlike(SHORT_DROP), _profile(DROP_COLUMN))
+        .when(action.rlike(ADDS_COLUMN) & says("DEFAULT"), _profile(ADD_DEFAULTED))
+        .when(action.rlike(ADDS_COLUMN), _profile(ADD_PLAIN)),
     )
     select = F.when(~without_parens(bare).rlike(r"\b(?:UNION|EXCEPT|INTERSECT)\b"), _profile(READ_ONLY))
     known = (
@@ -172,17 +214,17 @@ def _lock_rules(text: Column, bare: Column) -> Column:
 
 
 def classify_locks(df: DataFrame, statement: str = "statement") -> DataFrame:
-    """Add the lock profile of each statement as four columns."""
-    texts = df.withColumn("__text", collapse(F.col(statement)))
+    """Add the lock profile of each statement as four columns. Comments do not count."""
+    texts = df.withColumn("__text", collapse(without_comments(F.col(statement))))
     texts = texts.withColumn("__bare", without_literals(F.col("__text")))
     ruled = texts.withColumn("__p", _lock_rules(F.col("__text"), F.col("__bare")))
     return ruled.select(*df.columns, "__p.*")
 
 
 def script_locks(sql: Column) -> Column:
-    """Lock profiles of the statements of a script, in order."""
+    """Lock profiles of the statements of a script, in order. Comments do not count."""
     texts = F.transform(
-        F.transform(split_quoted(sql), collapse),
+        F.transform(split_quoted(without_comments(sql)), collapse),
         lambda text: F.struct(text.alias("text"), without_literals(text).alias("bare")),
     )
     return F.transform(texts, lambda forms: _lock_rules(forms["text"], forms["bare"]))
@@ -252,20 +294,37 @@ def flag_repeats(
     return seen.select(*df.columns, F.coalesce(repeats, F.lit(False)).alias("repeats_failed"))
 
 
+def _actions(statement: Column) -> Column:
+    """The clauses of an ALTER TABLE as (table_name, tokens), without comments; empty for other statements.
+
+    The table's name comes without its schema and its quotes.
+    """
+    clauses = split_commas(F.rtrim(strip(without_comments(statement)), F.lit("; \t\n\r")))
+    table = _name(F.element_at(_tokens(F.regexp_extract(F.get(clauses, 0), ALTERED, 1)), -1))
+    told = F.transform(
+        clauses,
+        lambda clause: F.struct(table.alias("table_name"), _tokens(F.regexp_replace(clause, ALTERED, "")).alias("tokens")),
+    )
+    return F.when(F.get(clauses, 0).rlike(ALTERED), told)
+
+
 def preflight_rename(stmts: DataFrame, fks: DataFrame, by: Sequence[str] = (), statement: str = "statement") -> DataFrame:
     """Column renames with the foreign keys that block them.
 
     ``fks`` holds (table_name, fk_name, ref_table, ref_column) and the columns in ``by``, such as
-    the schema a statement ran against. The blockers of a column are listed once, before the
+    the schema a statement ran against. Names may be quoted or qualified, and the keyword COLUMN may be
+    left out. The blockers of a column are listed once, before the
     join, so the join adds no rows. Without ``by`` there is one schema for all statements, which is
     broadcast when it is measured to be small.
     """
-    text = strip(F.col(statement))
-    renames = stmts.filter(text.rlike(RENAME_FORM)).select(
-        "*",
-        F.regexp_extract(text, RENAME_FORM, 1).alias("table_name"),
-        F.regexp_extract(text, RENAME_FORM, 2).alias("old_name"),
-        F.regexp_extract(text, RENAME_FORM, 3).alias("new_name"),
+    actions = stmts.select("*", F.inline(_actions(F.col(statement))))
+    tokens = F.col("tokens")
+    old = F.when(_says(tokens, 1, "COLUMN"), 2).otherwise(1)
+    renames = actions.filter(_says(tokens, 0, "RENAME") & _says(tokens, old + 1, "TO")).select(
+        *stmts.columns,
+        "table_name",
+        _name(F.get(tokens, old)).alias("old_name"),
+        _name(F.get(tokens, old + 2)).alias("new_name"),
     )
     blockers = fks.groupBy(*by, F.lower("ref_table").alias("__t"), F.lower("ref_column").alias("__c")).agg(
         F.concat_ws(", ", F.array_sort(F.collect_set(F.concat_ws(".", "table_name", "fk_name")))).alias("blockers")
@@ -289,23 +348,32 @@ def preflight_constraints(
 
     ``columns`` holds (table_name, col_name), ``constraints`` holds (table_name, fk_name), both with
     the columns in ``by``. Checked in order: a dropped constraint is missing, an added one exists,
-    its column is missing, the referenced column is missing. Lookups go by distinct names.
+    its column is missing, the referenced column is missing. Each clause of a statement has its own row;
+    keys of several columns, and keys that name no referenced column, are not judged. Lookups go by
+    distinct names.
     """
-    text = strip(F.col(statement))
-    adds, drops = text.rlike(ADD_FORM), text.rlike(DROP_FORM)
-
-    def of_add(group: int) -> Column:
-        return F.when(adds, F.regexp_extract(text, ADD_FORM, group))
-
-    changes = stmts.filter(adds | drops).select(
-        "*",
+    actions = stmts.select("*", F.inline(_actions(F.col(statement))))
+    tokens = F.col("tokens")
+    drops, guarded = _says(tokens, 0, "DROP", "CONSTRAINT"), _says(tokens, 2, "IF", "EXISTS")
+    # the name of the other table may be qualified
+    other = F.when(F.get(tokens, F.lit(10)) == ".", 11).otherwise(9)
+    adds = (
+        _says(tokens, 0, "ADD", "CONSTRAINT") & _says(tokens, 3, "FOREIGN", "KEY", "(") & _says(tokens, 7, ")", "REFERENCES")
+        & _says(tokens, other + 1, "(") & _says(tokens, other + 3, ")")
+    )
+
+    def of_add(at: Column) -> Column:
+        return F.when(adds, _name(F.get(tokens, at)))
+
+    changes = actions.filter(adds | drops).select(
+        *stmts.columns,
         F.when(adds, "ADD").otherwise("DROP").alias("action"),
-        F.when(adds, of_add(1)).otherwise(F.regexp_extract(text, DROP_FORM, 1)).alias("table_name"),
-        F.when(adds, of_add(2)).otherwise(F.regexp_extract(text, DROP_FORM, 3)).alias("constraint_name"),
-        (~adds & (F.regexp_extract(text, DROP_FORM, 2) != "")).alias("if_exists"),
-        of_add(3).alias("local_column"),
-        of_add(4).alias("ref_table"),
-        of_add(5).alias("ref_column"),
+        "table_name",
+        _name(F.get(tokens, F.when(drops & guarded, 4).otherwise(2))).alias("constraint_name"),
+        (drops & guarded).alias("if_exists"),
+        of_add(F.lit(6)).alias("local_column"),
+        of_add(other).alias("ref_table"),
+        of_add(other + 2).alias("ref_column"),
     )
 
     def lookup(frame: DataFrame, names: DataFrame, name: str, table: str, col: str, flag: str) -> DataFrame:
