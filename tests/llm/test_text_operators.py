@@ -235,6 +235,20 @@ def test_odd_pages(page, text):
         ("<article>one</article><aside><article>x</article></aside>", "one"),
         ('<div class="menu">x<article>one</article>', "one"),
         ("<head><meta charset=utf-8><p>one", "one"),
+        # raw elements closed in their own tag, or never
+        ("<article><p>a</p><svg class='i'/><p>b</p></article>", "a b"),
+        ("<article><p>a</p><iframe src=x /><p>b</p><object data=x><p>c</p></article>", "a b c"),
+        ("<article><p>a</p><svg><text>x</text></svg><iframe>y</iframe><p>b</p></article>", "a b"),
+        # quotes and signs inside values, quotes that open none
+        ('<article><p title="a<b">one</p><p title=it\'s>two</p><p title="x > y">three</p></article>', "one two three"),
+        ("<article><p title='>one</p><p \">two</p></article>", "one two"),
+        # only the naming attributes name, and tokens do so as a whole
+        ("<article><p data-id=\"comments\">one</p><p data-testid='login banner' title='class=menu'>two</p></article>", "one two"),
+        ("<div class='page has-sidebar'><article>one<p class='share-price'>two<p class=search-engines>three</p></article></div>", "one two three"),
+        ("<article>one<ul class='x comment-list'><li>y</ul><p class='site-footer'>z<p class=\"ad-slot-2\">w</p></article>", "one"),
+        # articles of comments are no main text, beside the main article or in it
+        ("<article>one<article class='comment'>x</article>two</article><article class='comment reply'>y</article>", "one two"),
+        ("<div class=menu><article class=comment>x</article><article>one</article></div>", "one"),
     ],
 )
 def test_ends_that_html_implies(page, text):
@@ -249,11 +263,19 @@ def test_text_after_the_main_text_of_an_unmarked_page_goes():
     assert "Short. cell more words" in text and text.endswith("of the text") and "Nice" not in text and "Thanks" not in text
 
 
+def test_links_among_the_lines_of_an_unmarked_page_stay():
+    long = "<p>" + "words of the text " * 10 + "</p>"
+    text = html_text.main_text(f"<body><nav>x</nav><div>{long}<h2><a href=a>A linked headline</a></h2><p><a href=b>Linked</a></p>{long}</div></body>")
+    assert "text A linked headline Linked words" in text and "x" not in text.split()
+
+
 def test_deep_and_unmatched_tags_are_read_once():
     import time
 
     start = time.time()
     html_text.main_text("<i><div>" + "<b>" * 50_000 + "</i>" * 50_000 + "<p>x</table>" * 10_000)
+    for odd in ("<a x=\"", "<a x='<b y=\"", "<svg ", "<a =", "<a\"'"):
+        html_text.main_text(odd * 50_000)
     assert time.time() - start < 20
 
 

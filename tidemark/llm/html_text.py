@@ -15,7 +15,8 @@ or tr the former one, and a parent's end its children; a part ends with its elem
 
 Edge cases: a null or empty page has the empty text; tags that are never closed end with their parent, and a
 named part that is never closed ends where the article begins, but for comments and sidebars, which have
-articles of their own; character references that are not known
+articles of their own; a raw element other than scripts, styles, titles and text fields that is never closed is its
+tag alone, and so is a drawing closed in its own tag; a quote that opens no value is a sign like others; character references that are not known
 stay as they are; very long pages are read once, from front to back; repeated rows get equal texts.
 """
 
@@ -35,15 +36,21 @@ from pyspark.sql import functions as F
 WINDOW = 3
 SURGE = 86
 
+# a quote opens a value after an equals sign only; elsewhere it is a sign like others
+_VALUE = r"\"[^\"]*+\"|'[^']*+'|[^\s<>]*+"
 _TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^<>\"']++|\"[^\"<]*\"|'[^'<]*')*+)/?>"
+    r"<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^<>=]++|=\s*+(?:" + _VALUE + r"))*+)>"
     r"|<[!?/][^>]*>",
     re.S,
 )
-_NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=<>/]++)(?:\s*+=\s*+(" + _VALUE + r"))?+", re.S)
 
 # Elements by what they mean for the text.
 RAW = {"script", "style", "template", "noscript", "textarea", "title", "svg", "math", "iframe", "object", "canvas", "audio", "video"}
+#: Of the raw ones, those that XML's short form may close, and those that take the rest of the page where their end is missing.
+DRAWN = {"svg", "math"}
+TO_THE_END = {"script", "style", "textarea", "title"}
+_RAW_ENDS = {name: re.compile(rf"</{name}(?![a-zA-Z0-9:-])[^>]*>", re.I) for name in RAW}
 PARTS = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "select", "head"}
 MAIN = {"article", "main"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -52,16 +59,25 @@ BLOCKS = {
     "figcaption", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "hr", "html", "legend", "li", "main", "ol", "p", "pre",
     "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 }
-#: Words in a class, id or role that name a part which is not main text.
+#: Attributes that name an element. Each of their tokens is judged as a whole, by its words.
+NAMING = {"class", "id", "role"}
+_TOKEN_WORDS = re.compile(r"[_-]+")
+#: Words that name a part which is not main text.
 NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav|navbar|navigation|menu|sidebar|aside|footer|header|masthead"
+    r"ads?|advert\w*|sponsor\w*|promo\w*|banner|nav|navbar|navigation|menu|sidebar|aside|footer|header|masthead"
     r"|breadcrumbs?|cookies?|consent|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|share|sharing|social"
     r"|related|recommended|comments?|disqus|replies|respond|widget|pagination|pager|login|search|toolbar|complementary"
-    r"|contentinfo)(?=$|[\s_-])",
-    re.I,
+    r"|contentinfo"
 )
 #: Those of them, and elements, that hold articles of others: one that begins there is no main text.
-ASIDE = re.compile(r"(?:^|[\s_-])(?:sidebar|aside|complementary|related|recommended|comments?|disqus|replies|respond|widget)(?=$|[\s_-])", re.I)
+ASIDE = re.compile(r"sidebar|aside|complementary|related|recommended|comments?|disqus|replies|respond|widget")
+#: Words that stand behind such a word without changing what it names,
+HOLDERS = re.compile(
+    r"area|articles|bar|block|body|box|button|buttons|column|container|content|form|group|holder|icons|inner|item|items|left|links|list"
+    r"|outer|panel|posts|right|row|section|slot|stories|text|thread|unit|wrap|wrapper|\d+"
+)
+#: and words before it that tell what a page or element has or does, not what it is.
+STATES = {"has", "have", "no", "not", "with", "without", "is", "show", "hide", "js"}
 
 #: Tags that leave no empty line: of rows and items, and where a paragraph or heading begins.
 ITEMS = {"li", "dd", "dt", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
@@ -150,16 +166,35 @@ class Line:
     main: bool
 
 
+def _named(rest: str, names: re.Pattern[str]) -> bool:
+    """Whether a token of a naming attribute says that the element is one of these.
+
+    It does when its last word is one of the names, holders left aside, and its first tells no state:
+    ``site-header`` and ``comment-list`` do, ``has-sidebar`` and ``share-price`` do not.
+    """
+    for key, value in _ATTRIBUTE.findall(rest):
+        if key.lower() not in NAMING:
+            continue
+        for token in value.strip("\"'").lower().split():
+            words = [word for word in _TOKEN_WORDS.split(token) if word]
+            while len(words) > 1 and HOLDERS.fullmatch(words[-1]):
+                words.pop()
+            if words and names.fullmatch(words[-1]) and words[0] not in STATES:
+                return True
+    return False
+
+
 def _part(name: str, rest: str) -> bool:
     if name in PARTS:
         return True
-    if name in MAIN or name in {"html", "body"} or not rest:
+    if name in {"html", "body"} or not rest:
         return False
-    return any(NAMES.search(a or b or c) for a, b, c in _NAMED.findall(rest))
+    # an article is main text whatever it is called, unless it is of a comment or sidebar
+    return _named(rest, ASIDE if name in MAIN else NAMES)
 
 
 def _beside(name: str, rest: str) -> bool:
-    return name == "aside" or any(ASIDE.search(a or b or c) for a, b, c in _NAMED.findall(rest))
+    return name == "aside" or _named(rest, ASIDE)
 
 
 def lines(html: str, whole: bool = False) -> list[Line]:
@@ -195,14 +230,14 @@ def lines(html: str, whole: bool = False) -> list[Line]:
             continue
         if name in RAW:
             if not closing:
-                at = _after(html, at, name)
+                at = _after(html, at, name, tag["rest"].endswith("/"))
             continue
         if skipping < 0 and name in (WHOLE_BLOCKS if whole else BLOCKS):
             end(name not in ITEMS and (closing or name not in BEGINS))
         if closing:
             opened.end(name)
         else:
-            if skipping >= 0 and name in MAIN and not beside:
+            if skipping >= 0 and name in MAIN and not beside and not _beside(name, tag["rest"]):
                 opened.cut(skipping)
             opened.start(name)
         # a part ends with its element, also where that end is implied
@@ -218,14 +253,18 @@ def lines(html: str, whole: bool = False) -> list[Line]:
     return out
 
 
-def _after(html: str, at: int, name: str) -> int:
-    """Where the content of a raw element ends."""
-    found = re.compile(rf"</{re.escape(name)}[^>]*>", re.I).search(html, at)
-    return found.end() if found else len(html)
+def _after(html: str, at: int, name: str, closed: bool) -> int:
+    """Where the content of a raw element ends. One that is closed in its own tag has none, as far as its kind may be."""
+    if closed and name in DRAWN:
+        return at
+    found = _RAW_ENDS[name].search(html, at)
+    if found:
+        return found.end()
+    return len(html) if name in TO_THE_END else at
 
 
 def between(weights: np.ndarray, surge: float) -> np.ndarray:
-    """Which lines lie between a surge point and the next dive point of the window sums."""
+    """Which lines lie between a surge point and the next dive point of the window sums, links among them too."""
     kept = np.zeros(len(weights), bool)
     sums = np.convolve(weights, np.ones(WINDOW))[WINDOW - 1 :] if len(weights) else weights
     inside = False
@@ -235,7 +274,7 @@ def between(weights: np.ndarray, surge: float) -> np.ndarray:
         elif inside and not total:
             inside = False
         kept[at] = inside
-    return kept & (weights > 0)
+    return kept
 
 
 def main_text(html: str) -> str:
@@ -250,7 +289,7 @@ def main_text(html: str) -> str:
         highest = np.convolve(weights, np.ones(WINDOW)).max() if len(weights) else 0.0
         surge = min(float(SURGE), highest / 2)
     kept = between(weights, surge)
-    return " ".join(line.text for line, keep in zip(found, kept, strict=True) if keep)
+    return " ".join(line.text for line, keep in zip(found, kept, strict=True) if keep and line.text and (line.main or not marked))
 
 
 def visible_text(html: str) -> str:
