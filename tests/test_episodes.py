@@ -140,6 +140,19 @@ def test_latest_and_resolved(spark):
     }
 
 
+def test_next_by_schema_of_an_empty_snapshot(spark):
+    columns = spark.createDataFrame(
+        [(1, "easy_add_column", "Email", "text", False)], "snapshot_id int, task_id string, col_name string, col_type string, is_primary boolean"
+    )
+    fks = spark.createDataFrame([], "snapshot_id int, task_id string, fk_name string, ref_table string, ref_column string")
+    snapshots = spark.createDataFrame(
+        [(1, "easy_add_column"), (2, "easy_add_column"), (3, "medium_rename_fk"), (4, "other")], "snapshot_id int, task_id string"
+    )
+    got = {r["snapshot_id"]: r["next_sql"] for r in E.next_by_schema(columns, fks, snapshots).collect()}
+    assert got == {1: E.ADD_ACTIVE, 2: E.ADD_EMAIL, 3: E.RENAME_USERS_ID, 4: E.NO_OP_SQL}
+    assert [r["snapshot_id"] for r in E.next_by_schema(columns, fks).collect()] == [1]
+
+
 def test_next_pending(spark):
     plan = E.playbook(spark, "hard_repartition", E.SWAP_PLAYBOOK)
     log = [(1, s, "SUCCESS") for s in E.SWAP_PLAYBOOK[:3]] + [(1, E.SWAP_PLAYBOOK[3], "error")]

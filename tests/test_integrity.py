@@ -96,6 +96,8 @@ def _expected_diff(a, b):
         for at, name in ((1, "u"), (2, "v")):
             if Counter(r[at] for r in old.elements()) != Counter(r[at] for r in new.elements()):
                 cols.append(name)
+        # the same values in other rows
+        cols = cols or [name for at, name in ((1, "u"), (2, "v")) if len({r[at] for r in gone | come}) > 1]
         out[key] = (kind, sum(come.values()), sum(gone.values()), ",".join(cols) if kind == "changed" else "")
     return out
 
@@ -117,6 +119,14 @@ def test_row_diff_equals_multiset_difference(spark, a, b):
     assert len(got) == len(_expected_diff(a, b))
 
 
+def test_row_diff_names_columns_whose_cells_changed_rows(spark):
+    schema = "k int, u string, v int, w int"
+    a = spark.createDataFrame([(1, "a", 1, 7), (1, "b", 2, 7), (2, "a", 1, 7)], schema)
+    b = spark.createDataFrame([(1, "a", 2, 7), (1, "b", 1, 7), (2, "a", 1, 8)], schema)
+    rows = {tuple(r) for r in I.row_diff(a, b, ["k"]).collect()}
+    assert rows == {(1, "changed", 2, 2, "u,v"), (2, "changed", 1, 1, "w")}
+
+
 def test_row_diff_with_a_hot_key_pairs_nothing(spark):
     # 30000 copies of one key on each side would be 9e8 pairs
     hot = spark.range(30000).select(F.lit(1).alias("k"), (F.col("id") % 100).alias("v"))

@@ -19,7 +19,7 @@ from tidemark.functions.scores import DONE_TOLERANCE, FAILURE_COST, PASS_SCORE,
 from tidemark.functions.text import normalize_sql
 from tidemark.functions.windows import previous_rows
 from tidemark.sources.logs import NO_OP_SQL
-from tidemark.sources.tables import broadcast_if_small, is_small
+from tidemark.sources.tables import is_small
 
 # Fixed values: (task, difficulty, load per tick, steps allowed) and step results that are no errors.
 TASKS = [
@@ -280,7 +280,8 @@ def resolve_grades(requests: DataFrame, current: DataFrame) -> DataFrame:
     """Answer grade requests from the current, scored episode of each task.
 
     ``requests`` holds (request_id, task_id, episode_id or NULL/''); ``current`` has one scored episode
-    per task. A task without an episode, or another episode than asked for, gets the floor.
+    per task. A task without an episode, or another episode than asked for, gets the floor. The input
+    runs once: adaptive execution sees how few rows ``current`` comes to and broadcasts them then.
     """
     known = current.select(
         "task_id",
@@ -288,7 +289,7 @@ def resolve_grades(requests: DataFrame, current: DataFrame) -> DataFrame:
         F.col("score").alias("__score"),
         F.col("feedback").alias("__feedback"),
     )
-    joined = requests.join(broadcast_if_small(known), "task_id", "left")
+    joined = requests.join(known, "task_id", "left")
     asked = F.col("episode_id").cast("string")
     none = F.col("current_episode_id").isNull()
     other = (F.coalesce(asked, F.lit("")) != "") & (asked != F.col("current_episode_id").cast("string"))
@@ -358,10 +359,11 @@ def next_pending(plan: DataFrame, history: DataFrame) -> DataFrame:
     )
 
 
-def next_by_schema(columns: DataFrame, fks: DataFrame) -> DataFrame:
+def next_by_schema(columns: DataFrame, fks: DataFrame, snapshots: DataFrame | None = None) -> DataFrame:
     """The next statement for the column and foreign key tasks, from which features a schema has.
 
     ``columns`` and ``fks`` carry (snapshot_id, task_id); both are reduced to flags in one shuffle.
+    ``snapshots`` lists all schemas, so that those without any column and key have a row as well.
     """
 
     def flags(df: DataFrame, **found: Column) -> DataFrame:
@@ -382,7 +384,8 @@ def next_by_schema(columns: DataFrame, fks: DataFrame) -> DataFrame:
         fk_old=to_users & (F.lower("ref_column") == "id"),
         fk_new=to_users & (F.lower("ref_column") == "user_id"),
     )
-    has = of_columns.unionByName(of_fks).groupBy("snapshot_id", "task_id").agg(
+    parts = [of_columns, of_fks] + ([] if snapshots is None else [flags(snapshots)])
+    has = reduce(DataFrame.unionByName, parts).groupBy("snapshot_id", "task_id").agg(
         *[F.bool_or(n).alias(n) for n in ("email", "active", "key", "fk", "fk_old", "fk_new")]
     )
     easy = F.when(~F.col("email"), ADD_EMAIL).when(~F.col("active"), ADD_ACTIVE).otherwise(NO_OP_SQL)

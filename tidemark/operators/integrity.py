@@ -174,7 +174,8 @@ def row_diff(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
     however often a key or a row is repeated. What is left is written to the shared folder; with
     its size known, it filters a second scan by broadcast when it is small, so full rows are
     shuffled only if much has changed. The cells of those rows are counted with sign as well, so
-    no row is ever paired with another.
+    no row is ever paired with another. A column is named where its values changed; where every column
+    holds the same values as before, in other rows, those that differ between the rows are named.
     """
     cols = [c for c in a.columns if c not in keys]
 
@@ -203,9 +204,13 @@ def row_diff(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
         signed.select(*keys, "__s", F.inline(cells))
         .groupBy(*keys, "col", "val")
         .agg(F.sum("__s").alias("__m"))
-        .filter(F.col("__m") != 0)
+        .groupBy(*keys, "col")
+        .agg(F.bool_or(F.col("__m") != 0).alias("__changed"), (F.count(F.lit(1)) > 1).alias("__moved"))
         .groupBy(*keys)
-        .agg(F.array_sort(F.collect_set("col")).alias("cols"))
+        .agg(
+            F.array_sort(F.collect_set(F.when(F.col("__changed"), F.col("col")))).alias("cols"),
+            F.array_sort(F.collect_set(F.when(F.col("__moved"), F.col("col")))).alias("moved"),
+        )
     )
     kind = (
         F.when(F.col("rows_removed") == 0, "added").when(F.col("rows_added") == 0, "removed").otherwise("changed")
@@ -219,6 +224,8 @@ def row_diff(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
             kind.alias("change"),
             "rows_added",
             "rows_removed",
-            F.when(kind == "changed", F.concat_ws(",", "cols")).otherwise("").alias("changed_columns"),
+            F.when(kind == "changed", F.concat_ws(",", F.when(F.size("cols") > 0, F.col("cols")).otherwise(F.col("moved"))))
+            .otherwise("")
+            .alias("changed_columns"),
         )
     )
