@@ -10,7 +10,7 @@ broadcast when small, and only larger ones are joined by shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
 
@@ -145,11 +145,27 @@ def names_list(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, ","), strip), lambda name: name != "")
 
 
-def _creates(ddl: DataFrame, text: str) -> DataFrame:
-    """One row per CREATE TABLE statement, with its name, body, and partition texts."""
+def _created(stmt: Column) -> Column:
+    return F.regexp_extract(stmt, _CREATE, 1)
+
+
+def _creates(
+    ddl: DataFrame,
+    text: str,
+    counts: Callable[[Column], Column] = lambda stmt: stmt.rlike(_CREATE),
+    name: Callable[[Column], Column] = _created,
+) -> DataFrame:
+    """One row per CREATE TABLE statement, with its name, body, and partition texts.
+
+    Of the statements of a text that count and share a name, the last one holds.
+    """
     keys = [c for c in ddl.columns if c != text]
-    found = ddl.select(*keys, F.explode(split_quoted(without_comments(F.col(text)))).alias("stmt"))
-    return found.filter(F.col("stmt").rlike(_CREATE)).select(
+    found = ddl.select(*keys, F.filter(split_quoted(without_comments(F.col(text))), counts).alias("__stmts"))
+    named = found.withColumn("__names", F.reverse(F.transform("__stmts", name)))
+    each = named.select(*keys, "__names", F.posexplode("__stmts").alias("__at", "stmt"))
+    # the place in the reversed list counts from 1
+    last = F.size("__names") - F.array_position("__names", F.element_at("__names", -1 - F.col("__at")))
+    return each.filter(F.col("__at") == last).select(
         *keys,
         F.regexp_extract("stmt", _CREATE, 1).alias("table_name"),
         F.regexp_extract("stmt", _BODY, 2).alias("body"),
@@ -161,7 +177,7 @@ def _creates(ddl: DataFrame, text: str) -> DataFrame:
 
 
 def ddl_to_tables(ddl: DataFrame, text: str = "ddl") -> DataFrame:
-    """Tables created by each DDL text."""
+    """Tables created by each DDL text. A table that is defined several times has its last definition."""
     keys = [c for c in ddl.columns if c != text]
     return _creates(ddl, text).select(*keys, "table_name")
 
@@ -187,13 +203,16 @@ def ddl_to_fks(ddl: DataFrame, text: str = "ddl") -> DataFrame:
 def ddl_to_partitions(ddl: DataFrame, text: str = "ddl") -> tuple[DataFrame, DataFrame]:
     """Partition specs, and partition children with their bounds."""
     keys = [c for c in ddl.columns if c != text]
-    creates = _creates(ddl, text)
-    specs = creates.filter(F.col("mode") != "").select(
+    # a later definition without a spec leaves the spec of an earlier one
+    specs = _creates(ddl, text, lambda stmt: F.regexp_extract(stmt, _BODY, 3) != "").select(
         *keys, "table_name", "mode", names_list(F.col("mode_columns")).alias("columns")
     )
-    children = creates.filter(F.col("parent") != "").select(
-        *keys, "parent", F.col("table_name").alias("child"), "bounds"
-    )
+    children = _creates(
+        ddl,
+        text,
+        lambda stmt: F.regexp_extract(stmt, _CHILD, 2) != "",
+        lambda stmt: F.concat_ws("\n", F.regexp_extract(stmt, _CHILD, 2), _created(stmt)),
+    ).select(*keys, "parent", F.col("table_name").alias("child"), "bounds")
     return specs, children
 
 
