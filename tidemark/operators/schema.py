@@ -2,15 +2,16 @@
 
 A schema is a set of frames with one row per table, column, foreign key, partition spec or
 partition child. Frames of current schemas are keyed by (snapshot_id, target_id), frames of target
-schemas by target_id. Scores are sums of points per snapshot over one union of small parts, so
-each snapshot costs one partially aggregated shuffle. All snapshots share a few targets and column
-names, so a shuffle by those would put most rows into a few tasks: targets are measured once and
-broadcast when small, and only larger ones are joined by shuffle.
+schemas by target_id. A DDL text is taken apart once, into one row per feature of any kind, of which
+the frames are selections. Scores are sums of points per snapshot over these features, which meet all
+that their target wants in one join. All snapshots share a few targets and column names, so a shuffle
+by those would put most rows into a few tasks: targets are measured once and broadcast when small, and
+only larger ones are joined by shuffle.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
 
@@ -46,6 +47,9 @@ _CREATE = (
 )
 _BODY = _CREATE + r"\s*\((.*?)\)\s*(?:PARTITION\s+BY\s+(\w+)\s*\(([^)]*)\))?\s*$"
 _CHILD = _CREATE + r"\s+PARTITION\s+OF\s+" + _NAME + r"\s+(.*)$"
+# without these, a statement has no partition spec, and is no partition
+_HAS_SPEC = r"(?i)PARTITION\s+BY"
+_HAS_PARENT = r"(?i)PARTITION\s+OF"
 _LIKE = r"(?is)^LIKE\s+" + _NAME + r"\s+INCLUDING\s+ALL$"
 _NOT_A_COLUMN = r"(?is)^(?:CONSTRAINT|PRIMARY\s+KEY|FOREIGN\s+KEY|UNIQUE|CHECK|EXCLUDE|LIKE)\b"
 _COLUMN = (
@@ -77,6 +81,7 @@ class Schema:
     partitions: DataFrame  # key, table_name, mode, columns
     children: DataFrame  # key, parent, child, bounds
     small: bool | None = None  # whether all frames together were measured to be small
+    features: DataFrame | None = None  # the rows of all frames with their ``kind``, where one pass yields them
 
 
 def _measured(tgt: Schema) -> Schema:
@@ -96,8 +101,15 @@ def _measured(tgt: Schema) -> Schema:
 
 def type_text(raw: Column) -> Column:
     """Lower-case type, by one name for each type, without blanks next to brackets and commas."""
+    return _type_name(_tight_type(raw))
+
+
+def _tight_type(raw: Column) -> Column:
     squeezed = F.regexp_replace(F.lower(strip(raw)), r"\s+", " ")
-    tight = F.regexp_replace(squeezed, r"\s*([(),])\s*", "$1")
+    return F.regexp_replace(squeezed, r"\s*([(),])\s*", "$1")
+
+
+def _type_name(tight: Column) -> Column:
     names = F.create_map(*[F.lit(x) for pair in TYPE_NAMES.items() for x in pair])
     name = F.substring_index(tight, "(", 1)
     arguments = F.regexp_extract(tight, r"\(.*$", 0)
@@ -115,9 +127,13 @@ def _fk_clauses(body: Column) -> Column:
 def _column_fields(parts: Column) -> list[Column]:
     """Name, type and constraints from a clause cut by the column pattern."""
     rest = F.coalesce(F.get(parts, 2), F.lit(""))
+    tight = _tight_type(F.coalesce(F.get(parts, 1), F.lit("")))
+    return [F.get(parts, 0).alias("col_name"), *_typed_fields(tight, rest)]
+
+
+def _typed_fields(tight: Column, rest: Column) -> list[Column]:
     return [
-        F.get(parts, 0).alias("col_name"),
-        type_text(F.coalesce(F.get(parts, 1), F.lit(""))).alias("col_type"),
+        _type_name(tight).alias("col_type"),
         F.lower(F.regexp_extract(rest, _DEFAULT, 1)).alias("col_default"),
         rest.rlike(r"(?i)\bNOT\s+NULL\b").alias("not_null"),
         rest.rlike(r"(?i)\bPRIMARY\s+KEY\b").alias("is_primary"),
@@ -145,81 +161,154 @@ def names_list(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, ","), strip), lambda name: name != "")
 
 
-def _created(stmt: Column) -> Column:
-    return F.regexp_extract(stmt, _CREATE, 1)
+def _taken_apart(stmt: Column) -> Column:
+    """Name, body, and partition texts of a CREATE TABLE statement, as they are written; '' where there is none."""
+    has_spec, has_parent = stmt.rlike(_HAS_SPEC), stmt.rlike(_HAS_PARENT)
+
+    def found(has: Column, pattern: str, group: int) -> Column:
+        return F.when(has, F.regexp_extract(stmt, pattern, group)).otherwise("")
+
+    return F.struct(
+        F.regexp_extract(stmt, _CREATE, 1).alias("table_name"),
+        F.regexp_extract(stmt, _BODY, 2).alias("body"),
+        found(has_spec, _BODY, 3).alias("mode"),
+        found(has_spec, _BODY, 4).alias("mode_columns"),
+        found(has_parent, _CHILD, 2).alias("parent"),
+        found(has_parent, _CHILD, 3).alias("bounds"),
+    )
+
+
+def _last_ones(stmts: Column, names: Column) -> Column:
+    """Of the statements that share a name, the last one."""
+    backwards = F.reverse(names)
+    # the place in the reversed list counts from 1
+    last = F.filter(stmts, lambda _, at: F.array_position(backwards, F.get(names, at)) == F.size(names) - at)
+    return F.when(F.size(F.array_distinct(names)) == F.size(names), stmts).otherwise(last)
+
+
+def _clause_features(body: Column) -> Column:
+    """(kind, ordinal, clause) of the table itself, its columns and its foreign keys; a body is cut once."""
+
+    def listed(kind: str, clauses: Column) -> Column:
+        return F.transform(
+            clauses, lambda clause, at: F.struct(F.lit(kind).alias("kind"), (at + 1).alias("ordinal"), clause.alias("clause"))
+        )
+
+    def both(clauses: Column) -> Column:
+        columns = F.filter(clauses, lambda clause: ~clause.rlike(_NOT_A_COLUMN))
+        fks = F.filter(clauses, lambda clause: clause.rlike(_FK))
+        return F.concat(listed("table", F.array(F.lit(""))), listed("column", columns), listed("fk", fks))
+
+    return F.flatten(F.transform(F.array(split_commas(body)), both))
 
 
-def _creates(
-    ddl: DataFrame,
-    text: str,
-    counts: Callable[[Column], Column] = lambda stmt: stmt.rlike(_CREATE),
-    name: Callable[[Column], Column] = _created,
-) -> DataFrame:
-    """One row per CREATE TABLE statement, with its name, body, and partition texts.
+def _features(ddl: DataFrame, text: str) -> DataFrame:
+    """One row per table, column, foreign key, partition spec (``mode``) and partition child of each text.
 
-    Of the statements of a text that count and share a name, the last one holds.
+    Of the statements of a text that share a name, the last one holds; a later definition without a spec
+    leaves the spec of an earlier one. What one step yields is used several times in the next, and lists are
+    exploded with their empty ones (which the filters leave out again), so that the planner works out no
+    step twice: it would copy what is exploded into a filter on its length.
     """
     keys = [c for c in ddl.columns if c != text]
-    found = ddl.select(*keys, F.filter(split_quoted(without_comments(F.col(text))), counts).alias("__stmts"))
-    named = found.withColumn("__names", F.reverse(F.transform("__stmts", name)))
-    each = named.select(*keys, "__names", F.posexplode("__stmts").alias("__at", "stmt"))
-    # the place in the reversed list counts from 1
-    last = F.size("__names") - F.array_position("__names", F.element_at("__names", -1 - F.col("__at")))
-    return each.filter(F.col("__at") == last).select(
+    clean = ddl.select(*keys, without_comments(F.col(text)).alias("__text"))
+    creates = F.filter(F.transform(split_quoted(F.col("__text")), _taken_apart), lambda stmt: stmt["table_name"] != "")
+    apart = clean.select(*keys, creates.alias("__stmts"))
+    chosen = apart.select(
+        *keys,
+        F.col("__stmts"),
+        F.filter("__stmts", lambda stmt: stmt["mode"] != "").alias("__specs"),
+        F.filter("__stmts", lambda stmt: stmt["parent"] != "").alias("__children"),
+    )
+    child_names = F.transform("__children", lambda stmt: F.concat_ws("\n", stmt["parent"], stmt["table_name"]))
+
+    def tagged(kind: str, stmts: Column) -> Column:
+        return F.transform(stmts, lambda stmt: F.struct(F.lit(kind).alias("of"), stmt.alias("stmt")))
+
+    every = F.concat(
+        tagged("table", _last_ones(F.col("__stmts"), F.col("__stmts.table_name"))),
+        tagged("mode", _last_ones(F.col("__specs"), F.col("__specs.table_name"))),
+        tagged("child", _last_ones(F.col("__children"), child_names)),
+    )
+    stmts = chosen.select(*keys, F.explode_outer(every).alias("__one")).filter(F.col("__one").isNotNull())
+    one = F.array(F.struct(F.col("__one.of").alias("kind"), F.lit(1).alias("ordinal"), F.lit("").alias("clause")))
+    parts = F.when(F.col("__one.of") == "table", _clause_features(F.col("__one.stmt.body"))).otherwise(one)
+    each = stmts.select(*keys, F.col("__one.stmt").alias("__stmt"), F.explode_outer(parts).alias("__part")).filter(
+        F.col("__part").isNotNull()
+    )
+    kind, clause = F.col("kind"), F.col("__part.clause")
+    named = each.select(*keys, "__stmt", F.col("__part.kind").alias("kind"), "__part")
+    cells = named.withColumn("__cut", F.when(kind == "column", cut(clause, _COLUMN, 3)).when(kind == "fk", cut(clause, _FK, 4)))
+
+    def of(name: str, value: Column) -> Column:
+        return F.when(kind == name, value)
+
+    tight = _tight_type(F.coalesce(F.get("__cut", F.lit(1)), F.lit("")))
+    texts = cells.withColumns(
+        {"__tight": of("column", tight), "__rest": of("column", F.coalesce(F.get("__cut", F.lit(2)), F.lit("")))}
+    )
+    fk_name, fk_column, ref_table, ref_column = _fk_fields(F.col("__cut"))
+    typed = zip(ATTRIBUTES, _typed_fields(F.col("__tight"), F.col("__rest")), strict=True)
+    return texts.select(
         *keys,
-        F.regexp_extract("stmt", _CREATE, 1).alias("table_name"),
-        F.regexp_extract("stmt", _BODY, 2).alias("body"),
-        F.upper(F.regexp_extract("stmt", _BODY, 3)).alias("mode"),
-        F.regexp_extract("stmt", _BODY, 4).alias("mode_columns"),
-        F.regexp_extract("stmt", _CHILD, 2).alias("parent"),
-        F.lower(F.regexp_replace(F.regexp_extract("stmt", _CHILD, 3), r"\s+", " ")).alias("bounds"),
+        "kind",
+        F.when(kind != "child", F.col("__stmt.table_name")).alias("table_name"),
+        of("column", F.col("__part.ordinal")).alias("ordinal"),
+        of("column", F.get("__cut", F.lit(0))).when(kind == "fk", fk_column).alias("col_name"),
+        *[of("column", value).alias(name) for name, value in typed],
+        of("fk", fk_name).alias("fk_name"),
+        of("fk", ref_table).alias("ref_table"),
+        of("fk", ref_column).alias("ref_column"),
+        of("mode", F.upper(F.col("__stmt.mode"))).alias("mode"),
+        of("mode", names_list(F.col("__stmt.mode_columns"))).alias("columns"),
+        of("child", F.col("__stmt.parent")).alias("parent"),
+        of("child", F.col("__stmt.table_name")).alias("child"),
+        of("child", F.lower(F.regexp_replace(F.col("__stmt.bounds"), r"\s+", " "))).alias("bounds"),
     )
 
 
+_FIELDS = {
+    "table": ["table_name"],
+    "column": ["table_name", "ordinal", "col_name", *ATTRIBUTES],
+    "fk": ["table_name", "fk_name", "col_name", "ref_table", "ref_column"],
+    "mode": ["table_name", "mode", "columns"],
+    "child": ["parent", "child", "bounds"],
+}
+
+
+def _of_kind(features: DataFrame, keys: Sequence[str], kind: str) -> DataFrame:
+    return features.filter(F.col("kind") == kind).select(*keys, *_FIELDS[kind])
+
+
+def _ddl_to(kind: str, ddl: DataFrame, text: str) -> DataFrame:
+    return _of_kind(_features(ddl, text), [c for c in ddl.columns if c != text], kind)
+
+
 def ddl_to_tables(ddl: DataFrame, text: str = "ddl") -> DataFrame:
     """Tables created by each DDL text. A table that is defined several times has its last definition."""
-    keys = [c for c in ddl.columns if c != text]
-    return _creates(ddl, text).select(*keys, "table_name")
+    return _ddl_to("table", ddl, text)
 
 
 def ddl_to_columns(ddl: DataFrame, text: str = "ddl") -> DataFrame:
     """Columns of the tables created by each DDL text."""
-    keys = [c for c in ddl.columns if c != text]
-    clauses = _creates(ddl, text).select(
-        *keys, "table_name", F.posexplode(_column_clauses(F.col("body"))).alias("__at", "__clause")
-    )
-    cells = clauses.withColumn("__parts", cut(F.col("__clause"), _COLUMN, 3))
-    return cells.select(*keys, "table_name", (F.col("__at") + 1).alias("ordinal"), *_column_fields(F.col("__parts")))
+    return _ddl_to("column", ddl, text)
 
 
 def ddl_to_fks(ddl: DataFrame, text: str = "ddl") -> DataFrame:
     """Foreign keys of the tables created by each DDL text."""
-    keys = [c for c in ddl.columns if c != text]
-    clauses = _creates(ddl, text).select(*keys, "table_name", F.explode(_fk_clauses(F.col("body"))).alias("__clause"))
-    cells = clauses.withColumn("__parts", cut(F.col("__clause"), _FK, 4))
-    return cells.select(*keys, "table_name", *_fk_fields(F.col("__parts")))
+    return _ddl_to("fk", ddl, text)
 
 
 def ddl_to_partitions(ddl: DataFrame, text: str = "ddl") -> tuple[DataFrame, DataFrame]:
     """Partition specs, and partition children with their bounds."""
-    keys = [c for c in ddl.columns if c != text]
-    # a later definition without a spec leaves the spec of an earlier one
-    specs = _creates(ddl, text, lambda stmt: F.regexp_extract(stmt, _BODY, 3) != "").select(
-        *keys, "table_name", "mode", names_list(F.col("mode_columns")).alias("columns")
-    )
-    children = _creates(
-        ddl,
-        text,
-        lambda stmt: F.regexp_extract(stmt, _CHILD, 2) != "",
-        lambda stmt: F.concat_ws("\n", F.regexp_extract(stmt, _CHILD, 2), _created(stmt)),
-    ).select(*keys, "parent", F.col("table_name").alias("child"), "bounds")
-    return specs, children
+    return _ddl_to("mode", ddl, text), _ddl_to("child", ddl, text)
 
 
 def ddl_to_schema(ddl: DataFrame, text: str = "ddl") -> Schema:
     """All frames of the schemas in a DDL corpus. No frame needs a shuffle."""
-    specs, children = ddl_to_partitions(ddl, text)
-    return Schema(ddl_to_tables(ddl, text), ddl_to_columns(ddl, text), ddl_to_fks(ddl, text), specs, children)
+    features = _features(ddl, text)
+    keys = [c for c in ddl.columns if c != text]
+    return Schema(*[_of_kind(features, keys, kind) for kind in _FIELDS], features=features)
 
 
 _KEY = ["snapshot_id", "target_id"]
@@ -231,92 +320,132 @@ def _part(df: DataFrame, keys: Sequence[str], **values: Column) -> DataFrame:
     return df.select(*keys, *[values.get(n, F.lit(0)).cast("bigint").alias(n) for n in names])
 
 
-def _parts(cur: Schema, tgt: Schema) -> list[DataFrame]:
-    """Points and unexpected features of each row of the current schemas."""
+_NAMES = ["__n1", "__n2", "__n3", "__n4"]
+
+
+def _named(df: DataFrame, *names: Column) -> DataFrame:
+    """A feature's kind and the up to four names by which a target knows it."""
+    filled = [*names, *[F.lit("")] * (len(_NAMES) - len(names))]
+    return df.withColumns(dict(zip(_NAMES, filled, strict=True)))
+
+
+def _stacked(frames: Sequence[DataFrame]) -> DataFrame:
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
+def _wanted(tgt: Schema, has_table: DataFrame) -> DataFrame:
+    """What targets want, of every kind, with the values that a found feature is compared with."""
+    child_tables = tgt.children.select("target_id", F.col("child").alias("table_name"))
+    tables = has_table.join(child_tables, ["target_id", "table_name"], "left_anti")
+    fk = ["table_name", "col_name", "ref_table", "ref_column"]
+    scored = tgt.partitions.select("target_id", F.col("table_name").alias("parent"), F.lit(1).alias("__scored"))
+    kinds = {
+        "table": _named(tables, F.col("table_name")),
+        "column": _named(tgt.columns.withColumnsRenamed({a: f"t_{a}" for a in ATTRIBUTES}), F.col("table_name"), F.col("col_name")),
+        "fk": _named(tgt.fks.select("target_id", *fk).distinct(), *[F.col(c) for c in fk]),
+        "mode": _named(tgt.partitions.withColumnsRenamed({"mode": "t_mode", "columns": "t_columns"}), F.col("table_name")),
+        "child": _named(
+            tgt.children.withColumnsRenamed({"child": "t_child", "bounds": "t_bounds"}).join(scored, ["target_id", "parent"], "left"),
+            F.col("parent"),
+            child_name(F.col("t_child")),
+        ),
+    }
+    values = [*[f"t_{a}" for a in ATTRIBUTES], "t_mode", "t_columns", "t_child", "t_bounds", "__scored"]
+    return _stacked(
+        [
+            df.select("target_id", F.lit(kind).alias("kind"), *_NAMES, F.lit(True).alias("__in"), *[c for c in values if c in df.columns])
+            for kind, df in kinds.items()
+        ]
+    )
+
+
+def _cur_features(cur: Schema) -> DataFrame:
+    """The features of current schemas in one frame."""
+    if cur.features is not None:
+        return cur.features
+    frames = zip(_FIELDS.items(), (cur.tables, cur.columns, cur.fks, cur.partitions, cur.children), strict=True)
+    return _stacked([df.select(*_KEY, F.lit(kind).alias("kind"), *[c for c in fields if c != "ordinal" and c != "fk_name"]) for (kind, fields), df in frames])
+
+
+def _parts(cur: Schema, tgt: Schema) -> DataFrame:
+    """Points and unexpected features of the current schemas: one sum per snapshot for tables, columns and
+    partition specs, and one row for each different foreign key and partition child."""
 
     def side(df: DataFrame) -> DataFrame:
         return F.broadcast(df) if tgt.small else df
 
     has_table = tgt.tables.select("target_id", "table_name").distinct()
-    child_tables = tgt.children.select("target_id", F.col("child").alias("table_name"))
-    scored_tables = has_table.join(child_tables, ["target_id", "table_name"], "left_anti")
+    kind = F.col("kind")
 
-    tables = cur.tables.select(*_KEY, "table_name").join(side(scored_tables), ["target_id", "table_name"])
+    def name(**by_kind: Column) -> Column:
+        chosen = F.lit("")
+        for of, value in by_kind.items():
+            chosen = F.when(kind == of, value).otherwise(chosen)
+        return chosen
 
-    wanted = tgt.columns.select(
-        "target_id", "table_name", "col_name", *[F.col(a).alias(f"t_{a}") for a in ATTRIBUTES], F.lit(True).alias("__in")
+    rows = _named(
+        _cur_features(cur),
+        F.when(kind == "child", F.col("parent")).otherwise(F.col("table_name")),
+        name(column=F.col("col_name"), fk=F.col("col_name"), child=child_name(F.col("child"))),
+        name(fk=F.col("ref_table")),
+        name(fk=F.col("ref_column")),
     )
-    columns = cur.columns.join(side(has_table), ["target_id", "table_name"]).join(
-        side(wanted), ["target_id", "table_name", "col_name"], "left"
+    met = rows.join(side(has_table.withColumn("__known", F.lit(True))), ["target_id", "table_name"], "left").join(
+        side(_wanted(tgt, has_table)), ["target_id", "kind", *_NAMES], "left"
     )
-    points = F.lit(COLUMN_POINTS["present"])
-    for a in ATTRIBUTES:
-        points = points + F.when(F.col(a).eqNullSafe(F.col(f"t_{a}")), COLUMN_POINTS[a]).otherwise(0)
     found = F.col("__in").isNotNull()
-
-    fk = ["table_name", "col_name", "ref_table", "ref_column"]
-    wanted_fks = tgt.fks.select("target_id", *fk).distinct().withColumn("__in", F.lit(True))
-    fks = (
-        cur.fks.select(*_KEY, *fk)
-        .distinct()
-        .join(side(has_table), ["target_id", "table_name"])
-        .join(side(wanted_fks), ["target_id", *fk], "left")
+    # columns and keys count in tables of the target, tables and specs where they are wanted, children always
+    counted = met.filter(
+        F.when(kind.isin("column", "fk"), F.col("__known").isNotNull()).when(kind.isin("table", "mode"), found).otherwise(True)
     )
 
-    wanted_modes = tgt.partitions.select(
-        "target_id", "table_name", F.col("mode").alias("t_mode"), F.col("columns").alias("t_columns")
-    )
-    modes = cur.partitions.join(side(wanted_modes), ["target_id", "table_name"])
+    column_points = F.lit(COLUMN_POINTS["present"])
+    for a in ATTRIBUTES:
+        column_points = column_points + F.when(F.col(a).eqNullSafe(F.col(f"t_{a}")), COLUMN_POINTS[a]).otherwise(0)
     same_mode = F.col("mode").eqNullSafe(F.col("t_mode"))
     same_columns = F.col("columns").eqNullSafe(F.col("t_columns"))
-
-    wanted_children = (
-        tgt.children.select(
-            "target_id",
-            "parent",
-            child_name(F.col("child")).alias("__name"),
-            F.col("child").alias("t_child"),
-            F.col("bounds").alias("t_bounds"),
-        )
-        .join(
-            tgt.partitions.select("target_id", F.col("table_name").alias("parent"), F.lit(1).alias("__scored")),
-            ["target_id", "parent"],
-            "left",
-        )
-    )
+    mode_points = F.when(same_mode, MODE_POINTS).otherwise(0) + F.when(same_columns, MODE_COLUMNS_POINTS).otherwise(0)
     exact = (F.col("child") == F.col("t_child")) & F.col("bounds").eqNullSafe(F.col("t_bounds"))
-    children = (
-        cur.children.withColumn("__name", child_name(F.col("child")))
-        .join(side(wanted_children), ["target_id", "parent", "__name"], "left")
-        .groupBy(*_KEY, "parent", "__name", "t_child")
-        .agg(
-            F.max(
-                F.when(F.col("__scored").isNull(), 0).when(exact, CHILD_POINTS).otherwise(CHILD_NAME_POINTS)
-            ).alias("points")
-        )
+    child_points = F.when(F.col("__scored").isNull(), 0).when(exact, CHILD_POINTS).otherwise(CHILD_NAME_POINTS)
+    points = (
+        F.when(kind == "child", child_points)
+        .when(~found, 0)
+        .when(kind == "table", TABLE_POINTS)
+        .when(kind == "column", column_points)
+        .when(kind == "fk", FK_POINTS)
+        .otherwise(mode_points)
     )
-    return [
-        _part(tables, _KEY, points=F.lit(TABLE_POINTS)),
-        _part(
-            columns,
-            _KEY,
-            points=F.when(found, points).otherwise(0),
-            extra_columns=F.when(found, 0).otherwise(1),
-        ),
-        _part(
-            fks,
-            _KEY,
-            points=F.when(F.col("__in").isNotNull(), FK_POINTS).otherwise(0),
-            extra_fks=F.when(F.col("__in").isNotNull(), 0).otherwise(1),
-        ),
-        _part(
-            modes,
-            _KEY,
-            points=F.when(same_mode, MODE_POINTS).otherwise(0) + F.when(same_columns, MODE_COLUMNS_POINTS).otherwise(0),
-            changed_modes=F.when(same_mode & same_columns, 0).otherwise(1),
-        ),
-        _part(children, _KEY, points=F.col("points"), extra_children=F.when(F.col("t_child").isNull(), 1).otherwise(0)),
+
+    def extra(of: str, when: Column) -> Column:
+        return F.when((kind == of) & when, 1).otherwise(0)
+
+    once = kind.isin("fk", "child")
+    which = [
+        F.when(once, kind).alias("__once"),
+        F.when(once, F.col("__n1")).alias("__i1"),
+        F.when(once, F.col("__n2")).alias("__i2"),
+        F.when(kind == "fk", F.col("__n3")).when(kind == "child", F.col("t_child")).alias("__i3"),
+        F.when(kind == "fk", F.col("__n4")).alias("__i4"),
     ]
+    valued = counted.select(
+        *_KEY,
+        *which,
+        points.alias("points"),
+        extra("column", ~found).alias("extra_columns"),
+        extra("fk", ~found).alias("extra_fks"),
+        extra("child", F.col("t_child").isNull()).alias("extra_children"),
+        extra("mode", ~(same_mode & same_columns)).alias("changed_modes"),
+    )
+    different = valued.groupBy(*_KEY, "__once", "__i1", "__i2", "__i3", "__i4").agg(
+        F.sum("points").alias("__sum"),
+        F.max("points").alias("__max"),
+        F.sum("extra_columns").alias("extra_columns"),
+        F.max("extra_fks").alias("extra_fks"),
+        F.max("extra_children").alias("extra_children"),
+        F.sum("changed_modes").alias("changed_modes"),
+    )
+    summed = F.when(F.col("__once").isNull(), F.col("__sum")).otherwise(F.col("__max"))
+    return _part(different, _KEY, points=summed, **{name: F.col(name) for name in _EXTRAS})
 
 
 def target_points(tgt: Schema) -> DataFrame:
@@ -350,7 +479,7 @@ def _penalty() -> Column:
 
 def _totals(snapshots: DataFrame, cur: Schema, tgt: Schema) -> DataFrame:
     """Points and extras per snapshot; a snapshot without any feature has zeros."""
-    every = reduce(DataFrame.unionByName, [_part(snapshots, _KEY), *_parts(cur, tgt)])
+    every = reduce(DataFrame.unionByName, [_part(snapshots, _KEY), _parts(cur, tgt)])
     return every.groupBy(*_KEY).agg(*[F.sum(n).alias(n) for n in ("points", *_EXTRAS)])
 
 
