@@ -63,6 +63,32 @@ def test_many_rounds_and_blocks(spark, random_rows, monkeypatch):
     assert run(spark, docs[:300] + docs[-20:], items) == brute(docs[:300] + docs[-20:], items)
 
 
+def test_no_text_is_shuffled_to_meet_candidates(spark, monkeypatch):
+    """Whatever the session's threshold; beyond the rows that are broadcast the rows are the same."""
+    docs = [(i, f"word{i % 7} word{i % 5} {i}") for i in range(300)] + [(3, "word3 another"), (None, "word3")]
+    items = [(1, "word3 word4"), (2, "word1 7")]
+    plans = []
+    scored = ranked_search._scored
+
+    def noted(*args):
+        found = scored(*args)
+        plans.append(found._jdf.queryExecution().executedPlan().toString())
+        return found
+
+    monkeypatch.setattr(ranked_search, "_scored", noted)
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")
+        assert run(spark, docs, items) == brute(docs, items)
+        assert plans and all("BroadcastHashJoin" in p and "SortMergeJoin" not in p for p in plans)
+        plans.clear()
+        monkeypatch.setattr(ranked_search, "BROADCAST_ROWS", 0)
+        assert run(spark, docs, items) == brute(docs, items)
+        assert plans and all("SortMergeJoin" in p for p in plans)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
 def test_edges(spark, edges):
     docs = [(i, t) for i, t, *_ in EDGES]
     items = [(1, "A b ONE"), (1, "word two"), (2, None), (3, "!?"), (None, "é ß x"), (4, "nowhere"), (4, "l")]

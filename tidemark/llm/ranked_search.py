@@ -15,7 +15,8 @@ is not enough is followed by one of four times its size.
 
 Equal term sequences share a digest and are one candidate, however many copies there are, and are dealt out
 to their documents at the end. At scale no text and no sketch is shuffled: each task passes on its best
-bounds, and the candidates of a round are a written table of known size that Spark may broadcast.
+bounds, and the candidates of a round are a written table of counted rows that is broadcast. Only a round of
+more than ``BROADCAST_ROWS`` candidates is left to Spark, which may shuffle the texts to meet them.
 
 Edge cases: null and texts without terms are in no count and are not found; an item without terms has no
 rows; items are rows, so two with the same id have a list each; repeated rows of documents count and are
@@ -46,6 +47,8 @@ HASHES, ROOM, NARROWEST = 3, 12, 64
 BLOCK_TERMS = 1 << 17
 #: Candidates of a query in its first round.
 FIRST = 128
+#: Candidates of a round that are broadcast whatever the session's threshold, some 100 bytes each.
+BROADCAST_ROWS = 1 << 19
 #: Bytes of sketches and documents looked up at once.
 LOOKUP_BYTES, LOOKUP_ROWS = 8 << 20, 512
 #: Terms whose counts a task holds before it passes them on, and the bytes in them.
@@ -236,7 +239,7 @@ def _highest(sketches: DataFrame, queries: Queries, totals: tuple[int, int], siz
     return alike.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= size)
 
 
-def _scored(texts: DataFrame, candidates: DataFrame, queries: Queries, totals: tuple[int, int]) -> DataFrame:
+def _scored(texts: DataFrame, candidates: DataFrame, n_candidates: int, queries: Queries, totals: tuple[int, int]) -> DataFrame:
     """Exact scores of candidates, on their texts: query, digest, doc_id, score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,8 +257,10 @@ def _scored(texts: DataFrame, candidates: DataFrame, queries: Queries, totals: t
             columns = list(zip(*rows, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["query", "digest", "doc_id", "score"])
 
-    # written, so that its size is known when the join is planned: no text is shuffled to meet a small table
     asked = settle(candidates.groupBy("digest", F.col("doc_id").alias("__id")).agg(F.collect_list("query").alias("queries")), "search-asked")
+    # no text is shuffled to meet a table whose size follows from the queries, not from the texts
+    if n_candidates <= BROADCAST_ROWS:
+        asked = F.broadcast(asked)
     met = texts.join(asked, F.col("doc_id").eqNullSafe(F.col("__id"))).select("doc_id", "text", "digest", "queries")
     scores = met.mapInArrow(run, "query int, digest binary, doc_id bigint, score bigint").filter("score > 0")
     return scores.groupBy("query", "digest").agg(F.min("doc_id").alias("doc_id"), F.max("score").alias("score"))
@@ -276,7 +281,7 @@ def _block(texts: DataFrame, sketches: DataFrame, queries: Queries, totals: tupl
     while True:
         candidates = settle(_highest(sketches, queries, totals, size, low, after), "search-candidates")
         last = {r["query"]: r for r in candidates.groupBy("query").agg(F.count("*").alias("n"), F.max_by(F.struct("bound", "digest"), "place").alias("last")).collect()}
-        scores = _scored(texts, candidates, queries, totals)
+        scores = _scored(texts, candidates, sum(r["n"] for r in last.values()), queries, totals)
         # places won so far, at most TOP a query
         found = settle(_first_places(scores if found is None else found.drop("place").unionByName(scores)), "search-scores")
         for row in found.filter(F.col("place") == TOP).collect():
