@@ -36,7 +36,8 @@ SPAN, GRAM = 10, 5
 GRAMS, REACH = SPAN - GRAM + 1, SPAN - GRAM
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-_OTHER_CAPITALS = r"[\p{javaUpperCase}\p{javaTitleCase}&&[^A-Z]]"
+# the built-in may know capitals of a later Unicode than the pattern does, to which they are unassigned
+_OTHER_CAPITALS = r"[\p{javaUpperCase}\p{javaTitleCase}\p{Cn}&&[^A-Z]]"
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _INT = "array<int>"
 
