@@ -64,6 +64,12 @@ def test_state_carries_over_micro_batches(spark):
     assert rows_of(many) == exact(texts)
 
 
+def test_the_state_is_read_once(edges):
+    """Each read opens the stores of all partitions, in native memory of the executors."""
+    plan = exact_dedup.keep_first(edges)._jdf.queryExecution().executedPlan().toString()
+    assert "BatchScan" not in plan and "FileScan" in plan
+
+
 @tables
 def test_stored_settings_come_back(spark):
     before = {key: spark.conf.get(key, None) for key in exact_dedup._STREAM}

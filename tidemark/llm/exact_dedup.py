@@ -7,7 +7,7 @@ Texts are equal when they are identical after deleting ASCII white space. Steps:
 2. A stream reads the arrivals in micro-batches and keeps, by digest, the best arrival and a count in
    a disk-backed state store (RocksDB) without expiry. Batches are combined before the shuffle, so a
    digest with a third of all rows sends one row a task.
-3. The state is read back as a table and joined to the arrivals.
+3. The state is read back once, written as a table and joined to the arrivals.
 4. Rows of digests met more than once are hits: their texts are fetched by locator and the whole
    bytes are compared with those of the row that stays. The comparison is salted by group size. If
    any differ, the groups of that digest are made anew by the bytes themselves.
@@ -28,10 +28,14 @@ from pyspark.sql import functions as F
 from tidemark.sources.workspace import fresh_path, settle
 
 #: Settings of the stream: state on disk, and closed once a batch is committed. An open store holds some
-#: 4 MB of local disk for each partition, however little is in it.
+#: 4 MB of local disk for each partition, however little is in it. What the stores of an executor hold in
+#: native memory, beside the heap, is bounded for all of them together.
 _STREAM = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "8",
 }
 #: Bytes of arrivals (some 100 a row) that one micro-batch takes in.
 BATCH_BYTES = 4 << 30
@@ -70,7 +74,7 @@ def _arrivals(located: DataFrame, digest: Callable[[Column], Column]) -> DataFra
 
 
 def _absorb(spark: SparkSession, arrivals: DataFrame, folder: str, checkpoint: str, batch_bytes: int) -> DataFrame:
-    """Stream the arrivals into the state at ``checkpoint`` and read the state: one row per digest."""
+    """Stream the arrivals into the state at ``checkpoint`` and read the state, written: one row per digest."""
     before = {key: spark.conf.get(key, None) for key in _STREAM}
     for key, value in _STREAM.items():
         spark.conf.set(key, value)
@@ -85,14 +89,16 @@ def _absorb(spark: SparkSession, arrivals: DataFrame, folder: str, checkpoint: s
             .start()
         )
         run.awaitTermination()
+        kept = spark.read.format("statestore").option("path", checkpoint).load()
+        best, count = (f"`{c}`" for c in kept.schema["value"].dataType.names)
+        # each read opens the stores of all partitions anew, so it is done once
+        return settle(
+            kept.select(F.col("key.digest").alias("digest"), F.col(f"value.{best}").alias("best"), F.col(f"value.{count}").alias("group_size")),
+            "dedup-groups",
+        )
     finally:
         for key, value in before.items():
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
-    kept = spark.read.format("statestore").option("path", checkpoint).load()
-    best, count = (f"`{c}`" for c in kept.schema["value"].dataType.names)
-    return kept.select(
-        F.col("key.digest").alias("digest"), F.col(f"value.{best}").alias("best"), F.col(f"value.{count}").alias("group_size")
-    )
 
 
 def _mismatched(hits: DataFrame, located: DataFrame) -> DataFrame:
