@@ -134,6 +134,37 @@ def test_near_chains_and_hubs(spark, monkeypatch):
     assert near_rows(minhash.near_duplicates(docs)) == near(texts)
 
 
+def test_a_hub_leaves_the_lists_it_has_met(spark, monkeypatch):
+    """No list is read with a class that it was compared with in an earlier round, and each round leaves such out once."""
+    monkeypatch.setattr(minhash, "FIRST_HUBS", 1)
+    monkeypatch.setattr(minhash, "MORE_HUBS", 2)
+    rounds, starred, frames = [], minhash._starred, []
+
+    def watched(members, hubs):
+        rounds.append(({tuple(r) for r in members.select("token", "cid").collect()}, {tuple(r) for r in hubs.select("token", "hub").collect()}))
+        return starred(members, hubs)
+
+    def kept(frame, label, settle=minhash.settle):
+        frames.append(frame)
+        return settle(frame, label)
+
+    monkeypatch.setattr(minhash, "_starred", watched)
+    monkeypatch.setattr(minhash, "settle", kept)
+    # blocks of words in one of two wordings: all shingles occur elsewhere, and many pairs are just below the threshold
+    random = np.random.default_rng(5)
+    wording = random.random((40, 16)) < 0.15
+    texts = [(i, " ".join(f"{'xy'[int(w)]}{b}w{k}" for b, w in enumerate(row) for k in range(12))) for i, row in enumerate(wording)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    assert near_rows(minhash.near_duplicates(docs)) == near(texts)
+    assert len(rounds) > 2
+    met = set()
+    for members, hubs in rounds:
+        assert hubs <= members and not met & members
+        met |= hubs
+    plans = [frame._jdf.queryExecution().optimizedPlan().toString() for frame in frames]
+    assert sum(plan.count("Join LeftAnti, ((token") for plan in plans) == len(rounds)
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (502, 500)], "a long, b long")
     groups = defaultdict(set)

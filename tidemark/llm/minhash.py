@@ -17,9 +17,10 @@ Documents of one word sequence form a class; classes are what is compared.
    copies that differ too much from the hub of their list, unless they differ from it in the same way:
    two classes share at most what both have of the hub and what both have beside it.
 5. A list is not paired with itself. Its members are compared with its most central one (the hub, with the
-   largest share of shingles that occur elsewhere too); those found linked become one component. Lists
-   that are not of one component yet go on to a round with more hubs, and so on until what is left of each
-   list was compared with all of it. So no list is cut, and copies of copies cost a star, not a square.
+   largest share of shingles that occur elsewhere too); those found linked become one component. A hub has
+   then met all of its list and leaves it. Lists whose other members are not of one component yet go on to
+   a round with more hubs, and so on until what is left of each list was compared with all of it. So no list
+   is cut, and copies of copies cost a star, not a square.
 6. Components by contraction: edges shrink each round and are written to the shared folder.
 
 At a similarity of 0.75 a pair has Binomial(64, 0.75) equal coordinates: below 32 with probability
@@ -265,10 +266,15 @@ def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     return settle(_follow(every, to), "minhash-labels")
 
 
-def _open(members: DataFrame, done: DataFrame | None = None) -> DataFrame:
-    """Members of lists in which those not yet used as hubs differ in component."""
-    fresh = members if done is None else members.join(done, ["token", "cid"], "left_anti")
-    still = fresh.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high")
+def _left(members: DataFrame, hubs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members without the hubs that have met all of their list by now, with their components."""
+    rest = members.drop("comp").join(hubs.select("token", F.col("hub").alias("cid")), ["token", "cid"], "left_anti")
+    return rest.join(labels, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+
+
+def _open(members: DataFrame) -> DataFrame:
+    """Members of lists in which they differ in component."""
+    still = members.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high")
     return members.join(still.select("token"), "token", "left_semi")
 
 
@@ -287,13 +293,12 @@ def _able(members: DataFrame, sets: DataFrame) -> DataFrame:
     return _dealt(counted).join(dealt, ["token", "share"]).filter(able).drop("share", "smallest")
 
 
-def _next_hubs(members: DataFrame, done: DataFrame, hubs: int) -> DataFrame:
-    """Up to ``hubs`` fresh members of each list outside its largest component, the most shared ones first."""
-    fresh = members.join(done, ["token", "cid"], "left_anti")
-    sizes = fresh.groupBy("token", "n", "comp").agg(F.count(F.lit(1)).alias("members"))
+def _next_hubs(members: DataFrame, hubs: int) -> DataFrame:
+    """Up to ``hubs`` members of each list outside its largest component, the most shared ones first."""
+    sizes = members.groupBy("token", "n", "comp").agg(F.count(F.lit(1)).alias("members"))
     large = sizes.groupBy("token", "n").agg(F.max_by("comp", F.struct("members", "comp")).alias("large"))
     dealt = large.select("token", "large", _copies(_splits(F.col("n"))).alias("share"))
-    outside = _dealt(fresh).join(dealt, ["token", "share"]).filter("comp <> large")
+    outside = _dealt(members).join(dealt, ["token", "share"]).filter("comp <> large")
     order = Window.partitionBy("token").orderBy((F.col("live") / F.col("size")).desc(), "cid")
     picked = outside.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= hubs)
     return _listed(picked.selectExpr(*_AS_HUB), "hub", "hub_tokens")
@@ -301,7 +306,7 @@ def _next_hubs(members: DataFrame, done: DataFrame, hubs: int) -> DataFrame:
 
 def _listed(rows: DataFrame, of: str, name: str) -> DataFrame:
     """Rows with all tokens of their class, of which a prefix bounds the number."""
-    return rows.join(rows.groupBy(of).agg(F.collect_set("token").alias(name)), of)
+    return rows.withColumn(name, F.collect_set("token").over(Window.partitionBy(of)))
 
 
 def _beside(members: DataFrame, first: DataFrame, sets: DataFrame) -> DataFrame:
@@ -333,7 +338,7 @@ def _linked(classes: DataFrame, docs: DataFrame) -> DataFrame:
     members = settle(_open(able), "minhash-able")
     central = F.max_by(F.struct("cid", "comp", "size", "live", "near"), F.struct(F.col("live") / F.col("size"), -F.col("cid"))).alias("h")
     hubs = members.groupBy("token", "n").agg(central).select("token", "n", "h.*").selectExpr(*_AS_HUB, "cast(null AS array<bigint>) AS hub_tokens")
-    labels, done, first, number = None, None, None, FIRST_HUBS
+    labels, first, number = None, None, FIRST_HUBS
     while True:
         hubs = settle(hubs, "minhash-hubs")
         found = settle(_confirmed(_starred(members, hubs), posted, sets), "minhash-links")
@@ -341,19 +346,16 @@ def _linked(classes: DataFrame, docs: DataFrame) -> DataFrame:
             labels = components(found)
         elif not found.isEmpty():
             labels = _joined(labels, found)
-        used = hubs.select("token", F.col("hub").alias("cid"))
-        done = used if done is None else settle(done.unionByName(used), "minhash-done")
-        labelled = members.drop("comp").join(labels, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-        still = settle(_open(labelled, done), "minhash-open")
+        still = settle(_open(settle(_left(members, hubs, labels), "minhash-left")), "minhash-open")
         if still.isEmpty():
             return labels
         if first is None:
             first = hubs
             still = settle(_beside(still, first, sets), "minhash-beside")
-        members = settle(_listed(_open(_able(still.drop("tokens"), sets), done), "cid", "tokens"), "minhash-able")
+        members = settle(_listed(_open(_able(still.drop("tokens"), sets)), "cid", "tokens"), "minhash-able")
         if members.isEmpty():
             return labels
-        hubs = _next_hubs(members, done, number)
+        hubs = _next_hubs(members, number)
         number *= MORE_HUBS
 
 
